@@ -31,4 +31,4 @@ def rounded(name: str, digits: int = 6, of: Column | None = None) -> Column:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from centrum.queries import assign, fitting, inputs  # noqa: F401
+    from centrum.queries import assign, fitting, history, inputs, models, scoring, trees  # noqa: F401
