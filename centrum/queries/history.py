@@ -61,9 +61,9 @@ def weighted_summary(spark, folder):
 @query(
     "res_5_held_out",
     f"""WITH {BEST}, central AS (SELECT run, round, metric, avg(value) AS value FROM history WHERE phase = 'test' AND (run <> 0 OR round = 3) GROUP BY ALL),
-        n AS (SELECT run, count(DISTINCT round) AS n, min(round) AS only FROM central GROUP BY 1)
+        n AS (SELECT run, count(DISTINCT round) AS n, min(round) AS one FROM central GROUP BY 1)
         SELECT c.run, metric, round(value, 6) AS value FROM central c JOIN n ON n.run = c.run JOIN best b ON b.run = c.run
-        WHERE c.round = CASE WHEN n = 1 THEN only ELSE best_round END""",
+        WHERE c.round = CASE WHEN n = 1 THEN one ELSE best_round END""",
 )
 def held_out(spark, folder):
     h = history(spark, folder)
