@@ -22,29 +22,28 @@ def rank_buckets(spark: SparkSession) -> int:
     return 1 << min(20, (wanted - 1).bit_length())
 
 
-def checked_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS):
-    """The rows of a parameter table, or None when there are more than ``max_rows``."""
-    rows = df.limit(max_rows + 1).collect()
-    return None if len(rows) > max_rows else rows
+def small_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """A parameter table computed once and kept as local rows, or None when it has more than ``max_rows``."""
+    local = df.limit(max_rows + 1).toArrow()
+    if local.num_rows > max_rows:
+        return None
+    if local.num_rows == 0:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.createDataFrame(local, df.schema)
+
+
+def settle(params: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a parameter table once: kept as local rows when it was counted to be small, otherwise checkpointed
+    in the shared folder."""
+    small = small_copy(params, max_rows)
+    return cut_lineage(params) if small is None else small
 
 
 def join_params(rows: DataFrame, params: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join rows to a parameter table: broadcast when the table was counted to be small, otherwise a plain
     equi-join that Spark may shuffle."""
-    local = checked_rows(params, max_rows)
-    if local is None:
-        return rows.join(params, on, how)
-    small = rows.sparkSession.createDataFrame(local, params.schema)
-    return rows.join(F.broadcast(small), on, how)
-
-
-def settle(params: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a parameter table once: kept on the driver when it was counted to be small, otherwise checkpointed
-    in the shared folder."""
-    local = checked_rows(params, max_rows)
-    if local is None:
-        return cut_lineage(params)
-    return params.sparkSession.createDataFrame(local, params.schema)
+    small = small_copy(params, max_rows)
+    return rows.join(params, on, how) if small is None else rows.join(F.broadcast(small), on, how)
 
 
 def ordered_position(
@@ -91,17 +90,26 @@ def hash_position(
     return ordered_position(rows, groups, whole_div(F.col("_h"), width), ["_h", key], pos, total).drop("_h")
 
 
-def exact_median(df: DataFrame, groups: list[str], value: str, out: str = "median") -> DataFrame:
+MIDDLE = [0.499, 0.501]
+ACCURACY = 10000
+
+
+def middle_sketch(value: Column) -> Column:
+    """Two values that enclose the median: a mergeable sketch whose rank error is at most 1 / 10,000 of the rows,
+    asked for ranks ten times as far from the middle."""
+    return F.percentile_approx(value, MIDDLE, ACCURACY)
+
+
+def exact_median(df: DataFrame, groups: list[str], value: str, out: str = "median", bounds: DataFrame | None = None) -> DataFrame:
     """Exact median per group without holding a group's values in one task.
 
-    A mergeable sketch gives two values that enclose the middle (ten times wider than the sketch's error
-    bound). Everything outside is only counted; the values inside are counted one by one and walked in order."""
+    Everything outside the two enclosing values is only counted; the values between them are counted one by one and
+    walked in order. ``bounds`` are (groups, _mid, _n) when the caller already has them from another pass."""
     keys = groups or ["_all"]
     rows = df if groups else df.withColumn("_all", F.lit(0))
     rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [0.499, 0.501], 10000).alias("_mid"), F.count(F.lit(1)).alias("_n")
-    )
+    if bounds is None:
+        bounds = rows.groupBy(*keys).agg(middle_sketch(F.col("_v")).alias("_mid"), F.count(F.lit(1)).alias("_n"))
     side = F.when(F.col("_v") < F.col("_mid")[0], -1).when(F.col("_v") > F.col("_mid")[1], 1).otherwise(0)
     counted = (
         join_params(rows, bounds, keys)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from centrum.operators.ordering import exact_median, join_params
+from centrum.operators.ordering import exact_median, join_params, middle_sketch, settle
 
 UNKNOWN = "unknown"
 
@@ -27,8 +27,9 @@ def long_values(df: DataFrame, ids: list[str], columns: list[str], dtype: str) -
     return df.select(*ids, F.explode(F.array(*entries)).alias("_e")).select(*ids, "_e.column", "_e.value")
 
 
-def numeric_moments(df: DataFrame, columns: list[str], center: str = "center_id") -> DataFrame:
-    """n_rows, nulls, mean and sample deviation per (center, numeric column), all columns in one pass."""
+def numeric_moments(df: DataFrame, columns: list[str], center: str = "center_id", sketch: bool = False) -> DataFrame:
+    """n_rows, nulls, mean and sample deviation per (center, numeric column), all columns in one pass; with
+    ``sketch`` also the two values that enclose the median."""
     aggs: list[Column] = []
     for c in columns:
         x = F.col(c).cast("double")
@@ -38,7 +39,11 @@ def numeric_moments(df: DataFrame, columns: list[str], center: str = "center_id"
             F.avg(x).alias(f"{c}__mean"),
             F.stddev_samp(x).alias(f"{c}__std"),
         ]
+        if sketch:
+            aggs.append(middle_sketch(x).alias(f"{c}__mid"))
     fields = {"n_rows": "bigint", "n_null": "bigint", "mean": "double", "std": "double"}
+    if sketch:
+        fields["mid"] = "array<double>"
     return _stack(df.groupBy(center).agg(*aggs), [center], columns, fields)
 
 
@@ -48,11 +53,19 @@ def null_counts(df: DataFrame, columns: list[str], center: str = "center_id") ->
     return _stack(df.groupBy(center).agg(*aggs), [center], columns, {"n_null": "bigint"})
 
 
-def numeric_imputation(df: DataFrame, columns: list[str], center: str = "center_id") -> DataFrame:
-    """Median per (center, column), only where the center has a null in that column."""
-    lacking = null_counts(df, columns, center).where(F.col("n_null") > 0).drop("n_null")
-    values = join_params(long_values(df, [center], columns, "double"), lacking, [center, "column"])
-    medians = exact_median(values, [center, "column"], "value")
+def numeric_imputation(df: DataFrame, columns: list[str], center: str = "center_id", moments: DataFrame | None = None) -> DataFrame:
+    """Median per (center, column), only where the center has a null in that column. ``moments`` (with the sketch)
+    save the pass that finds the nulls and the bounds."""
+    if moments is None:
+        moments = settle(numeric_moments(df, columns, center, sketch=True))
+    lacking = moments.where(F.col("n_null") > 0)
+    wanted = [r["column"] for r in lacking.select("column").distinct().collect()]
+    if not wanted:
+        return lacking.select(center, "column", F.lit(0.0).alias("num_value"))
+    bounds = lacking.where("mid IS NOT NULL").select(
+        center, "column", F.col("mid").alias("_mid"), (F.col("n_rows") - F.col("n_null")).alias("_n")
+    )
+    medians = exact_median(long_values(df, [center], wanted, "double"), [center, "column"], "value", bounds=bounds)
     # a column that is all null has no median: 0 takes its place
     return lacking.join(medians, [center, "column"], "left").select(
         center, "column", F.coalesce("median", F.lit(0.0)).alias("num_value")
@@ -142,14 +155,18 @@ class CenterParams:
 
 
 def fit(df: DataFrame, numeric: list[str], text: list[str], compat: bool = False, center: str = "center_id") -> CenterParams:
-    """Fit all centers at once. ``compat`` computes the moments of text columns on codes without ``unknown``."""
-    sizes = df.groupBy(center).agg(F.count(F.lit(1)).alias("n_rows"))
-    num_fill = numeric_imputation(df, numeric, center)
-    moments = imputed_moments(numeric_moments(df, numeric, center), num_fill, center)
+    """Fit all centers at once: one pass of numeric aggregates, one for the medians if any are needed, one value
+    count for the text columns. ``compat`` computes the moments of text columns on codes without ``unknown``."""
+    raw = settle(numeric_moments(df, numeric, center, sketch=True))
+    num_fill = settle(numeric_imputation(df, numeric, center, raw))
+    moments = imputed_moments(raw, num_fill, center)
     fills = num_fill.select(center, "column", "num_value", F.lit(None).cast("string").alias("str_value"))
+    sizes = raw.groupBy(center).agg(F.max("n_rows").alias("n_rows"))
     codes = None
     if text:
-        counts = value_counts(df, text, center)
+        counts = settle(value_counts(df, text, center))
+        if not numeric:
+            sizes = counts.where(F.col("column") == text[0]).groupBy(center).agg(F.sum("n_rows").alias("n_rows"))
         codes = label_codes(counts, center)
         fill = categorical_imputation(counts, center)
         fills = fills.unionByName(fill.select(center, "column", F.lit(None).cast("double").alias("num_value"), "str_value"))
@@ -250,8 +267,8 @@ def merge(params: CenterParams, method: str = "weighted_aggregate") -> MergedPar
         .join(merge_numeric_imputation(params.imputation, weights), "column", "left")
         .join(merge_text_imputation(params.imputation), "column", "left")
     )
-    codes = None if params.codes is None else largest_center_codes(params.codes, params.sizes)
-    return MergedParams(columns, codes)
+    codes = None if params.codes is None else settle(largest_center_codes(params.codes, params.sizes))
+    return MergedParams(settle(columns), codes)
 
 
 def reference(params: CenterParams, choose: str = "largest", seed: int = 42) -> MergedParams:
@@ -262,8 +279,8 @@ def reference(params: CenterParams, choose: str = "largest", seed: int = 42) ->
     columns = (
         params.moments.join(params.imputation, ["center_id", "column"], "left").join(top, "center_id", "left_semi").drop("center_id")
     )
-    codes = None if params.codes is None else params.codes.join(top, "center_id", "left_semi").drop("center_id")
-    return MergedParams(columns, codes)
+    codes = None if params.codes is None else settle(params.codes.join(top, "center_id", "left_semi").drop("center_id"))
+    return MergedParams(settle(columns), codes)
 
 
 def fit_and_merge(df: DataFrame, numeric: list[str], text: list[str], method: str = "reference", reference_method: str = "largest", compat: bool = False, seed: int = 42) -> MergedParams:
@@ -287,12 +304,11 @@ def fill_nulls(df: DataFrame, columns: DataFrame) -> DataFrame:
 
 def encode(df: DataFrame, text: list[str], codes: DataFrame) -> DataFrame:
     """Text columns to codes: null is -1, an unseen value gets the code of ``unknown``."""
+    unknown = {r["column"]: r["code"] for r in codes.where(F.col("value") == UNKNOWN).select("column", "code").collect()}
     for name in text:
         table = codes.where(F.col("column") == name).select(F.col("value").alias(name), F.col("code").alias("_code"))
-        rest = table.where(F.col(name) == UNKNOWN).select(F.col("_code").alias("_unknown"))
-        unknown = rest.first()
         coded = join_params(df, table, name, "left")
-        code = F.when(F.col(name).isNull(), -1).otherwise(F.coalesce("_code", F.lit(unknown["_unknown"] if unknown else None)))
+        code = F.when(F.col(name).isNull(), -1).otherwise(F.coalesce("_code", F.lit(unknown.get(name))))
         df = coded.withColumn(name, code.cast("double")).drop("_code")
     return df
 
@@ -332,7 +348,8 @@ def apply(
     if normalization not in ("global", "local", None):
         raise ValueError("normalization must be 'global', 'local' or None")
     out = fill_nulls(df, params.columns)
-    known = [] if params.codes is None else [t for t in text if not params.codes.where(F.col("column") == t).isEmpty()]
+    coded = set() if params.codes is None else {r["column"] for r in params.codes.select("column").distinct().collect()}
+    known = [t for t in text if t in coded]
     out = encode(out, known, params.codes) if known else out
     for name in [t for t in text if t not in known]:
         out = encode_locally(out, name)
