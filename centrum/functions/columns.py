@@ -12,14 +12,15 @@ def row_hash(key: Column | str, *salt) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     parts = [s if isinstance(s, Column) else F.lit(str(s)) for s in salt]
     text = F.concat_ws(":", *[p.cast("string") for p in parts], key.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    # never null: said so, because a null check pushed into the scan would hash every row twice
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def whole_div(left: Column, right) -> Column:
     """Integer division of non-negative whole numbers, exact for 64-bit values."""
     right = right if isinstance(right, Column) else F.lit(right)
     left, right = left.cast("bigint"), right.cast("bigint")
-    return ((left - left % right) / right).cast("bigint")
+    return F.coalesce(((left - left % right) / right).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def sigmoid(margin: Column) -> Column:

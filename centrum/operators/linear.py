@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from centrum.functions.columns import dot, sigmoid
@@ -30,20 +31,19 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return join_params(df, class_weights(df, label), ["center_id", label])
 
 
-def linear_margin(features: Column, coef, intercept) -> Column:
-    """coef . features + intercept. A plain list of up to 128 numbers becomes a sum of products."""
-    if isinstance(coef, Column):
-        return dot(features, coef) + intercept
-    if len(coef) > WIDE:
-        return dot(features, F.array(*[F.lit(float(c)) for c in coef])) + F.lit(float(intercept))
-    return reduce(lambda s, ic: s + features[ic[0]] * F.lit(float(ic[1])), enumerate(coef), F.lit(float(intercept)))
+def _margin_of_row(width: int, coef: Column, intercept: Column) -> Column:
+    x = F.col("features")
+    if width > WIDE:
+        return dot(x, coef) + intercept
+    return reduce(lambda s, i: s + x[i] * coef[i], range(width), intercept)
 
 
-def _margin_of_row(rows: DataFrame, width: int) -> Column:
-    if width > WIDE:
-        return dot(F.col("features"), F.col("coef")) + F.col("intercept")
-    x, w = F.col("features"), F.col("coef")
-    return reduce(lambda s, i: s + x[i] * w[i], range(width), F.col("intercept"))
+def _shared_values(model: DataFrame) -> tuple[Column, Column]:
+    """(coef, intercept) of a single model. Both sit in one array constant, so the generated code stays the same
+    from round to round and is compiled once."""
+    one = model.select("coef", "intercept").first()
+    packed = F.lit([float(one["intercept"]), *[float(c) for c in one["coef"]]])
+    return F.slice(packed, 2, len(one["coef"])), packed[0]
 
 
 def _residual(loss: str, margin: Column, label: Column) -> tuple[Column, Column]:
@@ -69,10 +69,10 @@ def gradient_sums(rows: DataFrame, models: DataFrame, width: int, loss: str) ->
     rows = rows.select("center_id", "features", F.col("label").cast("double").alias("label"), "weight")
     if "center_id" in models.columns:
         joined = join_params(rows, models.select("center_id", "coef", "intercept"), "center_id")
+        margin = _margin_of_row(width, F.col("coef"), F.col("intercept"))
     else:
-        one = models.select("coef", "intercept").first()
-        joined = rows.withColumn("coef", F.lit(list(one["coef"]))).withColumn("intercept", F.lit(one["intercept"]))
-    margin = _margin_of_row(joined, width)
+        joined = rows
+        margin = _margin_of_row(width, *_shared_values(models))
     slope, value = _residual(loss, margin, F.col("label"))
     hit = (margin > 0).cast("double") == F.col("label")
     scored = joined.select(
@@ -120,15 +120,21 @@ def wide_gradients(scored: DataFrame, common: list[Column]) -> DataFrame:
 def shared_start(df: DataFrame, width: int, coef=None, intercept: float = 0.0) -> DataFrame:
     """A single starting model (zeros unless given)."""
     start = [float(c) for c in coef] if coef is not None else [0.0] * width
-    return df.sparkSession.createDataFrame([(start, float(intercept))], "coef array<double>, intercept double")
+    return one_model(df.sparkSession, start, intercept)
+
+
+def one_model(spark, coef: list[float], intercept: float) -> DataFrame:
+    """A model row."""
+    table = pa.table({"coef": pa.array([list(coef)], pa.list_(pa.float64())), "intercept": pa.array([float(intercept)])})
+    return spark.createDataFrame(table)
 
 
 def per_center(models: DataFrame, sums: DataFrame) -> DataFrame:
     """Gradient sums beside the model they were taken at."""
     if "center_id" in models.columns:
         return sums.join(models.select("center_id", "coef", "intercept"), "center_id")
-    one = models.select("coef", "intercept").first()
-    return sums.withColumn("coef", F.lit(list(one["coef"]))).withColumn("intercept", F.lit(one["intercept"]))
+    coef, intercept = _shared_values(models)
+    return sums.withColumn("coef", coef).withColumn("intercept", intercept)
 
 
 def _stepped(at: DataFrame, coef: Column, rate: float) -> DataFrame:
@@ -234,10 +240,9 @@ def score_linear(rows: DataFrame, model: DataFrame, width: int, probability: boo
     """Probability, or the raw margin of the SVM. Per-center models score their own center's rows."""
     if "center_id" in model.columns:
         joined = join_params(rows, model.select("center_id", "coef", "intercept"), "center_id")
-        margin = _margin_of_row(joined, width)
+        margin = _margin_of_row(width, F.col("coef"), F.col("intercept"))
     else:
-        one = model.select("coef", "intercept").first()
         joined = rows
-        margin = linear_margin(F.col("features"), list(one["coef"]), one["intercept"])
+        margin = _margin_of_row(width, *_shared_values(model))
     scored = joined.withColumn(out, sigmoid(margin) if probability else margin)
     return scored.drop("coef", "intercept")

@@ -54,16 +54,19 @@ def weighted_parameters(models: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def merge_linear(models: DataFrame, smoothing: str | None = None, strength: float = 0.5) -> DataFrame:
-    """One merged model row: plain row-weighted averaging, or averaging with smoothed weights."""
-    if smoothing in (None, "None"):
-        return as_model(fedavg_parameters(models))
-    return as_model(weighted_parameters(models, smoothed_weights(models.select("center_id", "n_rows"), smoothing, strength)))
-
-
-def tree_index(trees: DataFrame) -> DataFrame:
-    """One row per (center_id, tree_id)."""
-    return trees.select("center_id", "tree_id").distinct()
+def merge_linear(models: DataFrame, smoothing: str | None = None, strength: float = 0.5, width: int | None = None) -> DataFrame:
+    """One merged model row: plain row-weighted averaging, or averaging with smoothed weights. With a known moderate
+    ``width`` the parameters are averaged side by side instead of being taken apart into rows."""
+    plain = smoothing in (None, "None")
+    if width is None or width > 128:
+        if plain:
+            return as_model(fedavg_parameters(models))
+        return as_model(weighted_parameters(models, smoothed_weights(models.select("center_id", "n_rows"), smoothing, strength)))
+    if not plain:
+        models = models.join(smoothed_weights(models.select("center_id", "n_rows"), smoothing, strength), "center_id")
+    w = F.col("n_rows") if plain else F.col("weight")
+    mean = lambda c: F.sum(w * c) / (F.sum(w) if plain else F.lit(1.0))
+    return models.agg(F.array(*[mean(F.col("coef")[i]) for i in range(width)]).alias("coef"), mean(F.col("intercept")).alias("intercept"))
 
 
 def renumber(trees: DataFrame, order: list[str], start: int = 0) -> DataFrame:

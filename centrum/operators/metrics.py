@@ -59,31 +59,52 @@ def score_bucket(score: Column) -> Column:
     ).cast("bigint")
 
 
-def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact area under the ROC curve with ties; 0 when a class is missing.
+def collapsed_scores(df: DataFrame, keys: list[str], cut: Column) -> DataFrame:
+    """Per (key, score bucket): class totals p and n, those above the cut (tp, fp), and the pair count u inside the
+    bucket.
 
-    Rows collapse to distinct scores on the map side; each (key, score bucket) is walked on its own and the
-    buckets are put together by their class totals, so a large center is not one task."""
+    Rows collapse to distinct scores on the map side and each (key, score bucket) is walked on its own, so a large
+    center is not one task."""
     y = F.col("label")
     scores = (
-        df.select(*keys, "score", "label")
-        .groupBy(*keys, "score")
+        df.select(*keys, "score", "label", cut.alias("_cut"))
+        .groupBy(*keys, "_cut", "score")
         .agg(F.sum((y == 1).cast("bigint")).alias("p"), F.sum((y == 0).cast("bigint")).alias("n"))
         .withColumn("_b", score_bucket(F.col("score")))
     )
     inside = Window.partitionBy(*keys, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     below = F.sum("n").over(inside) - F.col("n")
-    buckets = (
+    above = F.col("score") > F.col("_cut")
+    return (
         scores.withColumn("_u", F.col("p") * (below + F.col("n") * F.lit(0.5)))
         .groupBy(*keys, "_b")
-        .agg(F.sum("_u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+        .agg(
+            F.sum("_u").alias("u"),
+            F.sum("p").alias("p"),
+            F.sum("n").alias("n"),
+            F.sum(F.when(above, F.col("p")).otherwise(0)).alias("tp"),
+            F.sum(F.when(above, F.col("n")).otherwise(0)).alias("fp"),
+        )
     )
+
+
+def _per_key(buckets: DataFrame, keys: list[str]) -> DataFrame:
+    """Buckets put together: u counts the (positive, lower negative) pairs of the whole key."""
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     lower = F.sum("n").over(upto) - F.col("n")
-    whole = buckets.withColumn("u", F.col("u") + F.col("p") * lower).groupBy(*keys).agg(
-        F.sum("u").alias("u"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n")
-    )
-    return whole.select(*keys, ratio(F.col("u"), F.col("p") * F.col("n")).alias("auroc"))
+    sums = [F.sum(c).alias(c) for c in ("u", "p", "n", "tp", "fp")]
+    return buckets.withColumn("u", F.col("u") + F.col("p") * lower).groupBy(*keys).agg(*sums)
+
+
+def _area() -> Column:
+    p, n = F.col("p").cast("double"), F.col("n").cast("double")
+    return ratio(F.col("u"), p * n)
+
+
+def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact area under the ROC curve with ties; 0 when a class is missing."""
+    whole = _per_key(collapsed_scores(df, keys, F.lit(0.5)), keys)
+    return whole.select(*keys, _area().alias("auroc"))
 
 
 def mean_squared_error(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,20 +119,18 @@ def class_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def all_metrics(df: DataFrame, keys: list[str], threshold: float | str = 0.5) -> DataFrame:
-    """One row per key with every binary metric and the row count."""
-    counts = confusion(df, keys, threshold)
-    wide = with_rates(counts).withColumns(
-        {
-            "n_positives": (F.col("tp") + F.col("fn")),
-            "n_negatives": (F.col("fp") + F.col("tn")),
-            "n_rows": F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"),
-        }
+    """One row per key with every binary metric and the row count, from one pass over the rows. A threshold column
+    must be constant inside a key."""
+    cut = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    whole = _per_key(collapsed_scores(df, keys, cut), keys).withColumns({"tn": F.col("n") - F.col("fp"), "fn": F.col("p") - F.col("tp")})
+    return with_rates(whole).select(
+        *keys,
+        *RATES,
+        _area().alias("auroc"),
+        F.col("p").alias("n_positives"),
+        F.col("n").alias("n_negatives"),
+        (F.col("p") + F.col("n")).alias("n_rows"),
     )
-    area = auroc(df, keys)
-    for i, k in enumerate(keys):
-        area = area.withColumnRenamed(k, f"_k{i}")
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return wide.join(area, same).select(*keys, *BINARY, "n_rows")
 
 
 def long_metrics(wide: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:

@@ -157,19 +157,21 @@ class CenterParams:
 def fit(df: DataFrame, numeric: list[str], text: list[str], compat: bool = False, center: str = "center_id") -> CenterParams:
     """Fit all centers at once: one pass of numeric aggregates, one for the medians if any are needed, one value
     count for the text columns. ``compat`` computes the moments of text columns on codes without ``unknown``."""
-    raw = settle(numeric_moments(df, numeric, center, sketch=True))
-    num_fill = settle(numeric_imputation(df, numeric, center, raw))
-    moments = imputed_moments(raw, num_fill, center)
-    fills = num_fill.select(center, "column", "num_value", F.lit(None).cast("string").alias("str_value"))
-    sizes = raw.groupBy(center).agg(F.max("n_rows").alias("n_rows"))
-    codes = None
+    moments = fills = codes = sizes = None
+    if numeric:
+        raw = settle(numeric_moments(df, numeric, center, sketch=True))
+        num_fill = settle(numeric_imputation(df, numeric, center, raw))
+        moments = imputed_moments(raw, num_fill, center)
+        fills = num_fill.select(center, "column", "num_value", F.lit(None).cast("string").alias("str_value"))
+        sizes = raw.groupBy(center).agg(F.max("n_rows").alias("n_rows"))
     if text:
         counts = settle(value_counts(df, text, center))
-        if not numeric:
+        if sizes is None:
             sizes = counts.where(F.col("column") == text[0]).groupBy(center).agg(F.sum("n_rows").alias("n_rows"))
         codes = label_codes(counts, center)
         fill = categorical_imputation(counts, center)
-        fills = fills.unionByName(fill.select(center, "column", F.lit(None).cast("double").alias("num_value"), "str_value"))
+        text_fills = fill.select(center, "column", F.lit(None).cast("double").alias("num_value"), "str_value")
+        fills = text_fills if fills is None else fills.unionByName(text_fills)
         base = label_codes(counts, center, with_unknown=False) if compat else codes
         if not compat:
             # null rows are filled before the codes are taken
@@ -179,7 +181,8 @@ def fit(df: DataFrame, numeric: list[str], text: list[str], compat: bool = False
                 .groupBy(center, "column", "value")
                 .agg(F.sum("n_rows").alias("n_rows"))
             )
-        moments = moments.unionByName(code_moments(counts, base, center))
+        coded = code_moments(counts, base, center)
+        moments = coded if moments is None else moments.unionByName(coded)
     moments = moments.select(center, "column", "mean", usable_std(F.col("std")).alias("std"))
     return CenterParams(sizes, fills, moments, codes)
 

@@ -121,10 +121,15 @@ def level_split(hist: DataFrame, width: int, bins: int, reg_lambda: float = 1.0)
     )
 
 
-def split_nodes(splits: DataFrame, edges: DataFrame, bins: int, rate: float, reg_lambda: float = 1.0) -> DataFrame:
-    """Node rows of the split nodes and of both children as leaves with value -rate * G / (H + lambda)."""
+def with_thresholds(splits: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
+    """The upper edge of the split's bin, the place where the row values are cut."""
     lo, hi = F.col("lo")[F.col("feature")], F.col("hi")[F.col("feature")]
-    placed = splits.join(edges, "center_id").withColumn("threshold", lo + (F.col("bin") + 1) * ((hi - lo) / bins))
+    placed = splits.join(edges, "center_id")
+    return placed.withColumn("threshold", lo + (F.col("bin") + 1) * ((hi - lo) / bins)).drop("lo", "hi")
+
+
+def split_nodes(splits: DataFrame, rate: float, reg_lambda: float = 1.0) -> DataFrame:
+    """Node rows of the split nodes and of both children as leaves with value -rate * G / (H + lambda)."""
 
     def leaf(g: str, h: str, child) -> F.Column:
         return F.struct(
@@ -148,7 +153,7 @@ def split_nodes(splits: DataFrame, edges: DataFrame, bins: int, rate: float, reg
         (F.col("hl") + F.col("hr")).alias("sum_hessian"),
     )
     nodes = F.array(inner, leaf("gl", "hl", left), leaf("gr", "hr", right))
-    return placed.select("center_id", F.explode(nodes).alias("_n")).select("center_id", "_n.*")
+    return splits.select("center_id", F.explode(nodes).alias("_n")).select("center_id", "_n.*")
 
 
 def move_rows(rows: DataFrame, splits: DataFrame) -> DataFrame:
@@ -171,35 +176,37 @@ def grow(
     symmetric: bool = False,
     round_no: int = 1,
 ) -> DataFrame:
-    """One tree per center from rows (center_id, bins, g, h): one histogram job per level, all centers together."""
+    """One tree per center from rows (center_id, bins, g, h): one histogram job per level, all centers together.
+    Only the splits of a level come back; what is returned is built from them."""
     rows = rows.select("center_id", "bins", "g", "h").withColumn("node", F.lit(0))
-    grown = None
+    all_splits = None
     for level in range(depth):
-        active = rows.where(F.col("node") >= 2**level - 1)
+        active = rows.where(F.col("node") >= 2**level - 1) if level else rows
         hist = histogram(active)
         found = level_split(hist, width, bins, reg_lambda) if symmetric else best_splits(split_gains(hist, reg_lambda), min_gain)
-        splits = settle(found)
-        nodes = split_nodes(splits, edges, bins, rate, reg_lambda)
-        if grown is None:
-            grown = nodes
-        else:
-            grown = grown.join(nodes.select("center_id", "node_id"), ["center_id", "node_id"], "left_anti").unionByName(nodes)
+        splits = settle(with_thresholds(found, edges, bins))
+        all_splits = splits if all_splits is None else all_splits.unionByName(splits)
+        if splits.isEmpty():
+            break
         if level + 1 < depth:
             rows = move_rows(rows, splits)
-    return settle(
-        grown.select(
-            F.lit(round_no).alias("round"),
-            F.col("center_id").cast("int"),
-            F.lit(round_no).alias("tree_id"),
-            F.col("node_id").cast("int"),
-            F.col("feature").cast("int"),
-            "threshold",
-            F.col("left").cast("int"),
-            F.col("right").cast("int"),
-            "value",
-            "sum_hessian",
-            F.lit(1.0).alias("tree_weight"),
-        )
+    nodes = split_nodes(all_splits, rate, reg_lambda)
+    if depth > 1:
+        # a child that was split itself is an inner node, not the leaf its parent left behind
+        names = [c for c in nodes.columns if c not in ("center_id", "node_id")]
+        nodes = nodes.groupBy("center_id", "node_id").agg(F.max_by(F.struct(*names), "left").alias("_n")).select("center_id", "node_id", "_n.*")
+    return nodes.select(
+        F.lit(round_no).alias("round"),
+        F.col("center_id").cast("int"),
+        F.lit(round_no).alias("tree_id"),
+        F.col("node_id").cast("int"),
+        F.col("feature").cast("int"),
+        "threshold",
+        F.col("left").cast("int"),
+        F.col("right").cast("int"),
+        "value",
+        "sum_hessian",
+        F.lit(1.0).alias("tree_weight"),
     )
 
 
@@ -252,17 +259,17 @@ def _feature_matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 def _tree_chunks(trees: DataFrame):
     """The trees in parts of at most about half a million nodes, so what is broadcast has a fixed bound."""
-    sizes = trees.groupBy("round", "center_id", "tree_id").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("round", "center_id", "tree_id").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = sizes.withColumn("part", F.floor((F.sum("n").over(upto) - 1) / NODES_PER_PASS).cast("int"))
-    last = numbered.agg(F.max("part")).first()[0]
-    if last is None:
-        return
-    if last == 0:
-        yield trees.toPandas()
+    local = trees.limit(NODES_PER_PASS + 1).toArrow()
+    if local.num_rows <= NODES_PER_PASS:
+        if local.num_rows:
+            yield local.to_pandas()
         return
-    for part in range(last + 1):
-        yield trees.join(numbered.where(F.col("part") == part).drop("n", "part"), ["round", "center_id", "tree_id"], "left_semi").toPandas()
+    keys = ["round", "center_id", "tree_id"]
+    sizes = trees.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = settle(sizes.withColumn("part", F.floor((F.sum("n").over(upto) - 1) / NODES_PER_PASS).cast("int")))
+    for part in range(numbered.agg(F.max("part")).first()[0] + 1):
+        yield trees.join(numbered.where(F.col("part") == part).drop("n", "part"), keys, "left_semi").toPandas()
 
 
 def encode_trees(rows: DataFrame, trees: DataFrame, out: str = "tree_out") -> DataFrame:

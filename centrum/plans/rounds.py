@@ -79,7 +79,7 @@ def linear_rounds(
         for round_no in range(1, num_rounds + 1):
             part = taking_part(weighted, stats, dropout_method, percent, round_no, seed)
             models = settle(linear.local_round(part, shared, width, algorithm, rate, steps, mu))
-            merged = merge.merge_linear(models, smoothing, strength)
+            merged = merge.merge_linear(models, smoothing, strength, width)
             row = merged.first()
             if row is not None and row["intercept"] is not None:
                 shared = linear.shared_start(rows, width, row["coef"], row["intercept"])
@@ -132,10 +132,11 @@ def boosted_rounds(
     edges = settle(tr.bin_edges(rows, width))
     stats = center_stats(rows)
     mode = rate_mode if merged and not symmetric else "uniform"
-    rates = merge.step_sizes(stats, 1.0, mode)
+    rates = settle(merge.step_sizes(stats, 1.0, mode))
     keep = ["center_id", "features", "label", *([key] if key else [])]
     current = tr.with_bins(rows.select(*keep), edges, width, bins).withColumn("margin", F.lit(float(base)))
     current = current.persist(StorageLevel.MEMORY_AND_DISK)
+    held = [current]
     total = tr.no_trees(rows.sparkSession)
     for round_no in range(1, num_rounds + 1):
         part = taking_part(current, stats, dropout_method, percent, round_no, seed)
@@ -143,6 +144,10 @@ def boosted_rounds(
             part = tr.row_subsample(part, key, subsample, seed, round_no)
         graded = tr.logistic_gradients(part, scale_positive=scale_positive) if objective == "logistic" else tr.squared_gradients(part)
         grown = tr.grow(graded, edges, width, depth, bins, rate, 1.0, min_gain, symmetric, round_no)
+        # this round's rows are computed now, so those they came from can go
+        for old in held[:-1]:
+            old.unpersist()
+        held = held[-1:]
         if merged and symmetric:
             grown = merge.symmetric_merge(None, grown, stats)
         elif merged and train_method != "bagging":
@@ -150,15 +155,14 @@ def boosted_rounds(
         elif merged:
             grown = merge.scale_leaves(grown, rates)
         grown = settle(grown.select(*total.columns))
-        total = settle(total.unionByName(grown))
+        total = grown if round_no == 1 else settle(total.unionByName(grown))
         yield round_no, total
         if round_no < num_rounds:
-            moved = tr.add_margin(current, grown, own_center=not merged)
-            moved = cut_lineage(moved) if round_no % cut_every == 0 else moved.persist(StorageLevel.MEMORY_AND_DISK)
-            moved.select(F.sum("margin")).collect()
-            current.unpersist()
-            current = moved
-    current.unpersist()
+            current = tr.add_margin(current, grown, own_center=not merged)
+            current = cut_lineage(current) if round_no % cut_every == 0 else current.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(current)
+    for old in held:
+        old.unpersist()
 
 
 def train_boosted(rows: DataFrame, width: int, **settings) -> DataFrame:
