@@ -53,30 +53,38 @@ def balanced_draw(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return join_params(ranked, least, "center_id").where(F.col("pos") <= F.col("_least")).drop("pos", "n_group", "_least")
 
 
+def stored_by_center(rows: DataFrame, name: str = "centers") -> tuple[list[int], str]:
+    """Rows written once to the shared folder, one folder per center, so that a job for one center reads only its own
+    rows. A center's rows are spread over 64 salted pieces; a hot center is neither one task nor one file.
+    Returns the centers and the path."""
+    path = scratch_path(rows.sparkSession, name)
+    salt = F.floor(F.rand(1) * 64).cast("int") if "row_key" not in rows.columns else F.pmod(F.xxhash64("row_key"), F.lit(64))
+    rows.repartition("center_id", salt).drop("row_key").write.partitionBy("center_id").parquet(path)
+    centers = rows.sparkSession.read.parquet(path).select("center_id").distinct().orderBy("center_id").collect()
+    return [r["center_id"] for r in centers], path
+
+
 def forest_round(
     df: DataFrame, key: str, trees: int = 100, depth: int = 10, balance: bool = False, seed: int = 42, round_no: int = 1, bags: int = 1, parallel: int = 4
 ) -> DataFrame:
     """A forest for every center. Unbalanced forests weight the classes; balanced ones fit ``bags`` bags of trees,
-    each on its own equal class draw."""
+    each on its own equal class draw. Several centers are fitted at a time."""
     spark = df.sparkSession
-    centers = [r["center_id"] for r in df.select("center_id").distinct().orderBy("center_id").toLocalIterator()]
     bag_rows = [balanced_draw(df, key, seed + b).withColumn("weight", F.lit(1.0)) for b in range(bags)] if balance else [balanced(df)]
-    vectors = [b.select("center_id", "label", "weight", array_to_vector("features").alias("_x")).persist() for b in bag_rows]
-    per_bag = max(trees // len(vectors), 1)
+    stored = [stored_by_center(b.select("center_id", "label", "weight", "features", F.col(key).alias("row_key"))) for b in bag_rows]
+    per_bag = max(trees // len(stored), 1)
 
     def fit(task):
         center, bag = task
         forest = RandomForestClassifier(
             featuresCol="_x", labelCol="label", weightCol="weight", numTrees=per_bag, maxDepth=depth, seed=seed + bag
         )
-        rows = vectors[bag].where(F.col("center_id") == center)
+        rows = spark.read.parquet(f"{stored[bag][1]}/center_id={center}").withColumn("_x", array_to_vector("features"))
         part = model_trees(spark, forest.fit(rows), center, round_no)
         return part.withColumn("tree_id", F.col("tree_id") + bag * per_bag)
 
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(fit, [(c, b) for c in centers for b in range(len(vectors))]))
-    for v in vectors:
-        v.unpersist()
+        parts = list(pool.map(fit, [(c, b) for b, (centers, _) in enumerate(stored) for c in centers]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

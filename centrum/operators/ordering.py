@@ -7,12 +7,13 @@ the middle, and small tables are broadcast only after their row count was checke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from centrum.functions.columns import HASH_RANGE, row_hash, whole_div
 from centrum.session import cut_lineage
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def rank_buckets(spark: SparkSession) -> int:
@@ -23,9 +24,10 @@ def rank_buckets(spark: SparkSession) -> int:
 
 
 def small_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """A parameter table computed once and kept as local rows, or None when it has more than ``max_rows``."""
+    """A parameter table computed once and kept as local rows, or None when it has more than ``max_rows`` rows or is
+    larger than 64 MB."""
     local = df.limit(max_rows + 1).toArrow()
-    if local.num_rows > max_rows:
+    if local.num_rows > max_rows or local.nbytes > BROADCAST_BYTES:
         return None
     if local.num_rows == 0:
         return df.sparkSession.createDataFrame([], df.schema)
@@ -58,27 +60,37 @@ def ordered_position(
 
     ``bucket`` must never decrease along ``order``. Each (group, bucket) is sorted on its own; the offsets
     come from a count per (group, bucket)."""
-    rows = df.withColumn("_bucket", bucket)
-    names = [f"_g{i}" for i in range(len(groups))]
-    sizes = rows.groupBy(*[F.col(g).alias(a) for g, a in zip(groups, names)], F.col("_bucket").alias("_b")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    before = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*names)
+    rows, keys = _joinable_keys(df.withColumn("_bucket", bucket), groups)
+    keys = [*keys, "_bucket"]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys[:-1]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys[:-1])
     offsets = sizes.select(
-        *names,
-        "_b",
+        *keys,
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"),
         F.sum("_c").over(whole).alias(total),
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    ranked = rows.withColumn("_rn", F.row_number().over(inside))
-    match = F.col("_bucket") == F.col("_b")
-    for g, a in zip(groups, names):
-        match = match & F.col(g).eqNullSafe(F.col(a))
-    return ranked.join(offsets, match).withColumn(pos, F.col("_rn") + F.col("_offset")).drop(
-        "_bucket", "_b", "_rn", "_offset", *names
-    )
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # both sides are laid out by the same keys, so the rows are shuffled once, for the window
+    return ranked.join(offsets, keys).withColumn(pos, F.col("_rn") + F.col("_offset")).drop(*keys, "_rn", "_offset")
+
+
+def _joinable_keys(rows: DataFrame, groups: list[str]) -> tuple[DataFrame, list[str]]:
+    """Key columns without nulls for the groups: the value or a stand-in, and one mask that tells which are null."""
+    if not groups:
+        return rows, []
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    names = []
+    for i, g in enumerate(groups):
+        dtype = types[g]
+        value = F.col(g) if isinstance(dtype, (T.NumericType, T.StringType)) else F.col(g).cast("string")
+        filler = F.lit(0).cast(dtype) if isinstance(dtype, T.NumericType) else F.lit("")
+        rows = rows.withColumn(f"_g{i}", F.coalesce(value, filler))
+        names.append(f"_g{i}")
+    mask = F.lit(0)
+    for i, g in enumerate(groups):
+        mask = mask + F.when(F.col(g).isNull(), 1 << i).otherwise(0)
+    return rows.withColumn("_nulls", mask), [*names, "_nulls"]
 
 
 def hash_position(
@@ -100,37 +112,70 @@ def middle_sketch(value: Column) -> Column:
     return F.percentile_approx(value, MIDDLE, ACCURACY)
 
 
-def exact_median(df: DataFrame, groups: list[str], value: str, out: str = "median", bounds: DataFrame | None = None) -> DataFrame:
+def exact_median(df: DataFrame, groups: list[str], value: str, out: str = "median") -> DataFrame:
     """Exact median per group without holding a group's values in one task.
 
-    Everything outside the two enclosing values is only counted; the values between them are counted one by one and
-    walked in order. ``bounds`` are (groups, _mid, _n) when the caller already has them from another pass."""
+    Everything outside two enclosing values is only counted. The values between them are counted one by one in 1,024
+    parts, and only the part that holds the middle rank is walked in order."""
     keys = groups or ["_all"]
     rows = df if groups else df.withColumn("_all", F.lit(0))
     rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if bounds is None:
-        bounds = rows.groupBy(*keys).agg(middle_sketch(F.col("_v")).alias("_mid"), F.count(F.lit(1)).alias("_n"))
-    side = F.when(F.col("_v") < F.col("_mid")[0], -1).when(F.col("_v") > F.col("_mid")[1], 1).otherwise(0)
+    bounds = rows.groupBy(*keys).agg(middle_sketch(F.col("_v")).alias("_mid"), F.count(F.lit(1)).alias("_n"))
+    low_v, high_v = F.col("_mid")[0], F.col("_mid")[1]
+    between = F.col("_v").between(low_v, high_v)
+    spread = F.least(F.floor((F.col("_v") - low_v) / (high_v - low_v) * 1024), F.lit(1023))
+    part = F.when(F.col("_v") < low_v, -1).when(F.col("_v") > high_v, 1024).when(high_v > low_v, spread).otherwise(0)
     counted = (
         join_params(rows, bounds, keys)
-        .withColumn("_side", side)
-        .withColumn("_k", F.when(F.col("_side") == 0, F.col("_v")))
-        .groupBy(*keys, "_side", "_k")
+        .select(*keys, part.cast("int").alias("_part"), F.when(between, F.col("_v")).alias("_k"), "_n")
+        .groupBy(*keys, "_part", "_k")
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
     )
-    walk = Window.partitionBy(*keys).orderBy("_side", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    walked = counted.withColumn("_cum", F.sum("_c").over(walk))
+    # which of the 1,026 parts hold the middle ranks
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    low, high = whole_div(F.col("_n") + 1, 2), whole_div(F.col("_n"), 2) + 1
+    parts = counted.groupBy(*keys, "_part").agg(F.sum("_c").alias("_p"), F.max("_n").alias("_n"))
+    parts = parts.withColumn("_before", F.sum("_p").over(upto) - F.col("_p"))
+
+    def holds(rank: Column, before: Column, count: Column) -> Column:
+        return (before < rank) & (before + count >= rank)
+
+    middle = parts.where(holds(low, F.col("_before"), F.col("_p")) | holds(high, F.col("_before"), F.col("_p")))
+    walk = Window.partitionBy(*keys, "_part").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    walked = counted.join(middle.select(*keys, "_part", "_before"), [*keys, "_part"]).withColumn(
+        "_prior", F.col("_before") + F.sum("_c").over(walk) - F.col("_c")
+    )
 
     def at(rank: Column) -> Column:
-        hit = (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_c") < rank)
         outside = F.raise_error(F.lit("median fell outside the sketch bounds")).cast("double")
-        return F.max(F.when(hit, F.when(F.col("_side") == 0, F.col("_k")).otherwise(outside)))
+        return F.max(F.when(holds(rank, F.col("_prior"), F.col("_c")), F.when(F.col("_k").isNotNull(), F.col("_k")).otherwise(outside)))
 
-    low, high = whole_div(F.col("_n") + 1, 2), whole_div(F.col("_n"), 2) + 1
     result = walked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
     return result if groups else result.drop("_all")
 
 
+def sorted_codes(values: DataFrame, groups: list[str], value: str, out: str = "code") -> DataFrame:
+    """0-based place of each distinct text among the sorted texts of its group.
+
+    A table counted to be small is sorted per group. A large one is cut by the three characters that follow the
+    group's common prefix, and each piece is sorted on its own."""
+    if small_count(values):
+        return values.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(value)) - 1)
+    ends = values.groupBy(*groups).agg(F.min(value).alias("_first"), F.max(value).alias("_last"))
+    shortest = F.least(F.length("_first"), F.length("_last"))
+    same = lambda i: F.substring("_first", F.lit(1), i) == F.substring("_last", F.lit(1), i)
+    lengths = F.when(shortest > 0, F.filter(F.sequence(F.lit(1), shortest), same)).otherwise(F.array().cast("array<int>"))
+    ends = ends.select(*groups, F.size(lengths).alias("_skip"))
+    piece = F.substring(F.col(value), F.col("_skip") + 1, F.lit(3))
+    ranked = ordered_position(join_params(values, ends, groups), groups, piece, [value])
+    return ranked.withColumn(out, (F.col("pos") - 1).cast("int")).drop("pos", "n_group", "_skip")
+
+
+def small_count(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``max_rows`` rows; stops counting beyond."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def interval_step(size: Column) -> Column:
     """Block length for positions 0..size-1: about a thousand blocks, and no block shorter than 4,096."""
     return F.greatest(F.lit(4096), whole_div(size, 1024))
@@ -147,4 +192,4 @@ def interval_join(rows: DataFrame, slices: DataFrame, on: list[str], value: str,
     cut = slices.where(F.col("hi") > F.col("lo")).withColumn("_block", F.explode(blocks)).drop(slice_size)
     inside = (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))
     blocked = rows.withColumn("_block", whole_div(F.col(value), interval_step(F.col(row_size))))
-    return blocked.join(cut, [*on, "_block"]).where(inside).drop("_block")
+    return join_params(blocked, cut, [*on, "_block"]).where(inside).drop("_block")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from centrum.operators.ordering import exact_median, join_params, middle_sketch, settle
+from centrum.operators.ordering import exact_median, join_params, settle, sorted_codes
 
 UNKNOWN = "unknown"
 
@@ -27,9 +27,8 @@ def long_values(df: DataFrame, ids: list[str], columns: list[str], dtype: str) -
     return df.select(*ids, F.explode(F.array(*entries)).alias("_e")).select(*ids, "_e.column", "_e.value")
 
 
-def numeric_moments(df: DataFrame, columns: list[str], center: str = "center_id", sketch: bool = False) -> DataFrame:
-    """n_rows, nulls, mean and sample deviation per (center, numeric column), all columns in one pass; with
-    ``sketch`` also the two values that enclose the median."""
+def numeric_moments(df: DataFrame, columns: list[str], center: str = "center_id") -> DataFrame:
+    """n_rows, nulls, mean and sample deviation per (center, numeric column), all columns in one pass."""
     aggs: list[Column] = []
     for c in columns:
         x = F.col(c).cast("double")
@@ -39,11 +38,7 @@ def numeric_moments(df: DataFrame, columns: list[str], center: str = "center_id"
             F.avg(x).alias(f"{c}__mean"),
             F.stddev_samp(x).alias(f"{c}__std"),
         ]
-        if sketch:
-            aggs.append(middle_sketch(x).alias(f"{c}__mid"))
     fields = {"n_rows": "bigint", "n_null": "bigint", "mean": "double", "std": "double"}
-    if sketch:
-        fields["mid"] = "array<double>"
     return _stack(df.groupBy(center).agg(*aggs), [center], columns, fields)
 
 
@@ -53,19 +48,15 @@ def null_counts(df: DataFrame, columns: list[str], center: str = "center_id") ->
     return _stack(df.groupBy(center).agg(*aggs), [center], columns, {"n_null": "bigint"})
 
 
-def numeric_imputation(df: DataFrame, columns: list[str], center: str = "center_id", moments: DataFrame | None = None) -> DataFrame:
-    """Median per (center, column), only where the center has a null in that column. ``moments`` (with the sketch)
-    save the pass that finds the nulls and the bounds."""
-    if moments is None:
-        moments = settle(numeric_moments(df, columns, center, sketch=True))
-    lacking = moments.where(F.col("n_null") > 0)
-    wanted = [r["column"] for r in lacking.select("column").distinct().collect()]
+def numeric_imputation(df: DataFrame, columns: list[str], center: str = "center_id", nulls: DataFrame | None = None) -> DataFrame:
+    """Median per (center, column), only where the center has a null in that column. ``nulls`` are the null counts
+    when another pass has them already. Rows of centers and columns without nulls are not looked at again."""
+    lacking = settle((null_counts(df, columns, center) if nulls is None else nulls).where("n_null > 0").select(center, "column"))
+    wanted = sorted(r["column"] for r in lacking.select("column").distinct().collect())
     if not wanted:
         return lacking.select(center, "column", F.lit(0.0).alias("num_value"))
-    bounds = lacking.where("mid IS NOT NULL").select(
-        center, "column", F.col("mid").alias("_mid"), (F.col("n_rows") - F.col("n_null")).alias("_n")
-    )
-    medians = exact_median(long_values(df, [center], wanted, "double"), [center, "column"], "value", bounds=bounds)
+    values = join_params(long_values(df, [center], wanted, "double"), lacking, [center, "column"], "left_semi")
+    medians = exact_median(values, [center, "column"], "value")
     # a column that is all null has no median: 0 takes its place
     return lacking.join(medians, [center, "column"], "left").select(
         center, "column", F.coalesce("median", F.lit(0.0)).alias("num_value")
@@ -97,8 +88,7 @@ def label_codes(counts: DataFrame, center: str = "center_id", with_unknown: bool
     if with_unknown:
         extra = values.select(center, "column").distinct().withColumn("value", F.lit(UNKNOWN))
         values = values.unionByName(extra).distinct()
-    order = Window.partitionBy(center, "column").orderBy("value")
-    return values.withColumn("code", F.row_number().over(order) - 1)
+    return sorted_codes(values, [center, "column"], "value")
 
 
 def code_moments(counts: DataFrame, codes: DataFrame, center: str = "center_id") -> DataFrame:
@@ -159,7 +149,7 @@ def fit(df: DataFrame, numeric: list[str], text: list[str], compat: bool = False
     count for the text columns. ``compat`` computes the moments of text columns on codes without ``unknown``."""
     moments = fills = codes = sizes = None
     if numeric:
-        raw = settle(numeric_moments(df, numeric, center, sketch=True))
+        raw = settle(numeric_moments(df, numeric, center))
         num_fill = settle(numeric_imputation(df, numeric, center, raw))
         moments = imputed_moments(raw, num_fill, center)
         fills = num_fill.select(center, "column", "num_value", F.lit(None).cast("string").alias("str_value"))
@@ -318,8 +308,8 @@ def encode(df: DataFrame, text: list[str], codes: DataFrame) -> DataFrame:
 
 def encode_locally(df: DataFrame, name: str) -> DataFrame:
     """A text column without an encoder: codes of its own sorted values, null is -1."""
-    values = df.select(name).where(F.col(name).isNotNull()).distinct()
-    codes = values.withColumn("_code", F.row_number().over(Window.orderBy(name)) - 1)
+    values = df.where(F.col(name).isNotNull()).select(F.lit(0).alias("_all"), name).distinct()
+    codes = sorted_codes(settle(values), ["_all"], name, "_code").drop("_all")
     return join_params(df, codes, name, "left").withColumn(name, F.coalesce("_code", F.lit(-1)).cast("double")).drop("_code")
 
 

@@ -74,18 +74,28 @@ def binned_mutual_info(df: DataFrame, features: list[str], bins: int = 16, label
     return terms.groupBy(*base).agg(F.sum("t").alias("score"))
 
 
-def forest_importance(df: DataFrame, features: list[str], label: str = "label", trees: int = 100, seed: int = 42) -> DataFrame:
-    """Random-forest importances per center: one distributed fit for each center, parameter-sized results."""
+def forest_importance(df: DataFrame, features: list[str], label: str = "label", trees: int = 100, seed: int = 42, parallel: int = 4) -> DataFrame:
+    """Random-forest importances per center: one distributed fit for each center on its own stored rows, several at
+    a time; only the importances come back."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    from centrum.operators.forests import stored_by_center
+
     spark = df.sparkSession
-    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df).select("center_id", label, "_x")
+    keys = ["row_key"] if "row_key" in df.columns else []
+    centers, path = stored_by_center(df.select("center_id", label, *features, *keys))
+    vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, seed=seed)
-    out = []
-    for row in rows.select("center_id").distinct().orderBy("center_id").toLocalIterator():
-        model = forest.fit(rows.where(F.col("center_id") == row["center_id"]))
-        out += [(row["center_id"], f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+
+    def fit(center):
+        model = forest.fit(vectors.transform(spark.read.parquet(f"{path}/center_id={center}")))
+        return [(center, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        out = [row for rows in pool.map(fit, centers) for row in rows]
     return spark.createDataFrame(out, "center_id int, feature string, score double")
 
 

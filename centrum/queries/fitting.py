@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from centrum.operators import prep, selection as fs
+from centrum.operators.ordering import settle
 from centrum.plans import views as V
 from centrum.queries.registry import query, rounded
 
@@ -81,7 +82,7 @@ def modes(spark, folder):
 
 @query("fit_4_label_codes", f'WITH {LONG_TXT}, {CODES} SELECT center_id, "column", v AS value, code FROM codes')
 def codes(spark, folder):
-    return prep.label_codes(prep.value_counts(clinic(spark, folder), TXT))
+    return prep.label_codes(settle(prep.value_counts(clinic(spark, folder), TXT)))
 
 
 @query(
@@ -90,7 +91,7 @@ def codes(spark, folder):
         SELECT center_id, "column", count(*) AS n_rows, round(avg(code), 6) AS mean, round(stddev_samp(code), 6) AS std FROM c GROUP BY ALL""",
 )
 def plain_codes(spark, folder):
-    counts = prep.value_counts(clinic(spark, folder), TXT)
+    counts = settle(prep.value_counts(clinic(spark, folder), TXT))
     out = prep.code_moments(counts, prep.label_codes(counts, with_unknown=False))
     return out.select("center_id", "column", "n_rows", rounded("mean"), rounded("std"))
 
@@ -300,7 +301,7 @@ UNSEEN = f"""{V.CLINIC}, base AS (SELECT * FROM clinic WHERE o_orderpriority NOT
 def encode(spark, folder):
     rows = clinic(spark, folder)
     base = rows.where(~F.col("o_orderpriority").isin("3-MEDIUM", "5-LOW"))
-    counts = prep.value_counts(base, ["o_orderpriority"])
+    counts = settle(prep.value_counts(base, ["o_orderpriority"]))
     sizes = base.groupBy("center_id").agg(F.count(F.lit(1)).alias("n_rows"))
     table = prep.largest_center_codes(prep.label_codes(counts), sizes)
     return prep.encode(rows, ["o_orderpriority"], table).select("row_key", "o_orderpriority")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from centrum.operators import dropout, linear, merge, metrics as met
 from centrum.operators.prep import center_weights
 from centrum.plans import rounds, views as V
-from centrum.queries.registry import query, rounded
+from centrum.queries.registry import finished, query, rounded
 
 # A fixed model that the single steps start from.
 START, BIAS, RATE = [0.1, -0.2, 0.3, 0.05], 0.1, 0.5
@@ -99,7 +99,7 @@ def local_baseline(spark, folder):
     rows = one_pass_train_val_test(V.planted_features(spark, folder), "row_key").persist()
     models = rounds.local_linear(rows.where("split = 'train'"), V.WIDTH, steps=5, rate=3.0)
     scored = linear.score_linear(rows.where("split <> 'train'"), models, V.WIDTH)
-    return rounds.phase_metrics(scored, "local", 0).withColumn("value", F.round("value", 4))
+    return finished(rounds.phase_metrics(scored, "local", 0).withColumn("value", F.round("value", 4)), rows)
 
 
 @query("trn_13_pooled_baseline")
@@ -189,7 +189,7 @@ def linear_rounds(spark, folder):
     rows = one_pass_train_val_test(V.planted_features(spark, folder), "row_key").persist()
     shared, _ = rounds.train_linear(rows.where("split = 'train'"), V.WIDTH, num_rounds=5, rate=3.0, dropout_method="random_dropout", percent=30.0)
     history = rounds.round_history(linear.score_linear(rows.where("split <> 'train'"), shared, V.WIDTH), 5)
-    return history.where("metric IN ('auroc', 'balanced_accuracy')").withColumn("value", F.round("value", 4))
+    return finished(history.where("metric IN ('auroc', 'balanced_accuracy')").withColumn("value", F.round("value", 4)), rows)
 
 
 @query("fed_21_custom_model", f"WITH {V.PLANTED} SELECT center_id, round(avg(f1), 6) AS centroid, count(*) AS n FROM planted GROUP BY 1")

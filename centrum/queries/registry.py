@@ -29,6 +29,16 @@ def rounded(name: str, digits: int = 6, of: Column | None = None) -> Column:
     return F.round(F.col(name) if of is None else of, digits).alias(name)
 
 
+def finished(result: DataFrame, *cached: DataFrame) -> DataFrame:
+    """A parameter-sized result computed now, after which the cached rows are let go."""
+    from centrum.operators.ordering import settle
+
+    out = settle(result)
+    for df in cached:
+        df.unpersist()
+    return out
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from centrum.queries import assign, fitting, history, inputs, models, scoring, trees  # noqa: F401

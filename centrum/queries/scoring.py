@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from centrum.operators import fairness, linear, metrics as met
 from centrum.plans import rounds, views as V
 from centrum.queries.models import BALANCED, start
-from centrum.queries.registry import query, rounded
+from centrum.queries.registry import finished, query, rounded
 
 T = 0.1
 CONF = f"{V.SCORED}, c AS (SELECT center_id, {V.sql_confusion('0.1e0')} FROM scored GROUP BY 1)"
@@ -162,7 +162,7 @@ def personalized(spark, folder):
     rows = one_pass_train_val_test(V.planted_features(spark, folder), "row_key").persist()
     _, models = rounds.train_linear(rows.where("split = 'train'"), V.WIDTH, num_rounds=2, rate=3.0)
     scored_by_own = linear.score_linear(rows.where("split <> 'train'"), models, V.WIDTH)
-    return rounds.phase_metrics(scored_by_own, "personalized", 2).withColumn("value", F.round("value", 4))
+    return finished(rounds.phase_metrics(scored_by_own, "personalized", 2).withColumn("value", F.round("value", 4)), rows)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from centrum.operators import forests, linear, merge, trees as tr
 from centrum.operators.ordering import settle
 from centrum.plans import rounds, views as V
-from centrum.queries.registry import query, rounded
+from centrum.queries.registry import finished, query, rounded
 
 BINS, RATE = 16, 0.3
 
@@ -168,7 +168,7 @@ def pooled_test(spark, folder):
     rows = stratified_split(V.planted_features(spark, folder), "row_key").persist()
     shared, _ = rounds.train_linear(rows.where("split = 'train'"), V.WIDTH, num_rounds=3, rate=3.0)
     scored = linear.score_linear(rows.where("split = 'test'"), shared, V.WIDTH)
-    return long_metrics(all_metrics(scored, ["split"]), ["split"]).withColumn("value", F.round("value", 4))
+    return finished(long_metrics(all_metrics(scored, ["split"]), ["split"]).withColumn("value", F.round("value", 4)), rows)
 
 
 @query("proj_10_shared_trees", f"WITH {STUMPS} SELECT {SQL_NODES} FROM nodes")
@@ -312,4 +312,4 @@ def boosted_rounds(spark, folder):
     rows = one_pass_train_val_test(V.planted_features(spark, folder, "label2"), "row_key").persist()
     grown = rounds.train_boosted(rows.where("split = 'train'"), V.WIDTH, num_rounds=4, depth=2, rate=0.5, rate_mode="weighted")
     history = rounds.round_history(tr.score_boosted(rows.where("split <> 'train'"), grown), 4)
-    return history.where("metric IN ('auroc', 'balanced_accuracy')").withColumn("value", F.round("value", 4))
+    return finished(history.where("metric IN ('auroc', 'balanced_accuracy')").withColumn("value", F.round("value", 4)), rows)

@@ -89,3 +89,27 @@ def test_no_global_window_over_rows(spark, folder):
     for line in plan.splitlines():
         if "Window [row_number()" in line:
             assert "_bucket" in line
+
+
+@pytest.mark.parametrize("prefix", ["", "customer#"])
+def test_sorted_codes_of_a_large_table(spark, monkeypatch, prefix):
+    values = spark.range(700).select((F.col("id") % 2).cast("int").alias("g"), F.concat(F.lit(prefix), F.col("id").cast("string")).alias("value"))
+    small = {tuple(r) for r in o.sorted_codes(values, ["g"], "value").collect()}
+    monkeypatch.setattr(o, "small_count", lambda df: False)
+    assert small == {tuple(r) for r in o.sorted_codes(values, ["g"], "value").collect()}
+
+
+def test_rows_are_shuffled_once_for_a_position(spark, folder):
+    """Without broadcasts the window's layout is also the join's: one exchange of rows, and two of counts."""
+    from centrum.plans import views as V
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = V.planted_rows(spark, folder).select("row_key", "center_id", "label")
+        plan = o.hash_position(rows, ["center_id", "label"], "row_key", 42)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows_moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(rows_moved) <= 4 and "SortMergeJoin" in plan
