@@ -37,7 +37,7 @@ def model_trees(spark, model: RandomForestClassificationModel, center_id: int, r
         F.col("treeID").cast("int").alias("tree_id"),
         n["id"].cast("int").alias("node_id"),
         F.when(leaf, -1).otherwise(n["split"]["featureIndex"]).cast("int").alias("feature"),
-        F.when(~leaf, just_above(n["split"]["leftCategoriesOrThreshold"][0])).alias("threshold"),
+        F.when(~leaf, just_above(F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)))).alias("threshold"),
         n["leftChild"].cast("int").alias("left"),
         n["rightChild"].cast("int").alias("right"),
         F.when(leaf, F.try_divide(stats[1], total)).otherwise(0.0).alias("value"),

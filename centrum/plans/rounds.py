@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from centrum.operators import dropout, linear, merge, metrics as met, trees as tr
+from centrum.operators import dropout, forests, linear, merge, metrics as met, splits, trees as tr
 from centrum.operators.ordering import join_params, settle
 from centrum.session import cut_lineage
 
@@ -173,6 +173,49 @@ def train_boosted(rows: DataFrame, width: int, **settings) -> DataFrame:
     return total
 
 
+def forest_rounds(
+    rows: DataFrame,
+    key: str = "row_key",
+    num_rounds: int = 1,
+    tree_num: int = 100,
+    depth: int = 10,
+    balance: bool = False,
+    combine: str = "weighted",
+    keep_previous: bool = False,
+    smoothing: str | None = None,
+    strength: float = 0.5,
+    dropout_method: str | None = None,
+    percent: float = 0.0,
+    bags: int = 1,
+    seed: int = 42,
+) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """Yields (round, merged trees, the round's training and validation rows). Every round draws its own stratified
+    validation rows. ``combine``: ``weighted`` draws as many trees as one center has, by center weight; ``random``
+    draws an equal number from every center; ``all`` keeps every tree."""
+    check_settings(num_rounds, smoothing, strength, dropout_method, percent)
+    stats, merged = center_stats(rows), None
+    for round_no in range(1, num_rounds + 1):
+        drawn = splits.stratified_split(rows, key, 0.2, (seed, round_no), held="val")
+        part = taking_part(drawn.where("split = 'train'"), stats, dropout_method, percent, round_no, seed)
+        trees = forests.forest_round(part, key, tree_num, depth, balance, seed + round_no, round_no, bags)
+        index = settle(trees.select("center_id", "tree_id").distinct())
+        if combine == "all":
+            chosen = merge.renumber(trees, ["center_id", "tree_id"]).drop("tree_id").withColumnRenamed("new_id", "tree_id")
+        elif combine == "random":
+            chosen = merge.take_trees(trees, merge.forest_random_draw(index, seed + round_no), ["center_id", "draw"])
+        elif combine == "weighted":
+            sizes = stats.join(index.select("center_id").distinct(), "center_id", "left_semi")
+            plain = smoothing in (None, "None")
+            weights = sizes.select("center_id", F.lit(1.0).alias("weight")) if plain else merge.smoothed_weights(sizes, smoothing, strength)
+            draws = merge.forest_weighted_draw(index, weights, tree_num, seed + round_no)
+            chosen = merge.take_trees(trees, draws.drop("weight"), ["draw"])
+        else:
+            raise ValueError("combine must be 'weighted', 'random' or 'all'")
+        chosen = settle(chosen.select(*tr.no_trees(rows.sparkSession).columns), max_rows=tr.NODES_PER_PASS)
+        merged = chosen if merged is None or not keep_previous else settle(merge.accumulate(merged, chosen), max_rows=tr.NODES_PER_PASS)
+        yield round_no, merged, drawn
+
+
 def one_vs_rest(rows: DataFrame, width: int, classes: list[float], **settings) -> DataFrame:
     """Multiclass ensembles: one binary ensemble per class, told apart by the column ``class_label``."""
     out = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from centrum.functions import columns as C
-from centrum.operators.ordering import exact_median
+from centrum.operators import targets
 from centrum.plans import views as V
 from centrum.queries.registry import query, rounded
 from centrum.session import scratch_path
@@ -152,42 +152,20 @@ def model_checkpoint(spark, folder):
 )
 def binarize_target(spark, folder):
     rows = V.planted_rows(spark, folder).select("row_key", "y")
-    return binarized(rows, "y").select("row_key", "label")
-
-
-def binarized(rows, target: str):
-    """Above-the-median labels; a target of at most two values is left as it is."""
-    if rows.select(target).distinct().limit(3).count() <= 2:
-        return rows.withColumn("label", F.col(target).cast("double"))
-    middle = exact_median(rows, [], target).first()["median"]
-    return rows.withColumn("label", (F.col(target) > F.lit(middle)).cast("double"))
-
-
-def task_kind(labels):
-    """binary, multiclass (3 to 99 classes) or regression, by the number of distinct labels."""
-    n = F.col("n_labels")
-    return labels.select(
-        "source", "n_labels", F.when(n == 2, "BINARY").when((n > 2) & (n < 100), "MULTICLASS").otherwise("REG").alias("task_type")
-    )
+    return targets.binarized(rows, "y").select("row_key", "label")
 
 
 @query(
     "proj_2_task_type",
     f"""WITH {V.PLANTED}, n AS (
           SELECT 'label' AS source, count(DISTINCT label) AS n_labels FROM planted UNION ALL
-          SELECT 'quantity', count(DISTINCT l_quantity) FROM planted UNION ALL
-          SELECT 'price', count(DISTINCT l_extendedprice) FROM planted)
+          SELECT 'l_quantity', count(DISTINCT l_quantity) FROM planted UNION ALL
+          SELECT 'l_extendedprice', count(DISTINCT l_extendedprice) FROM planted)
         SELECT source, n_labels, CASE WHEN n_labels = 2 THEN 'BINARY' WHEN n_labels > 2 AND n_labels < 100 THEN 'MULTICLASS' ELSE 'REG' END AS task_type
         FROM n""",
 )
 def task_type(spark, folder):
-    p = V.planted_rows(spark, folder)
-    entries = [
-        F.struct(F.lit(n).alias("source"), F.col(c).alias("v"))
-        for n, c in [("label", "label"), ("quantity", "l_quantity"), ("price", "l_extendedprice")]
-    ]
-    distinct = p.select(F.explode(F.array(*entries)).alias("_e")).select("_e.source", "_e.v").distinct()
-    return task_kind(distinct.groupBy("source").agg(F.count("v").alias("n_labels")))
+    return targets.task_types(V.planted_rows(spark, folder), ["label", "l_quantity", "l_extendedprice"])
 
 
 @query(
