@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from centrum.functions.columns import HASH_RANGE, equal_chunk, row_hash, whole_div
-from centrum.operators.ordering import hash_position, interval_join, join_params
+from centrum.operators.ordering import hash_position, interval_join, join_params, settle
 
 
 def iid_centers(df: DataFrame, key: str, centers: int, seed: int = 42) -> DataFrame:
@@ -107,7 +107,7 @@ def dirichlet_centers(
     ``shares`` replaces the draw."""
     if shares is None and (not alpha or alpha <= 0):
         return iid_centers(df, key, centers, seed)
-    sizes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n_class"))
+    sizes = settle(df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n_class")))
     if shares is None:
         shares = dirichlet_shares(sizes, class_col, centers, alpha, seed)
     slices = slice_counts(sizes, shares, class_col, centers, min_per_class, seed).drop("n_rows")
