@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from centrum.llm import language_id, packing, pieces, token_counts
+from centrum.llm import language_id, maxscore, minhash, packing, personal_data, pieces, projected_neighbours, secret_scan, token_counts
+from centrum.llm.spans import as_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,55 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+def _span_columns(spans: str, base: list[str]) -> list[Column]:
+    own = F.filter(spans, lambda s: s["kind"].isin(base))
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return [*counts, F.sha2(as_text(own), 256).alias("base_sha256"), as_text(F.col(spans)).alias("spans")]
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of all documents; sources are owners, and a source's languages are its repositories."""
+    found = secret_scan.scan(table(spark, folder, "documents"), repo_col="lang")
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
+    return found.select("doc_id", *_span_columns("spans", ["assign", "access", "hex"]), live)
+
+
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles are alike to 85 per cent, directly or over others."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=3, per_cent=85)
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of all documents."""
+    found = personal_data.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", *_span_columns("spans", ["email", "ip", "card", "phone"]))
+
+
+@query("op4_projected_neighbours")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    return projected_neighbours.nearest(table(spark, folder, "embeddings"), every=20, k=20)
+
+
+SQL_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER o <= 20 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
+
+@query("op6_maxscore_top_k", SQL_TOP_K)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact 20 highest integer scores for every twentieth vector."""
+    return maxscore.exact_top_k(table(spark, folder, "embeddings"), every=20, k=20)
