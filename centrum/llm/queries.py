@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from centrum.llm import language_id, maxscore, minhash, packing, personal_data, pieces, projected_neighbours, secret_scan, token_counts
+from centrum.llm import html_text, language_id, maxscore, minhash, packing, personal_data, pieces, projected_neighbours, secret_scan, token_counts
 from centrum.llm.spans import as_text
 
 QUERIES: dict = {}
@@ -114,3 +114,10 @@ QUALIFY row_number() OVER o <= 20 WINDOW o AS (PARTITION BY query_id ORDER BY sc
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """The exact 20 highest integer scores for every twentieth vector."""
     return maxscore.exact_top_k(table(spark, folder, "embeddings"), every=20, k=20)
+
+
+@query("op3_main_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Main texts of all pages."""
+    found = html_text.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
