@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from centrum.llm import language_id
+from centrum.llm import language_id, minhash, packing, secret_scan
 from centrum.session import scratch_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models accept; the others go."""
+    """Documents whose language the models accept; the others go: no letter (null and empty texts too), or far from all languages."""
     models = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.score(docs, models, keep=["text", "lang", "source", "n_chars"])
+    found = language_id.score(docs, models, keep=[c for c in docs.columns if c != "doc_id"])
     return found.where("accepted").select(docs.columns)
 
 
-STAGES = [("language_id", keep_known_languages)]
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Repeated rows of one id and text become one; documents without an id are told apart by their place in the input.
+    """
+    keyed = docs.withColumn("key", F.coalesce("doc_id", -1 - F.monotonically_increasing_id()))
+    groups = minhash.near_duplicates(keyed, id_col="key", size=5, per_cent=80)
+    stay = groups.where("kept").select("key").distinct()
+    return keyed.join(stay, "key", "left_semi").withColumn("content", F.xxhash64("text")).dropDuplicates(["key", "content"]).select(docs.columns)
+
+
+def hide_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets that look live are replaced by a mark, widely copied examples stay as they are."""
+    keyed = docs.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    live = F.filter("spans", lambda s: s["live"])
+    found = secret_scan.scan(keyed, id_col="key", repo_col="lang").select("key", live.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key"])
+    clean = secret_scan.redacted(F.col("text"), F.col("spans"))
+    some = F.col("spans").isNotNull()
+    hidden = keyed.join(found, "key", "left").withColumn("text", F.when(some, clean).otherwise(F.col("text")))
+    return hidden.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as token ids in sequences of at most 2,048."""
+    encoded = packing.word_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    packed = packing.pack(encoded, window=2048)
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("near_duplicates", keep_one_of_each_group),
+    ("secret_scan", hide_live_secrets),
+    ("packing", pack_sequences),
+]
 
 #: Language models and packing have no SQL form; tests compare the stages with plain Python instead.
 ORACLE_SQL = None
