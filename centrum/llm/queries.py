@@ -64,9 +64,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _of_kind(spans: str, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def _span_columns(spans: str, base: list[str]) -> list[Column]:
     own = F.filter(spans, lambda s: s["kind"].isin(base))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [F.size(_of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in base]
     return [*counts, F.sha2(as_text(own), 256).alias("base_sha256"), as_text(F.col(spans)).alias("spans")]
 
 
