@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from centrum.functions.columns import HASH_RANGE, equal_chunk, row_hash, whole_div
-from centrum.operators.ordering import hash_position, interval_join, join_params, settle
+from centrum.operators.ordering import hash_position, interval_join, join_params, same_keys, settle
 
 
 def iid_centers(df: DataFrame, key: str, centers: int, seed: int = 42) -> DataFrame:
@@ -67,7 +67,7 @@ def slice_counts(
     over go to centers drawn by hash; an excess is taken from the largest centers first, never below the floor."""
     n = F.col("n_class")
     floor = F.least(F.lit(min_per_class), whole_div(n, centers))
-    first = shares.join(sizes.select(class_col, n), class_col).withColumn("_floor", floor)
+    first = same_keys(shares, sizes.select(class_col, n), [class_col]).withColumn("_floor", floor)
     first = first.withColumn("_c", F.greatest(F.floor(F.col("share") * n), F.col("_floor")))
     per_class = Window.partitionBy(class_col)
     first = first.withColumn("_diff", n - F.sum("_c").over(per_class))
@@ -83,7 +83,7 @@ def slice_counts(
         .groupBy(class_col, "center_id")
         .agg(F.count(F.lit(1)).alias("_extra"))
     )
-    counted = first.withColumn("_cut", cut).join(drawn, [class_col, "center_id"], "left").withColumn(
+    counted = same_keys(first.withColumn("_cut", cut), drawn, [class_col, "center_id"], "left").withColumn(
         "n_rows", (F.col("_c") - F.col("_cut") + F.coalesce("_extra", F.lit(0))).cast("bigint")
     )
     upto = per_class.orderBy("center_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,6 +92,15 @@ def slice_counts(
     )
 
 
+def _check_shares(sizes: DataFrame, shares: DataFrame, class_col: str) -> None:
+    """An error for classes without shares, or with shares that don't sum to 1: their rows would be lost."""
+    sums = shares.groupBy(class_col).agg(F.sum("share").alias("_sum"))
+    wrong = same_keys(sizes, sums, [class_col], "left").where(F.col("_sum").isNull() | (F.abs(F.col("_sum") - 1) > 1e-6))
+    found = [r[class_col] for r in wrong.select(class_col).limit(5).collect()]
+    if found:
+        raise ValueError(f"shares of these classes of {class_col} are absent or do not sum to 1: {found}")
+
+
 def dirichlet_centers(
     df: DataFrame,
     key: str,
@@ -104,12 +113,15 @@ def dirichlet_centers(
 ) -> DataFrame:
     """Label-skewed centers: every class is shuffled and dealt out in consecutive slices whose sizes follow a
     Dirichlet draw. ``class_col`` may be the label or any attribute. No ``alpha`` (or one <= 0) gives IID centers.
-    ``shares`` replaces the draw."""
+    ``shares`` replaces the draw and must hold every class, with shares that sum to 1. Null is a class of its own: each
+    row comes back in one center."""
     if shares is None and (not alpha or alpha <= 0):
         return iid_centers(df, key, centers, seed)
     sizes = settle(df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n_class")))
     if shares is None:
         shares = dirichlet_shares(sizes, class_col, centers, alpha, seed)
+    else:
+        _check_shares(sizes, shares, class_col)
     slices = slice_counts(sizes, shares, class_col, centers, min_per_class, seed).drop("n_rows")
     ranked = hash_position(df, [class_col], key, seed).withColumn("_r", F.col("pos") - 1)
     return interval_join(ranked, slices, [class_col], "_r", "n_group", "n_class").drop("_r", "pos", "n_group", "lo", "hi")
@@ -132,10 +144,10 @@ def attribute_centers(df: DataFrame, key: str, features: list[str], attribute: s
 
 
 def natural_code_centers(df: DataFrame, code_col: str) -> DataFrame:
-    """Centers from a code column: the sorted distinct codes are numbered from 0."""
+    """Centers from a code column: the sorted distinct codes are numbered from 0; rows without a code are the last center."""
     codes = df.select(code_col).distinct()
-    numbered = codes.withColumn("center_id", F.row_number().over(Window.orderBy(code_col)) - 1)
-    return join_params(df, numbered, code_col)
+    numbered = codes.withColumn("center_id", F.row_number().over(Window.orderBy(F.asc_nulls_last(code_col))) - 1)
+    return join_params(df, numbered, code_col, null_safe=True)
 
 
 def named_centers(df: DataFrame, name_col: str, names: list[str]) -> DataFrame:

@@ -72,19 +72,20 @@ def forest_round(
     spark = df.sparkSession
     bag_rows = [balanced_draw(df, key, seed + b).withColumn("weight", F.lit(1.0)) for b in range(bags)] if balance else [balanced(df)]
     stored = [stored_by_center(b.select("center_id", "label", "weight", "features", F.col(key).alias("row_key"))) for b in bag_rows]
-    per_bag = max(trees // len(stored), 1)
+    share = [trees // len(stored) + (b < trees % len(stored)) for b in range(len(stored))]  # ``trees`` in all
+    before = [sum(share[:b]) for b in range(len(stored))]
 
     def fit(task):
         center, bag = task
         forest = RandomForestClassifier(
-            featuresCol="_x", labelCol="label", weightCol="weight", numTrees=per_bag, maxDepth=depth, seed=seed + bag
+            featuresCol="_x", labelCol="label", weightCol="weight", numTrees=share[bag], maxDepth=depth, seed=seed + bag
         )
         rows = spark.read.parquet(f"{stored[bag][1]}/center_id={center}").withColumn("_x", array_to_vector("features"))
         part = model_trees(spark, forest.fit(rows), center, round_no)
-        return part.withColumn("tree_id", F.col("tree_id") + bag * per_bag)
+        return part.withColumn("tree_id", F.col("tree_id") + before[bag])
 
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(fit, [(c, b) for b, (centers, _) in enumerate(stored) for c in centers]))
+        parts = list(pool.map(fit, [(c, b) for b, (centers, _) in enumerate(stored) if share[b] for c in centers]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

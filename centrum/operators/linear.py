@@ -204,23 +204,34 @@ def local_round(
     steps: int = 1,
     mu: float = 0.0,
     average: bool | None = None,
+    tolerance: float = 0.0,
 ) -> DataFrame:
     """``steps`` local passes of every center from its model (or the shared one), with the proximal pull when
-    mu > 0. The SVM and the elastic net hand back the mean of their iterates."""
+    mu > 0. The SVM and the elastic net hand back the mean of their iterates. With a ``tolerance``, passes end when
+    no coefficient of any center moves by more."""
     loss, step = ALGORITHMS[algorithm]
     average = algorithm in ("lsvc", "elastic_net") if average is None else average
     models, mean = shared, None
     for i in range(steps):
-        at = per_center(models, gradient_sums(rows, models, width, loss))
+        before, at = models, per_center(models, gradient_sums(rows, models, width, loss))
         models = step(at, rate)
         if mu > 0:
             models = proximal_pull(models, shared, mu)
         if steps > 1:
             models = settle(models)
         mean = models if mean is None else running_mean(mean, models, i + 1)
+        if tolerance > 0 and i and largest_move(before, models) <= tolerance:
+            break
     return mean if average else models
 
 
+def largest_move(before: DataFrame, after: DataFrame) -> float:
+    """The largest change of any coefficient or intercept of any center; both tables hold one small row a center."""
+    old = before.select("center_id", F.col("coef").alias("_c"), F.col("intercept").alias("_i"))
+    moves = F.concat(F.zip_with("coef", "_c", lambda a, b: F.abs(a - b)), F.array(F.abs(F.col("intercept") - F.col("_i"))))
+    return after.join(old, "center_id").agg(F.max(F.array_max(moves))).first()[0] or 0.0
+
+
 def running_mean(mean: DataFrame, models: DataFrame, count: int) -> DataFrame:
     """Mean of ``count`` iterates from the mean of the first count - 1 and the newest one."""
     new = models.select("center_id", F.col("coef").alias("_c"), F.col("intercept").alias("_i"), "n_rows")

@@ -175,9 +175,9 @@ def weighted_loss(losses: DataFrame) -> DataFrame:
     return losses.groupBy("round").agg((F.sum(F.col("n_rows") * F.col("loss")) / F.sum("n_rows")).alias("loss"))
 
 
-def weighted_metrics(metrics: DataFrame) -> DataFrame:
-    """Row-weighted mean of each metric over the centers, per round."""
-    return metrics.groupBy("round", "metric").agg(
+def weighted_metrics(metrics: DataFrame, keys: tuple[str, ...] = ("round",)) -> DataFrame:
+    """Row-weighted mean of each metric over the centers, per round (or other keys)."""
+    return metrics.groupBy(*keys, "metric").agg(
         (F.sum(F.col("n_rows") * F.col("value")) / F.sum("n_rows")).alias("value")
     )
 

@@ -41,10 +41,23 @@ def settle(params: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return cut_lineage(params) if small is None else small
 
 
-def join_params(rows: DataFrame, params: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; the key columns of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    met = F.lit(True)
+    for k in on:
+        met = met & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, met, how).drop(*[f"_right_{k}" for k in on])
+
+
+def join_params(
+    rows: DataFrame, params: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, null_safe: bool = False
+) -> DataFrame:
     """Join rows to a parameter table: broadcast when the table was counted to be small, otherwise a plain
-    equi-join that Spark may shuffle."""
+    equi-join that Spark may shuffle. With ``null_safe`` a null key meets a null key."""
     small = small_copy(params, max_rows)
+    if null_safe:
+        return same_keys(rows, params if small is None else F.broadcast(small), [on] if isinstance(on, str) else on, how)
     return rows.join(params, on, how) if small is None else rows.join(F.broadcast(small), on, how)
 
 
@@ -185,11 +198,11 @@ def interval_join(rows: DataFrame, slices: DataFrame, on: list[str], value: str,
     """Rows to the half-open slice [lo, hi) that holds their position.
 
     Slices are cut at block borders, so this is an equi-join on (keys, block) that spreads a hot key over its
-    blocks, and every row meets only the slices of its own block. ``row_size`` and ``slice_size`` name the columns
+    blocks, and every row meets only the slices of its own block. Null keys are a group of their own. ``row_size`` and ``slice_size`` name the columns
     that carry the group size on either side; the number of slices after the cut stays near 1,000 per group."""
     width = interval_step(F.col(slice_size))
     blocks = F.sequence(whole_div(F.col("lo"), width), whole_div(F.col("hi") - 1, width))
     cut = slices.where(F.col("hi") > F.col("lo")).withColumn("_block", F.explode(blocks)).drop(slice_size)
     inside = (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))
     blocked = rows.withColumn("_block", whole_div(F.col(value), interval_step(F.col(row_size))))
-    return join_params(blocked, cut, [*on, "_block"]).where(inside).drop("_block")
+    return join_params(blocked, cut, [*on, "_block"], null_safe=True).where(inside).drop("_block")

@@ -156,6 +156,22 @@ def split_nodes(splits: DataFrame, rate: float, reg_lambda: float = 1.0) -> Data
     return splits.select("center_id", F.explode(nodes).alias("_n")).select("center_id", "_n.*")
 
 
+def root_leaves(rows: DataFrame, rate: float, reg_lambda: float = 1.0) -> DataFrame:
+    """Trees of one leaf with value -rate * G / (H + lambda), for centers without a useful split."""
+    sums = rows.groupBy("center_id").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    none = F.lit(-1)
+    return sums.select(
+        "center_id",
+        F.lit(0).alias("node_id"),
+        none.alias("feature"),
+        F.lit(None).cast("double").alias("threshold"),
+        none.alias("left"),
+        none.alias("right"),
+        (-rate * F.col("g") / (F.col("h") + reg_lambda)).alias("value"),
+        F.col("h").alias("sum_hessian"),
+    )
+
+
 def move_rows(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """Rows to the child nodes; a row whose node was not split keeps it."""
     joined = join_params(rows, splits.select("center_id", "node", "feature", "bin"), ["center_id", "node"], "left")
@@ -178,7 +194,8 @@ def grow(
 ) -> DataFrame:
     """One tree per center from rows (center_id, bins, g, h): one histogram job per level, all centers together.
     Only the splits of a level come back; what is returned is built from them."""
-    rows = rows.select("center_id", "bins", "g", "h").withColumn("node", F.lit(0))
+    start = rows.select("center_id", "bins", "g", "h")
+    rows = start.withColumn("node", F.lit(0))
     all_splits = None
     for level in range(depth):
         active = rows.where(F.col("node") >= 2**level - 1) if level else rows
@@ -191,6 +208,9 @@ def grow(
         if level + 1 < depth:
             rows = move_rows(rows, splits)
     nodes = split_nodes(all_splits, rate, reg_lambda)
+    unsplit = settle(edges.select("center_id").distinct().join(all_splits, "center_id", "left_anti"))
+    if not unsplit.isEmpty():
+        nodes = nodes.unionByName(root_leaves(join_params(start, unsplit, "center_id"), rate, reg_lambda))
     if depth > 1:
         # a child that was split itself is an inner node, not the leaf its parent left behind
         names = [c for c in nodes.columns if c not in ("center_id", "node_id")]
@@ -291,8 +311,8 @@ def encode_trees(rows: DataFrame, trees: DataFrame, out: str = "tree_out") -> Da
     return rows
 
 
-def add_margin(rows: DataFrame, trees: DataFrame, out: str = "margin", own_center: bool = False, mean: bool = False) -> DataFrame:
-    """``out`` plus the weighted sum (or mean) of the trees' leaf values. With ``own_center`` a row meets only the
+def add_margin(rows: DataFrame, trees: DataFrame, out: str = "margin", own_center: bool = False) -> DataFrame:
+    """``out`` plus the weighted sum of the trees' leaf values. With ``own_center`` a row meets only the
     trees of its own center."""
     if out not in rows.columns:
         rows = rows.withColumn(out, F.lit(0.0))
@@ -310,9 +330,6 @@ def add_margin(rows: DataFrame, trees: DataFrame, out: str = "margin", own_cente
                     center = batch.column(batch.schema.get_field_index("center_id")).to_numpy(zero_copy_only=False)
                     use = use * (center[:, None] == owner[None, :])
                 total = (leaves * use).sum(axis=1)
-                if mean:
-                    norm = use.sum(axis=1)
-                    total = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], [*batch.schema.names, "_add"])
 
         rows = rows.mapInArrow(walk, schema).withColumn(out, F.col(out) + F.col("_add")).drop("_add")

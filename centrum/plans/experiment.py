@@ -147,14 +147,17 @@ def run(rows: DataFrame, width: int, model: str, num_rounds: int = 10, run_no: i
     return history
 
 
+#: Passes of the local baseline at most; it ends earlier when it has converged, and does not depend on the rounds.
+LOCAL_STEPS = 1000
+
 HISTORY = "run int, round int, phase string, center_id int, metric string, value double, n_rows bigint"
 
 
 def linear_history(train, judged, width, algorithm, num_rounds, run_no, note, clock, settings) -> None:
     """Local baseline, then shared and personalised metrics of every round."""
-    rate = settings.get("rate", 1.0)
+    rate, local_steps = settings.get("rate", 1.0), settings.pop("local_steps", LOCAL_STEPS)
     score = lambda model: met.squash_margin(linear.score_linear(judged, model, width, probability=False))
-    alone = rounds.local_linear(train, width, algorithm, steps=max(num_rounds, 5), rate=rate)
+    alone = rounds.local_linear(train, width, algorithm, steps=local_steps, rate=rate)
     note(rounds.phase_metrics(score(alone), "local", 0, run_no))
     total = 0.0
     for seconds, (round_no, shared, models) in rounds.timed(rounds.linear_rounds(train, width, algorithm, num_rounds, **settings)):

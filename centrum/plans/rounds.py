@@ -96,10 +96,12 @@ def train_linear(rows: DataFrame, width: int, **settings) -> tuple[DataFrame, Da
     return shared, models
 
 
-def local_linear(rows: DataFrame, width: int, algorithm: str = "logistic_regression", steps: int = 20, rate: float = 1.0) -> DataFrame:
-    """Every center trained alone: the same passes without merging."""
+def local_linear(
+    rows: DataFrame, width: int, algorithm: str = "logistic_regression", steps: int = 1000, rate: float = 1.0, tolerance: float = 1e-3
+) -> DataFrame:
+    """Every center trained alone: the same passes without merging, to convergence or ``steps`` passes."""
     weighted = linear.balanced(rows).select("center_id", "features", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-    models = settle(linear.local_round(weighted, linear.shared_start(rows, width), width, algorithm, rate, steps))
+    models = settle(linear.local_round(weighted, linear.shared_start(rows, width), width, algorithm, rate, steps, tolerance=tolerance))
     weighted.unpersist()
     return models
 

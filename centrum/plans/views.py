@@ -123,7 +123,7 @@ def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("user_id") % 10).cast("int").alias("center_id"),
         F.least(F.col("value") / 500.0, F.lit(1.0)).alias("score"),
         (F.col("event_type") == "purchase").cast("double").alias("label"),
-        F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("parity"),
+        F.when(h % 2 == 0, "even").otherwise("odd").alias("parity"),
         F.concat(F.lit("tier "), (F.col("user_id") % 3).cast("string")).alias("user tier"),
         F.when(h % 5 == 0, "test").when(h % 5 == 1, "val").otherwise("train").alias("split"),
     )
@@ -132,7 +132,7 @@ def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
 SCORED = f"""scored AS (
   SELECT cast(event_id AS varchar) AS row_key, event_id, cast(user_id % 10 AS integer) AS center_id,
          least(value / 500e0, 1e0) AS score, cast(event_type = 'purchase' AS double) AS label,
-         CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
+         CASE WHEN {sql_hash('event_id', 7)} % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
          'tier ' || cast(user_id % 3 AS varchar) AS "user tier",
          CASE {sql_hash('event_id', 7)} % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split
   FROM events)"""

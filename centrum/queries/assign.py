@@ -31,9 +31,8 @@ SHARES = [(0.0, 0, 0.62), (0.0, 1, 0.3), (0.0, 2, 0.0795), (0.0, 3, 0.0005), (1.
 FLOOR = 10
 
 
-def shares_table(spark, dtype: str = "double", cls=None):
-    rows = [(c if cls is None else cls[c], k, s) for c, k, s in SHARES]
-    return spark.createDataFrame(rows, f"label {dtype}, center_id int, share double")
+def shares_table(spark):
+    return spark.createDataFrame(SHARES, "label double, center_id int, share double")
 
 
 def sql_slices(cls: str, shares: list, k: int, seed: int = 42) -> str:
@@ -74,19 +73,20 @@ def count_repair(spark, folder):
     return ce.slice_counts(sizes, shares, "label", 10, min_per_class=25).select("label", "center_id", "n_rows", "lo", "hi")
 
 
-FLAGS = {0.0: "A", 1.0: "R"}
+FLAGS = {0.0: "A", 1.0: "R", 2.0: "N"}
+FLAG_SHARES = [*SHARES, (2.0, 0, 0.25), (2.0, 1, 0.0005), (2.0, 2, 0.7), (2.0, 3, 0.0495)]
 
 
 @query(
     "part_4_attribute_centers",
-    f"""WITH {V.PLANTED}, base AS (SELECT * FROM planted WHERE l_returnflag <> 'N'),
-        {sql_slices('l_returnflag', [(repr(FLAGS[c]), k, s) for c, k, s in SHARES], 4)},
+    f"""WITH {V.PLANTED}, base AS (SELECT * FROM planted),
+        {sql_slices('l_returnflag', [(repr(FLAGS[c]), k, s) for c, k, s in FLAG_SHARES], 4)},
         r AS (SELECT row_key, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY {H42}, row_key) - 1 AS i FROM base)
         SELECT row_key, l_returnflag, cast(center_id AS integer) AS center_id FROM r JOIN sl ON cls = l_returnflag AND i >= lo AND i < hi""",
 )
 def attribute(spark, folder):
-    rows = V.planted_rows(spark, folder).where("l_returnflag <> 'N'").select("row_key", "l_linestatus", "l_returnflag")
-    shares = shares_table(spark, "string", FLAGS).withColumnRenamed("label", "l_returnflag")
+    rows = V.planted_rows(spark, folder).select("row_key", "l_linestatus", "l_returnflag")
+    shares = spark.createDataFrame([(FLAGS[c], k, s) for c, k, s in FLAG_SHARES], "l_returnflag string, center_id int, share double")
     return ce.attribute_centers(
         rows, "row_key", ["l_linestatus", "l_returnflag"], 1, 4, min_per_class=FLOOR, shares=shares
     ).select("row_key", "l_returnflag", "center_id")

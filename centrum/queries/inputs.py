@@ -31,11 +31,10 @@ def csv_scan(spark, folder):
 
 @query(
     "src_3_table_without_ids",
-    "SELECT o_custkey, o_totalprice, o_orderpriority, o_orderstatus AS label FROM orders",
+    "SELECT o_custkey, o_totalprice, o_orderdate, o_orderpriority, o_orderstatus AS label FROM orders",
 )
 def table_without_ids(spark, folder):
-    orders = V.table(spark, folder, "orders").drop("o_orderdate")
-    return readers.without_ids(orders, "o_orderkey", "o_orderstatus")
+    return readers.without_ids(V.table(spark, folder, "orders"), "o_orderkey", "o_orderstatus")
 
 
 @query(
@@ -47,7 +46,7 @@ def natural_centers(spark, folder):
     return readers.natural_center_table(V.table(spark, folder, "customer"), "c_nationkey", "c_custkey", "c_mktsegment")
 
 
-SITE_NAMES = ["src3", "src1", "src7", "src12", "src0", "src19"]
+SITE_NAMES = [f"src{(7 * i + 3) % 20}" for i in range(20)]  # all sources, in an order of the user's choice
 
 
 @query(
@@ -81,13 +80,12 @@ def libsvm(spark, folder):
 @query(
     "src_7_array_source",
     """WITH a AS (SELECT vec_id, cast(embedding AS double[]) AS e, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings),
-       b AS (SELECT *, CASE WHEN pos <= 300 THEN 'train' ELSE 'test' END AS split,
-                    CASE WHEN pos <= 300 THEN pos ELSE pos - 300 END AS place FROM a)
+       b AS (SELECT *, CASE WHEN pos <= 300 THEN 'train' ELSE 'test' END AS split FROM a)
        SELECT vec_id, split, len(e) - 1 AS width, round(list_sum(e[1:len(e)-1]), 4) AS total, round(e[len(e)], 6) AS label
-       FROM b WHERE place <= 1000""",
+       FROM b""",
 )
 def array_source(spark, folder):
-    data = readers.array_source(V.array_rows(spark, folder), "features", "vec_id", cut=300, cap=1000)
+    data = readers.array_source(V.array_rows(spark, folder), "features", "vec_id", cut=300)
     total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
     return data.select(
         "vec_id", "split", F.size("features").cast("bigint").alias("width"), F.round(total, 4).alias("total"), rounded("label")

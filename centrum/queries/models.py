@@ -174,12 +174,12 @@ def weighted_loss(spark, folder):
 
 @query(
     "fed_18_weighted_metrics",
-    f"""WITH {V.HISTORY} SELECT round, metric, round(sum(n_rows * value) / sum(n_rows), 6) AS value FROM history
-        WHERE phase = 'test' AND run = 0 GROUP BY ALL""",
+    f"""WITH {V.HISTORY} SELECT run, round, metric, round(sum(n_rows * value) / sum(n_rows), 6) AS value FROM history
+        WHERE phase = 'test' GROUP BY ALL""",
 )
 def weighted_metrics(spark, folder):
-    test = V.round_history(spark, folder).where("phase = 'test' AND run = 0")
-    return merge.weighted_metrics(test).select("round", "metric", rounded("value"))
+    test = V.round_history(spark, folder).where("phase = 'test'")
+    return merge.weighted_metrics(test, ("run", "round")).select("run", "round", "metric", rounded("value"))
 
 
 @query("fed_19_linear_rounds")

@@ -249,10 +249,10 @@ RATES = f"""{GROUPS}, gc AS (SELECT center_id, attribute, "group", {V.sql_confus
          CASE WHEN fp+tn > 0 THEN fp/cast(fp+tn AS double) ELSE 0 END AS fpr FROM gc)"""
 
 
-@query("fair_3_group_rates", f"""WITH {RATES} SELECT center_id, "group", round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM gr WHERE attribute = 'parity'""")
+@query("fair_3_group_rates", f"""WITH {RATES} SELECT center_id, "group", round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, attribute FROM gr""")
 def group_rates(spark, folder):
-    out = fairness.group_rates(scored(spark, folder), ["parity"], ["center_id"], T)
-    return out.select("center_id", "group", rounded("tpr"), rounded("fpr"))
+    out = fairness.group_rates(scored(spark, folder), ["parity", "user tier"], ["center_id"], T)
+    return out.select("center_id", "attribute", "group", rounded("tpr"), rounded("fpr"))
 
 
 GAPS = """SELECT center_id, attribute, round(max(tpr) - min(tpr), 6) AS eop, round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) AS eod

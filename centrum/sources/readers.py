@@ -71,23 +71,17 @@ def read_libsvm(spark: SparkSession, path: str, n_features: int, binary: bool =
 
 
 def array_source(
-    data: DataFrame, array_col: str, row_col: str, cut: int, cap: int = 1000, block: int = 65536
+    data: DataFrame, array_col: str, row_col: str, cut: int, block: int = 65536
 ) -> DataFrame:
     """Rows of one array whose last element is the label. The first ``cut`` rows in row order are training rows,
-    the others test rows, and each side keeps its first ``cap`` rows."""
+    all others are test rows."""
     rows = data.select(
         row_col,
         F.slice(array_col, 1, F.size(array_col) - 1).alias("features"),
         F.element_at(array_col, -1).alias("label"),
     )
     ranked = ordered_position(rows, [], whole_div(F.col(row_col), block), [row_col])
-    in_train = F.col("pos") <= cut
-    place = F.when(in_train, F.col("pos")).otherwise(F.col("pos") - cut)
-    return (
-        ranked.withColumn("split", F.when(in_train, "train").otherwise("test"))
-        .where(place <= cap)
-        .drop("pos", "n_group")
-    )
+    return ranked.withColumn("split", F.when(F.col("pos") <= cut, "train").otherwise("test")).drop("pos", "n_group")
 
 
 def features_with_target(features: DataFrame, targets: DataFrame, key: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:

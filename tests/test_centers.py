@@ -89,3 +89,20 @@ def test_kfold_keeps_the_other_folds(rows):
 def test_hash_sample_share(rows):
     assert ce.hash_sample(rows, "row_key", 1.0) is rows
     assert ce.hash_sample(rows, "row_key", 0.25).count() / rows.count() == pytest.approx(0.25, abs=0.03)
+
+
+def test_rows_without_class_or_code_stay(spark):
+    rows = spark.range(1000).select(F.col("id").alias("row_key"), F.when(F.col("id") % 10 > 0, F.col("id") % 3).alias("c"))
+    for dealt in (ce.dirichlet_centers(rows, "row_key", "c", 4, alpha=0.5), ce.natural_code_centers(rows, "c")):
+        assert dealt.count() == 1000 == dealt.select("row_key").distinct().count()
+        assert dealt.where("c is null").count() == 100
+    assert ce.natural_code_centers(rows, "c").where("c is null").select("center_id").distinct().first()[0] == 3
+
+
+def test_shares_that_would_lose_rows_are_refused(spark):
+    rows = spark.range(60).select(F.col("id").alias("row_key"), (F.col("id") % 3).alias("c"))
+    absent = [(c, k, 0.5) for c in (0, 1) for k in (0, 1)]
+    short = [(c, k, 0.4) for c in (0, 1, 2) for k in (0, 1)]
+    for shares in (absent, short):
+        with pytest.raises(ValueError, match="shares"):
+            ce.dirichlet_centers(rows, "row_key", "c", 2, shares=spark.createDataFrame(shares, "c long, center_id int, share double"))

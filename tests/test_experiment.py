@@ -43,9 +43,9 @@ def by_phase(history, metric):
 @pytest.mark.parametrize(
     "model,settings",
     [
-        ("logistic_regression", {"rate": 1.0}),
+        ("logistic_regression", {"rate": 1.0, "local_steps": 8}),
         ("xgb", {"depth": 2, "rate": 0.5}),
-        ("xgblr", {"trees_per_center": 1, "depth": 2}),
+        ("xgblr", {"trees_per_center": 1, "depth": 2, "local_steps": 3}),
         ("balanced_random_forest", {"tree_num": 3, "depth": 4, "combine": "random"}),
     ],
 )

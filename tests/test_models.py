@@ -165,3 +165,20 @@ def test_settings_are_checked():
     for bad in [dict(num_rounds=0), dict(num_rounds=1, smoothing="x"), dict(num_rounds=1, smoothing="EqualVoting", strength=2.0), dict(num_rounds=1, dropout_method="a", percent=100.0)]:
         with pytest.raises(ValueError):
             rounds.check_settings(**bad)
+
+
+def test_a_center_without_split_gets_a_leaf(spark):
+    rows = [(0, [float(i)], -0.5 if i < 5 else 0.5, 0.25) for i in range(10)] + [(1, [1.0], -0.5, 0.25)] * 4
+    df = spark.createDataFrame(rows, "center_id int, features array<double>, g double, h double")
+    edges = tr.bin_edges(df, 1)
+    grown = tr.grow(tr.with_bins(df, edges, 1, 4), edges, 1, 1, 4).where("center_id = 1").collect()
+    assert [(r["node_id"], r["left"], round(r["value"], 9)) for r in grown] == [(0, -1, round(0.3 * 2.0 / 2.0, 9))]
+
+
+def test_local_training_ends_when_it_has_converged(easy):
+    weighted = linear.balanced(easy.where("split = 'train'")).persist()
+    start = linear.shared_start(weighted, 4)
+    many = linear.local_round(weighted, start, 4, rate=1.0, steps=12, tolerance=10.0)
+    two = linear.local_round(weighted, start, 4, rate=1.0, steps=2)
+    assert {r["center_id"]: r["coef"] for r in many.collect()} == {r["center_id"]: r["coef"] for r in two.collect()}
+    weighted.unpersist()
