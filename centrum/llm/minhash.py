@@ -123,12 +123,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included), ``kept``.
 
     Texts are linked when 100 * intersection >= ``per_cent`` * union of their sets of ``size``-word shingles. Texts of equal
-    words are one node from the start. Nodes that share a band of the circulant signature are candidates. In rounds, every
-    bucket compares its most central nodes that were not compared yet with its members under other labels, whole sets
-    against whole sets, and labels are joined by what is linked. Buckets with one label are done, and rounds take four
-    times as many centres each, so every candidate pair is compared or already joined, and no group is expanded into
-    all its pairs. Texts without words (null, empty, white space) are linked with nothing and stay. Rows with equal ids
-    count as one document; a null id takes the component of equal texts, else null, and is kept only where that is null.
+    words are one node from the start. Nodes that share a band of the circulant signature are candidates. In three rounds,
+    every bucket compares its 1, 4 and 16 most central nodes that were not compared yet with its members under other
+    labels, whole sets against whole sets, and labels are joined by what is linked. Buckets with one label are done, and
+    so are nodes whose shingles are too rarely shared with any undecided node. The last round compares all pairs of a
+    bucket that are left under two labels. So every candidate pair is compared, already joined, or shown to be no link.
+
+    Texts without words (null, empty, white space) are linked with nothing and stay. Rows with equal ids count as one
+    document; a null id takes the component of equal texts, else null, and is kept only where that is null.
     An empty table gives no rows; other columns are not read.
     """
     rows, bands = bands_for(per_cent / 100)
@@ -147,18 +149,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = source.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sets = stored(_sets(texts, kind, size), "shingle-sets")
 
-    labels, links, tested, centres = None, None, None, 1
-    while not members.isEmpty():
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))
-        hubs = stored(members.withColumn("place", place).where(F.col("place") <= centres).drop("place"), "centres")
+    labels, links, tested = None, None, None
+    members = members.withColumn("shared", F.col("n"))
+    for centres in (1, 4, 16, None):
+        if members.isEmpty():
+            break
+        hubs = stored(_hubs(members, centres), "centres")
         pairs = _pairs(members, hubs, per_cent)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stored(_linked(pairs, sets, per_cent), "links")
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
-        members = stored(_undecided(members.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels), "members")
-        centres *= 4
+        if centres is not None:
+            left = members.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
+            members = stored(_undecided(_shared(_undecided(left, labels), sets, per_cent), None), "members")
 
     linked = copies if labels is None else copies.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("node"))
     out = signed.select("id", "n", "digest").join(linked.withColumnRenamed("node", "component"), "digest", "left")
@@ -166,14 +171,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _hubs(members: DataFrame, centres: int | None) -> DataFrame:
+    """The most central members of each bucket; without a number all but those under the bucket's most frequent label."""
+    if centres is not None:
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))
+        return members.withColumn("place", place).where(F.col("place") <= centres).drop("place")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    return members.join(main, "bucket").where("label <> main").drop("main")
+
+
 def _pairs(members: DataFrame, hubs: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct pairs of a centre and a member of its bucket under another label, as far as their set sizes allow a link."""
-    other = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * per_cent
+    """Distinct pairs of a centre and a member of its bucket under another label, as far as a link is possible.
+
+    A link needs ``per_cent`` / (100 + ``per_cent``) of both sizes in common, and two sets have no more in common than
+    the smaller set, and than what either has in common with any other set.
+    """
+    other = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("shared").alias("hub_shared"))
+    fits = F.least("shared", "hub_shared") * (100 + per_cent) >= (F.col("n") + F.col("hub_n")) * per_cent
     met = members.join(other, "bucket").where((F.col("label") != F.col("hub_label")) & fits)
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _shared(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Members with the number of their shingles that any other member has too; those with too few for any link are gone."""
+    nodes = members.select("node").distinct()
+    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    lone = each.groupBy("shingle").agg(F.count("*").alias("many"), F.min("node").alias("node")).where("many = 1")
+    found = members.drop("shared").join(lone.groupBy("node").agg(F.count("*").alias("lone")), "node", "left")
+    found = found.withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    return found.where(F.col("shared") * 100 >= F.col("n") * per_cent)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -183,8 +212,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return met.where(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * per_cent).select("a", "b")
 
 
-def _undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their new labels, in buckets that still hold two labels."""
-    moved = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _undecided(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members, with their new labels if given, in buckets that still hold two labels."""
+    moved = members
+    if labels is not None:
+        moved = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = moved.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return moved.join(mixed, "bucket", "left_semi").select("bucket", "node", "n", "label", "central")
+    return moved.join(mixed, "bucket", "left_semi")

@@ -21,7 +21,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Repeated rows of one id and text become one; documents without an id are told apart by their place in the input.
     """
-    keyed = docs.withColumn("key", F.coalesce("doc_id", -1 - F.monotonically_increasing_id()))
+    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1) - F.monotonically_increasing_id()))
     groups = minhash.near_duplicates(keyed, id_col="key", size=5, per_cent=80)
     stay = groups.where("kept").select("key").distinct()
     return keyed.join(stay, "key", "left_semi").withColumn("content", F.xxhash64("text")).dropDuplicates(["key", "content"]).select(docs.columns)
