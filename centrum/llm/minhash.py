@@ -17,6 +17,8 @@ from centrum.llm.components import components
 #: Positions that shingles are permuted over; two shingles on one position can only add candidates.
 DOMAIN = 1 << 20
 COORDINATES = 192
+#: Up to so many ids with candidates (some 30 MB) are broadcast, so that other texts aren't shuffled; more are joined.
+BROADCAST_IDS = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -126,8 +128,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words are one node from the start. Nodes that share a band of the circulant signature are candidates. In three rounds,
     every bucket compares its 1, 4 and 16 most central nodes that were not compared yet with its members under other
     labels, whole sets against whole sets, and labels are joined by what is linked. Buckets with one label are done, and
-    so are nodes whose shingles are too rarely shared with any undecided node. The last round compares all pairs of a
-    bucket that are left under two labels. So every candidate pair is compared, already joined, or shown to be no link.
+    so are nodes whose shingles are too rarely shared with any undecided node. The last round compares what is left
+    under two labels as far as their rarest shingles meet, which those of a linked pair must. So every candidate pair is
+    compared, already joined, or shown to be no link, and fringes of large groups don't meet all of their members.
 
     Texts without words (null, empty, white space) are linked with nothing and stay. Rows with equal ids count as one
     document; a null id takes the component of equal texts, else null, and is kept only where that is null.
@@ -146,7 +149,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     central = F.sum("many").over(Window.partitionBy("node")).alias("central")
     members = stored(banded.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("label"), central), "members")
     involved = members.select(F.col("node").alias("id")).distinct()
-    texts = source.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    involved = stored(involved, "involved")
+    few = involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = source.join(F.broadcast(involved) if few else involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sets = stored(_sets(texts, kind, size), "shingle-sets")
 
     labels, links, tested = None, None, None
@@ -155,7 +160,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if members.isEmpty():
             break
         hubs = stored(_hubs(members, centres), "centres")
-        pairs = _pairs(members, hubs, per_cent)
+        pairs = _prefix_pairs(members, hubs, sets, per_cent) if centres is None else _pairs(members, hubs, per_cent)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stored(_linked(pairs, sets, per_cent), "links")
         links = found if links is None else links.union(found)
@@ -193,6 +198,30 @@ def _pairs(members: DataFrame, hubs: DataFrame, per_cent: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _prefix_pairs(members: DataFrame, hubs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Distinct pairs of a hub and a member under another label that can be linked, by their rarest shingles.
+
+    With all shingles in one order, rarest first, two sets that have ``least`` shingles in common share one among the
+    first n - least + 1 of each; ``least`` follows from both sizes. Shingles of one node alone take places but meet nothing.
+    """
+    nodes = members.groupBy("node").agg(F.max("n").alias("n"), F.min("label").alias("label"))
+    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("many", "shingle"))
+    size = each.groupBy("node").agg(F.count("*").alias("size"))
+    met = each.join(often, "shingle").withColumn("rank", rank)
+    lone = size.join(met.groupBy("node").agg(F.max("rank").alias("met")), "node").select("node", (F.col("size") - F.col("met")).alias("lone"))
+    first = met.join(lone, "node").join(nodes, "node").withColumn("place", F.col("rank") + F.col("lone"))
+    first = stored(first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).select("node", "n", "label", "shingle", "place"), "prefixes")
+    other = first.join(hubs.select("node").distinct(), "node", "left_semi").select(
+        "shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("place").alias("hub_place")
+    )
+    least = F.ceil((F.col("n") + F.col("hub_n")) * per_cent / (100 + per_cent))
+    near = (F.col("place") <= F.col("n") - least + 1) & (F.col("hub_place") <= F.col("hub_n") - least + 1)
+    pairs = first.join(other, "shingle").where((F.col("label") != F.col("hub_label")) & near)
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _shared(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Members with the number of their shingles that any other member has too; those with too few for any link are gone."""
     nodes = members.select("node").distinct()

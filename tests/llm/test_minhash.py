@@ -83,3 +83,27 @@ def test_components_of_paths_stars_and_loops(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {150: 150, 151: 150}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_fringe_of_a_large_group_meets_by_its_rarest_shingles(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 4, 5, 6])):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], [f"x{r.randrange(3)}"]])
+        rows.append((i, " ".join(words)))
+    sizes, whole = [], minhash._prefix_pairs
+
+    def counted(*args):
+        pairs = whole(*args)
+        sizes.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_prefix_pairs", counted)
+    df = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, size=3, per_cent=85).collect()}
+    assert got == brute(rows, 3, 85)
+    assert len(sizes) == 1
