@@ -53,7 +53,7 @@ class ChunkTable:
     when it holds ``limit`` chunks or ``characters`` characters, so that memory stays bounded; results never depend on that.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 500_000, characters: int = 32_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 200_000, characters: int = 16_000_000):
         self.encode, self.limit, self.characters = encode, limit, characters
         self.clear()
 

@@ -109,7 +109,7 @@ def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Scorer:
     """Log probabilities of distinct words under every model, kept while the Python worker lives."""
 
-    def __init__(self, models: list[Model], limit: int = 500_000, characters: int = 32_000_000):
+    def __init__(self, models: list[Model], limit: int = 200_000, characters: int = 16_000_000):
         self.models, self.limit, self.characters = models, limit, characters
         self.clear()
 

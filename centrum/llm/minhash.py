@@ -48,7 +48,7 @@ _words = _WordHashes()
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``size`` words; of the whole sequence if it is shorter; none without words."""
-    if len(_words) > 400_000:
+    if len(_words) > 200_000:
         _words.clear()
     if not words:
         return np.empty(0, np.uint64)
