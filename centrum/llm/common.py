@@ -49,8 +49,9 @@ def sums_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """Distinct chunks of text, each encoded once, with their ids in one flat array.
 
-    ``encode`` maps a list of chunks to a list of id lists. The table lives as long as a Python worker and starts anew
-    when it holds ``limit`` chunks or ``characters`` characters, so that memory stays bounded; results never depend on that.
+    ``encode`` maps a list of chunks to a list of id lists. The table lives as long as a Python worker. When it holds
+    ``limit`` chunks or ``characters`` characters, the half that was asked for most often stays, so that memory is bounded
+    and frequent chunks aren't encoded again; results never depend on that.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 200_000, characters: int = 16_000_000):
@@ -62,18 +63,42 @@ class ChunkTable:
         self.held = 0
         self.ids = np.empty(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
+        self.asked = np.zeros(0, np.int64)
 
     def find(self, chunks: list[str]) -> np.ndarray:
         """The place of every chunk; unknown ones are encoded first."""
         if len(self.place) > self.limit or self.held > self.characters:
-            self.clear()
+            self._shrink()
         at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
             self._add(list(dict.fromkeys([chunks[i] for i in unknown])))
             at[unknown] = np.fromiter((self.place[chunks[i]] for i in unknown), np.int64, len(unknown))
+        asked = np.bincount(at, minlength=len(self.place))
+        asked[: len(self.asked)] += self.asked
+        self.asked = asked
         return at
 
+    def _shrink(self) -> None:
+        """Keep the chunks asked for most often: at most half of the table and half of the characters."""
+        names = list(self.place)
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        order = np.argsort(-self.asked, kind="stable")[: self.limit // 2]
+        kept = np.sort(order[np.cumsum(sizes[order]) <= self.characters // 2])
+        asked = self.asked[kept] // 2
+        if not len(kept):
+            self.clear()
+            return
+        self.retain(kept)
+        self.place = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.held, self.asked = int(sizes[kept].sum()), asked
+
+    def retain(self, places: np.ndarray) -> None:
+        """Only these places, in this order."""
+        lengths, ids = self.lengths(places), self.gather(places)
+        self.starts = np.concatenate([[0], np.cumsum(lengths), np.zeros(1 << 14, np.int64)]).astype(np.int64)
+        self.ids = np.concatenate([ids, np.empty(1 << 16, np.int32)])
+
     def _add(self, chunks: list[str]) -> None:
         found = self.encode(chunks)
         self.held += sum(map(len, chunks))

@@ -32,6 +32,10 @@ class _Pieces(ChunkTable):
         super().clear()
         self.decoded: list[str] = []
 
+    def retain(self, places: np.ndarray) -> None:
+        super().retain(places)
+        self.decoded = [self.decoded[i] for i in places.tolist()]
+
     def _encode(self, keys: list[str]) -> list[list[int]]:
         ids = self.model.encode([k if k != MARK else "" for k in keys], num_threads=1)
         for i, k in enumerate(keys):

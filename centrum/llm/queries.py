@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from centrum.llm import html_text, language_id, maxscore, minhash, packing, personal_data, pieces, projected_neighbours, secret_scan, token_counts
+from centrum.llm import bpe, html_text, language_id, maxscore, minhash, packing, personal_data, pieces, projected_neighbours, ranked_search, secret_scan, token_counts
 from centrum.llm.spans import as_text
 
 QUERIES: dict = {}
@@ -103,14 +103,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER o <= 20 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 20
 """
 
 
@@ -125,3 +125,38 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Main texts of all pages."""
     found = html_text.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op12_bpe_encoding")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-pair ids of all documents and what they decode to, as digests."""
+    found = bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+SQL_RANKED = f"""
+WITH t AS (SELECT row, doc_id, {_TERMS} FROM (SELECT row_number() OVER () AS row, * FROM documents)
+), d AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY row
+), s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d
+), p AS (SELECT row, term, count(*) AS tf FROM t GROUP BY ALL
+), q AS (SELECT DISTINCT item_id, {_TERMS} FROM benchmark
+), w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term
+), f AS (
+  SELECT item_id, d.doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (row), s GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM f
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
+
+@query("op13_ranked_search", SQL_RANKED)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten highest-scoring documents for every benchmark item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
