@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from centrum.session import scratch_path
 
 #: Bytes of text that a task works on at once; an Arrow batch may be larger.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from centrum.llm import bpe, html_text, language_id, maxscore, minhash, packing, personal_data, pieces, projected_neighbours, ranked_search, secret_scan, token_counts
+from centrum.llm import bpe, collocations, html_text, language_id, maxscore, minhash, packing, personal_data, pieces, projected_neighbours, ranked_search, secret_scan, token_counts
 from centrum.llm.spans import as_text
 
 QUERIES: dict = {}
@@ -160,3 +160,37 @@ WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_numbe
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """The ten highest-scoring documents for every benchmark item."""
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+SQL_PHRASES = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS pc, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), places AS (SELECT lang, pc, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM pieces
+), runs AS (
+  SELECT lang, w AS g1, g1 || ' ' || lead(w, 1) OVER o AS g2, g2 || ' ' || lead(w, 2) OVER o AS g3, g3 || ' ' || lead(w, 3) OVER o AS g4, g4 || ' ' || lead(w, 4) OVER o AS g5
+  FROM places WINDOW o AS (PARTITION BY pc ORDER BY i)
+), f AS (
+  SELECT lang, 1 AS m, g1 AS phrase, count(*) AS f FROM runs GROUP BY ALL UNION ALL SELECT lang, 2, g2, count(*) FROM runs WHERE g2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, g3, count(*) FROM runs WHERE g3 IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 4, g4, count(*) FROM runs WHERE g4 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 5, g5, count(*) FROM runs WHERE g5 IS NOT NULL GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100
+), k AS (
+  SELECT c.lang, c.phrase, c.m, a, n, h.f AS l, t.f AS r, k, CAST((1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+  FROM c JOIN n USING (lang), range(1, 5) x(k) JOIN f h ON h.lang = c.lang AND h.m = k AND h.phrase = array_to_string(w[1:k], ' ')
+  JOIN f t ON t.lang = c.lang AND t.m = c.m - k AND t.phrase = array_to_string(w[k + 1:], ' ') WHERE k < c.m
+), b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = b.lang AND o.m > b.m AND o.a >= b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM d
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+"""
+
+
+@query("op11_collocations", SQL_PHRASES)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 highest-scoring phrases of each language that lie in no longer phrase of the same count."""
+    found = collocations.phrases(table(spark, folder, "documents"), least=100).where("best_left < a and best_right < a")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 2000")
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -92,15 +92,14 @@ class _Shard:
         add to those whose partial score and remaining bound still reach it, found by search in the term's postings.
         """
         left = np.cumsum(self.most[query][::-1])[::-1]
-        limit, made, at = known, None, 0
-        touched = []
+        limit, touched, at = known, [], 0
         for at, term in enumerate(query):
             a, b = self.ends[term], self.ends[term + 1]
             if left[at] < limit or left[at] == 0:
                 break
             sums[self.doc[a:b]] += self.adds[a:b]
             touched.append(self.doc[a:b])
-            if at + 1 < len(query) and at % 2:
+            if at + 1 < len(query):
                 limit = max(known, _kth(sums, touched, k))
         else:
             at = len(query)
