@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from centrum.llm.common import slices, stored, texts_of
 
 #: Words that one index holds; a longer piece between two separators isn't cut.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 LONGEST = 5
 #: White space inside a piece, and what ends a piece.
 _BLANKS, _ENDS = b"\x09\x20", b".,;:!?\x0a\x0b\x0c\x0d"
@@ -25,21 +24,30 @@ def words_and_ends(texts: list[str]) -> list[bytes]:
     return "\n".join(texts).encode().translate(_CHARS).replace(b"\n", b" . ").split()
 
 
+_SHARDS = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+
 def sequences(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Rows of (lang, text) as shards: ``codes`` (32-bit numbers of words, 0 where a piece ends) and the words behind the numbers."""
+    """Rows of (lang, text) as shards: one row with ``codes`` (32-bit numbers of words, 0 where a piece ends), and one for
+    each number with its language, word and count; the other columns are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         names: dict[str, dict[bytes, int]] = {}
-        owners: list[tuple[str, bytes]] = []
         held: list[np.ndarray] = []
-        size = 0
+        size = words_held = 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             codes = np.concatenate([*held, np.zeros(1, np.int32)])
-            counts = np.bincount(codes, minlength=len(owners) + 1)[1:]
-            row = {"shard": [number], "codes": [codes.astype("<i4").tobytes()], "langs": [[o[0] for o in owners]], "words": [[o[1].decode() for o in owners]], "counts": [counts]}
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
+            counts = np.bincount(codes, minlength=words_held + 1)
+            yield pa.RecordBatch.from_pylist([{"shard": number, "codes": codes.astype("<i4").tobytes()}], schema=_SHARDS)
+            for lang, place in names.items():
+                own = pa.array(place.values(), pa.int32()).slice(1)
+                words = pa.array(place.keys(), pa.binary()).slice(1).cast(pa.string())
+                rest = [pa.array([v] * len(own), t) for v, t in ((number, pa.int64()), (None, pa.binary()), (lang, pa.string()))]
+                columns = [rest[0], rest[1], own, rest[2], words, pa.array(counts[own.to_numpy()], pa.int64())]
+                for batch in pa.Table.from_arrays(columns, schema=_SHARDS).to_batches(max_chunksize=20_000):
+                    yield batch
 
         for batch in batches:
             langs = np.array([x if x is not None else "und" for x in batch.column(0).to_pylist()], object)
@@ -50,17 +58,17 @@ def sequences(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                     place = names.setdefault(lang, {b".": 0})
                     for word in dict.fromkeys(words):
                         if word not in place:
-                            owners.append((lang, word))
-                            place[word] = len(owners)
+                            words_held += 1
+                            place[word] = words_held
                     held += [np.fromiter(map(place.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
                     size += len(words)
                 if size >= shard_words:
-                    yield out()
-                    number, names, owners, held, size = number + 1, {}, [], [], 0
-        if owners:
-            yield out()
+                    yield from out()
+                    number, names, held, size, words_held = number + 1, {}, [], 0, 0
+        if words_held:
+            yield from out()
 
-    return rows.mapInArrow(run, "shard long, codes binary, langs array<string>, words array<string>, counts array<long>")
+    return rows.mapInArrow(run, "shard long, codes binary, code int, lang string, word string, n long")
 
 
 class Side:
@@ -225,13 +233,12 @@ def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: s
     gives no rows. A text without separators is one piece, however long it is.
     """
     shards = stored(sequences(df.select(F.col(lang_col).cast("string"), F.col(text_col)), shard_words), "phrase-shards")
-    entry = F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "w")
-    numbered = shards.select("shard", entry).select(F.col("shard").alias("in_shard"), (F.col("place") + 1).alias("code"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
-    words = stored(numbered.groupBy("lang", "word").agg(F.sum("count").alias("f")), "phrase-words")
+    numbered = shards.where("word is not null").select(F.col("shard").alias("in_shard"), "code", "lang", "word", "n")
+    words = stored(numbered.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.array().cast("array<long>")
     level = stored(words.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails")), "phrase-level")
-    index = stored(indexes(shards, numbered.join(level.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("in_shard", "code", "id")), "phrase-index")
+    index = stored(indexes(shards.where("codes is not null"), numbered.join(level.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("in_shard", "code", "id")), "phrase-index")
 
     out = None
     grams = stored(_pairs(index), "phrase-grams")
