@@ -8,29 +8,34 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from centrum.functions.columns import HASH_RANGE, equal_chunk, row_hash, whole_div
-from centrum.operators.ordering import hash_position, interval_join, join_params, same_keys, settle
+from centrum.functions.columns import HASH_RANGE, row_hash, whole_div
+from centrum.operators.ordering import deal, join_params, same_keys, settle
+
+
+def _chunk_starts(parts: int):
+    """Bounds of near-equal contiguous chunks: the first n % parts of them hold one row more."""
+    n, c = F.col("n_group"), F.sequence(F.lit(1), F.lit(parts - 1))
+    start = lambda i: (i * whole_div(n, parts) + F.least(i.cast("bigint"), n % parts)).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    return lambda sizes: sizes.withColumn("bounds", F.transform(c, start) if parts > 1 else none)
 
 
 def iid_centers(df: DataFrame, key: str, centers: int, seed: int = 42) -> DataFrame:
     """Shuffle by hash, then near-equal contiguous chunks."""
-    ranked = hash_position(df, [], key, seed)
-    return ranked.withColumn("center_id", equal_chunk(F.col("pos") - 1, F.col("n_group"), centers)).drop("pos", "n_group")
+    return deal(df, [], key, (seed,), _chunk_starts(centers), "center_id")
 
 
 def equal_split(df: DataFrame, key: str, centers: int, seed: int = 0) -> DataFrame:
     """Equal random parts; the last part takes the remainder."""
-    ranked = hash_position(df, [], key, seed)
     size = F.greatest(whole_div(F.col("n_group"), centers), F.lit(1))
-    return ranked.withColumn(
-        "center_id", F.least(whole_div(F.col("pos") - 1, size), F.lit(centers - 1)).cast("int")
-    ).drop("pos", "n_group")
+    starts = [(size * c).cast("bigint") for c in range(1, centers)]
+    none = F.array().cast("array<bigint>")
+    return deal(df, [], key, (seed,), lambda sizes: sizes.withColumn("bounds", F.array(*starts) if starts else none), "center_id")
 
 
 def kfold(df: DataFrame, key: str, folds: int, seed: int = 42) -> DataFrame:
     """Shuffled folds in column ``fold``."""
-    ranked = hash_position(df, [], key, seed)
-    return ranked.withColumn("fold", equal_chunk(F.col("pos") - 1, F.col("n_group"), folds)).drop("pos", "n_group")
+    return deal(df, [], key, (seed,), _chunk_starts(folds), "fold")
 
 
 def kfold_centers(df: DataFrame, key: str, folds: int, seed: int = 42) -> DataFrame:
@@ -123,8 +128,11 @@ def dirichlet_centers(
     else:
         _check_shares(sizes, shares, class_col)
     slices = slice_counts(sizes, shares, class_col, centers, min_per_class, seed).drop("n_rows")
-    ranked = hash_position(df, [class_col], key, seed).withColumn("_r", F.col("pos") - 1)
-    return interval_join(ranked, slices, [class_col], "_r", "n_group", "n_class").drop("_r", "pos", "n_group", "lo", "hi")
+    listed = F.sort_array(F.collect_list(F.struct("center_id", "hi")))
+    listed = settle(slices.groupBy(class_col).agg(listed.alias("_s")).select(class_col, F.col("_s.center_id").alias("_ids"), F.slice("_s.hi", 1, F.size("_s") - 1).alias("bounds")))
+    dealt = deal(df, [class_col], key, (seed,), lambda sizes: same_keys(sizes, listed.drop("_ids"), [class_col]), "_slice")
+    named = join_params(dealt, listed.drop("bounds"), class_col, null_safe=True)
+    return named.withColumn("center_id", F.get("_ids", F.col("_slice"))).drop("_ids", "_slice")
 
 
 def partition_column(columns: list[str], attribute: str | int) -> str:

@@ -1,12 +1,15 @@
 """Exact positions, medians and look-ups that never gather a whole group in one task.
 
-A group may hold a third of all rows, so nothing here sorts a group in one task: positions are taken
-inside buckets of a group and shifted by the bucket's offset, medians only sort the few values around
-the middle, and small tables are broadcast only after their row count was checked.
+A group may hold a third of all rows, so nothing here sorts a group in one task: slices of a shuffled order are
+cut where counts per hash bucket say, positions are taken inside buckets of a group and shifted by the bucket's
+offset, medians only sort the few values around the middle, and small tables are broadcast only after their row
+count was checked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from centrum.functions.columns import HASH_RANGE, row_hash, whole_div
@@ -47,7 +50,7 @@ def same_keys(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     met = F.lit(True)
     for k in on:
         met = met & left[k].eqNullSafe(renamed[f"_right_{k}"])
-    return left.join(renamed, met, how).drop(*[f"_right_{k}" for k in on])
+    return left.join(renamed, met, how).drop(*([] if how in ("left_semi", "left_anti") else [f"_right_{k}" for k in on]))
 
 
 def join_params(
@@ -115,6 +118,43 @@ def hash_position(
     return ordered_position(rows, groups, whole_div(F.col("_h"), width), ["_h", key], pos, total).drop("_h")
 
 
+def deal(df: DataFrame, groups: list[str], key: str, salt: tuple, bounds: Callable[[DataFrame], DataFrame], out: str = "slice") -> DataFrame:
+    """Each row's slice of its group in hash order, without moving the rows.
+
+    ``bounds`` adds to a table (groups, ``n_group``) an array ``bounds`` of rising 0-based positions where the next slice
+    begins; a row's slice is the number of bounds up to its position. Rows are counted per hash bucket; only the
+    buckets that hold a bound are ranked, by hash and key alone, which gives the first row of each slice. Every row is then
+    compared with these few rows. The key tells rows apart: rows with equal keys stay together.
+    """
+    on = groups or ["_all"]
+    rows = df if groups else df.withColumn("_all", F.lit(0))
+    hashed = rows.withColumn("_h", row_hash(key, *salt))
+    cuts = _first_rows(hashed, on, key, bounds)
+    joined = join_params(hashed, cuts, on, null_safe=True)
+    past = lambda c: (F.col("_h") > c["h"]) | ((F.col("_h") == c["h"]) & (F.col(key) >= c["key"]))
+    placed = joined.withColumn(out, F.size(F.filter("_cuts", past))).drop("_cuts", "_h")
+    return placed if groups else placed.drop("_all")
+
+
+def _first_rows(hashed: DataFrame, on: list[str], key: str, bounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(groups, _cuts): hash and key of the first row of every slice but the first; slices at the end of a group may be empty."""
+    width = HASH_RANGE // rank_buckets(hashed.sparkSession)
+    bucketed = hashed.select(*on, "_h", F.col(key).alias("_key"), whole_div(F.col("_h"), width).alias("_bucket"))
+    counted = settle(bucketed.groupBy(*on, "_bucket").agg(F.count(F.lit(1)).alias("_c")), max_rows=20 * BROADCAST_ROWS)
+    sizes = settle(bounds(counted.groupBy(*on).agg(F.sum("_c").alias("n_group"))).select(*on, "n_group", "bounds"))
+    upto = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+    each = sizes.select(*on, F.posexplode("bounds").alias("_number", "_bound"))
+    inside = (F.col("_bound") >= F.col("_before")) & (F.col("_bound") < F.col("_before") + F.col("_c"))
+    wanted = settle(same_keys(placed, each, on).where(inside).select(*on, "_bucket", "_number", (F.col("_bound") - F.col("_before") + 1).alias("_nth")))
+    ranked = join_params(bucketed, wanted.select(*on, "_bucket").distinct(), [*on, "_bucket"], "left_semi", null_safe=True)
+    ranked = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy(*on, "_bucket").orderBy("_h", "_key")).cast("bigint"))
+    found = same_keys(ranked, wanted, [*on, "_bucket", "_nth"]).groupBy(*on).agg(F.collect_list(F.struct(F.col("_h").alias("h"), F.col("_key").alias("key"))).alias("_cuts"))
+    kind = dict(bucketed.dtypes)["_key"]
+    none = F.array().cast(f"array<struct<h:bigint,key:{kind}>>")
+    return settle(same_keys(sizes, found, on, "left").select(*on, F.coalesce("_cuts", none).alias("_cuts")))
+
+
 MIDDLE = [0.499, 0.501]
 ACCURACY = 10000
 

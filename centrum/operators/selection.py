@@ -74,29 +74,13 @@ def binned_mutual_info(df: DataFrame, features: list[str], bins: int = 16, label
     return terms.groupBy(*base).agg(F.sum("t").alias("score"))
 
 
-def forest_importance(df: DataFrame, features: list[str], label: str = "label", trees: int = 100, seed: int = 42, parallel: int = 4) -> DataFrame:
-    """Random-forest importances per center: one distributed fit for each center on its own stored rows, several at
-    a time; only the importances come back."""
-    from concurrent.futures import ThreadPoolExecutor
+def forest_importance(df: DataFrame, features: list[str], label: str = "label", trees: int = 100, depth: int = 10, seed: int = 42, key: str = "row_key") -> DataFrame:
+    """Random-forest importances per center: the forests of all centers are grown together, and each tree's gains are
+    added up by feature. Null features count as the lowest values."""
+    from centrum.operators.forests import forest_nodes, importances
 
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    from centrum.operators.forests import stored_by_center
-
-    spark = df.sparkSession
-    keys = ["row_key"] if "row_key" in df.columns else []
-    centers, path = stored_by_center(df.select("center_id", label, *features, *keys))
-    vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    forest = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, seed=seed)
-
-    def fit(center):
-        model = forest.fit(vectors.transform(spark.read.parquet(f"{path}/center_id={center}")))
-        return [(center, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-
-    with ThreadPoolExecutor(parallel) as pool:
-        out = [row for rows in pool.map(fit, centers) for row in rows]
-    return spark.createDataFrame(out, "center_id int, feature string, score double")
+    rows = df.select(key, "center_id", F.col(label).alias("label"), F.array(*[F.col(f).cast("double") for f in features]).alias("features"))
+    return importances(forest_nodes(rows, key, len(features), trees, depth, seed=seed), features)
 
 
 def rank_features(scores: DataFrame, k: int | None = None) -> DataFrame:

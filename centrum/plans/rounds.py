@@ -188,7 +188,6 @@ def forest_rounds(
     strength: float = 0.5,
     dropout_method: str | None = None,
     percent: float = 0.0,
-    bags: int = 1,
     seed: int = 42,
 ) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """Yields (round, merged trees, the round's training and validation rows). Every round draws its own stratified
@@ -199,7 +198,7 @@ def forest_rounds(
     for round_no in range(1, num_rounds + 1):
         drawn = splits.stratified_split(rows, key, 0.2, (seed, round_no), held="val")
         part = taking_part(drawn.where("split = 'train'"), stats, dropout_method, percent, round_no, seed)
-        trees = forests.forest_round(part, key, tree_num, depth, balance, seed + round_no, round_no, bags)
+        trees = settle(forests.forest_round(part, key, tree_num, depth, balance, seed + round_no, round_no), max_rows=tr.NODES_PER_PASS)
         index = settle(trees.select("center_id", "tree_id").distinct())
         if combine == "all":
             chosen = merge.renumber(trees, ["center_id", "tree_id"]).drop("tree_id").withColumnRenamed("new_id", "tree_id")

@@ -148,7 +148,7 @@ def anova(spark, folder):
 @query("fs_3_forest_importance")
 def importance(spark, folder):
     rows = V.clinic_rows(spark, folder).na.fill(0.0)
-    return fs.forest_importance(rows, NUM, trees=20).select("center_id", "feature", rounded("score"))
+    return fs.forest_importance(rows, NUM).select("center_id", "feature", rounded("score"))
 
 
 @query(

@@ -80,15 +80,74 @@ def forest_report(trees):
     )
 
 
+TREES, DEPTH = 300, 10
+
+
 @query("trn_7_forest")
 def forest(spark, folder):
-    return forest_report(forests.forest_round(clinic_features(spark, folder), "row_key", trees=5, depth=5))
+    return forest_report(forests.forest_round(clinic_features(spark, folder), "row_key", TREES, DEPTH, width=2))
 
 
 @query("trn_8_balanced_forest")
 def balanced_forest(spark, folder):
-    rows = clinic_features(spark, folder)
-    return forest_report(forests.forest_round(rows, "row_key", trees=4, depth=4, balance=True, bags=2))
+    return forest_report(forests.forest_round(clinic_features(spark, folder), "row_key", TREES, DEPTH, balance=True, width=2))
+
+
+def sql_mixed(name: str, x: str, salt: str, rest: str, source: str) -> str:
+    """Named views that add the column ``name``: the 32-bit mix of ``x`` and ``salt``."""
+    word, (a, b, c) = 1 << 32, forests.MIX
+    return f"""{name}_1 AS (SELECT {rest}, (xor(cast({x} AS ubigint), (cast({salt} AS ubigint) * {a}) % {word}) * {b}) % {word} AS m FROM {source}),
+      {name}_2 AS (SELECT * REPLACE ((xor(m, m >> 13) * {c}) % {word} AS m) FROM {name}_1),
+      {name} AS (SELECT * EXCLUDE (m), xor(m, m >> 16) AS {name} FROM {name}_2)"""
+
+
+def sql_bag(rows: str) -> str:
+    """Rows by the trees of a forest with their count in each bag; ``rows`` has a column h."""
+    steps = " + ".join(f"cast(bag_hash >= {int(t)} AS integer)" for t in forests.poisson_steps(1.0))
+    return f"""{sql_mixed('bag_hash', 'h', 'tree_id + 1', '*', f'{rows}, (SELECT cast(range AS integer) AS tree_id FROM range({TREES}))')},
+      bag AS (SELECT *, {steps} AS often FROM bag_hash)"""
+
+
+CLINIC_ROOT = f"""clinic_h AS (SELECT center_id, {V.sql_hash('row_key', 42)} AS h,
+  coalesce(cast(o_totalprice > 150000 AND c_acctbal > 0 AS integer), 0) AS label FROM clinic)"""
+
+
+@query(
+    "trn_7_forest_roots",
+    f"""WITH {V.CLINIC}, {CLINIC_ROOT}, {sql_bag('clinic_h')}
+        SELECT center_id, tree_id, cast(sum(often) FILTER (label = 0) AS bigint) AS n0, cast(sum(often) FILTER (label = 1) AS bigint) AS n1 FROM bag GROUP BY ALL""",
+)
+def forest_roots(spark, folder):
+    """Class counts in the bags of the same forest's trees, as their roots report them."""
+    nodes = forests.forest_nodes(clinic_features(spark, folder), "row_key", 2, TREES, DEPTH)
+    return nodes.where("node_id = 0").select("center_id", "tree_id", "n0", "n1")
+
+
+ROOT_BINS = 64
+ROOT_SPLITS = f"""WITH {V.PLANTED}, rows_h AS (SELECT center_id, l_quantity AS x0, l_discount AS x1, l_tax AS x2, cast(label2 AS integer) AS label, {V.sql_hash('row_key', 42)} AS h FROM planted),
+  places AS (SELECT * FROM (SELECT DISTINCT center_id FROM rows_h), (SELECT cast(range AS integer) AS tree_id FROM range({TREES})), (SELECT cast(range AS integer) AS feature FROM range(3))),
+  {sql_mixed('s1', 'center_id', '42', '*', 'places')}, {sql_mixed('s2', 's1', 'tree_id + 1', '*', 's1')}, {sql_mixed('s3', 's2', '1', '*', 's2')}, {sql_mixed('s4', 's3', 'feature + 1', '*', 's3')},
+  picked AS (SELECT center_id, tree_id, arg_min(feature, s4) AS feature FROM s4 GROUP BY ALL),
+  {sql_bag('rows_h')},
+  values_of AS (SELECT center_id, 0 AS feature, x0 AS v FROM rows_h UNION SELECT center_id, 1, x1 FROM rows_h UNION SELECT center_id, 2, x2 FROM rows_h),
+  nexts AS (SELECT center_id, feature, v, lead(v) OVER (PARTITION BY center_id, feature ORDER BY v) AS threshold FROM values_of),
+  weights AS (SELECT center_id, count(*) / (2e0 * count(*) FILTER (label = 0)) AS w0, count(*) / (2e0 * count(*) FILTER (label = 1)) AS w1 FROM rows_h GROUP BY 1),
+  hist AS (SELECT b.center_id, tree_id, feature, CASE feature WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS v, sum(often) FILTER (label = 0) AS c0, sum(often) FILTER (label = 1) AS c1
+    FROM bag b JOIN picked USING (center_id, tree_id) WHERE often > 0 GROUP BY ALL),
+  cum AS (SELECT center_id, tree_id, feature, v, coalesce(sum(c0) OVER u, 0) AS l0, coalesce(sum(c1) OVER u, 0) AS l1, coalesce(sum(c0) OVER p, 0) AS t0, coalesce(sum(c1) OVER p, 0) AS t1 FROM hist
+    WINDOW p AS (PARTITION BY center_id, tree_id), u AS (PARTITION BY center_id, tree_id ORDER BY v ROWS UNBOUNDED PRECEDING)),
+  mass AS (SELECT cum.*, l0 * w0 AS a0, l1 * w1 AS a1, (t0 - l0) * w0 AS b0, (t1 - l1) * w1 AS b1, t0 * w0 AS m0, t1 * w1 AS m1 FROM cum JOIN weights USING (center_id) WHERE t0 + t1 > l0 + l1),
+  gains AS (SELECT *, round((a0*a0 + a1*a1) / (a0 + a1) + (b0*b0 + b1*b1) / (b0 + b1) - (m0*m0 + m1*m1) / (m0 + m1), 9) AS gain FROM mass)
+SELECT center_id, tree_id, feature, threshold, cast(t0 AS bigint) AS n0, cast(t1 AS bigint) AS n1, round(gain, 6) AS gain FROM gains JOIN nexts USING (center_id, feature, v) WHERE gain > 0
+QUALIFY row_number() OVER (PARTITION BY center_id, tree_id ORDER BY gain DESC, v) = 1"""
+
+
+@query("trn_7_root_splits", ROOT_SPLITS)
+def root_splits(spark, folder):
+    """The first split of every tree, over features whose values are all cut points."""
+    rows = V.planted_rows(spark, folder).select("row_key", "center_id", F.array("l_quantity", "l_discount", "l_tax").alias("features"), F.col("label2").alias("label"))
+    nodes = forests.forest_nodes(rows, "row_key", 3, TREES, 1, bins=ROOT_BINS)
+    return nodes.where("node_id = 0 and feature >= 0").select("center_id", "tree_id", "feature", "threshold", "n0", "n1", rounded("gain"))
 
 
 @query("trn_14_local_ensembles")
