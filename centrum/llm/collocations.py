@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from centrum.llm.common import slices, stored, texts_of
 
 #: Words that one index holds; a longer piece between two separators isn't cut.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 2_000_000
 LONGEST = 5
 #: White space inside a piece, and what ends a piece.
 _BLANKS, _ENDS = b"\x09\x20", b".,;:!?\x0a\x0b\x0c\x0d"
@@ -40,7 +40,7 @@ def sequences(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             codes = np.concatenate([*held, np.zeros(1, np.int32)])
             counts = np.bincount(codes, minlength=words_held + 1)
-            yield pa.RecordBatch.from_pylist([{"shard": number, "codes": codes.astype("<i4").tobytes()}], schema=_SHARDS)
+            yield pa.RecordBatch.from_pylist([{"shard": number, "codes": packed(codes.astype("<i4"))}], schema=_SHARDS)
             for lang, place in names.items():
                 own = pa.array(place.values(), pa.int32()).slice(1)
                 words = pa.array(place.keys(), pa.binary()).slice(1).cast(pa.string())
@@ -71,20 +71,30 @@ def sequences(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return rows.mapInArrow(run, "shard long, codes binary, code int, lang string, word string, n long")
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, after their number: shards are shuffled once for every length of phrases."""
+    return len(values).to_bytes(8, "little") + values.dtype.itemsize.to_bytes(1, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    return np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd", asbytes=True), f"<u{width}")
+
+
 class Side:
     """One direction of an FM-index: the symbols before all suffixes in order, and where a suffix stands with its symbol in front."""
 
     def __init__(self, before: np.ndarray):
         self.before = before
         order = _stable_order(before)
-        self.to = np.empty(len(before), np.int64)
-        self.to[order] = np.arange(len(before))
+        self.to = np.empty(len(before), np.int32)
+        self.to[order] = np.arange(len(before), dtype=np.int32)
         self.first = before[order]
 
     def owners(self, low: np.ndarray, size: np.ndarray) -> np.ndarray:
         """For each place the interval that holds it, or -1. Intervals are disjoint."""
-        out = np.full(len(self.before), -1, np.int64)
-        out[_places(low, size)] = np.repeat(np.arange(len(low)), size)
+        out = np.full(len(self.before), -1, np.int32)
+        out[_places(low, size)] = np.repeat(np.arange(len(low), dtype=np.int32), size)
         return out
 
     def extend(self, low: np.ndarray, other: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,10 +104,10 @@ class Side:
         within its parent's, behind those of smaller symbols and of separators.
         """
         rows = _places(low, size)
-        parent = np.repeat(np.arange(len(low)), size)
+        parent = np.repeat(np.arange(len(low), dtype=np.int32), size)
         some = self.before[rows] > 0
         ends = np.bincount(parent[~some], minlength=len(low))
-        owner = np.full(len(self.before), -1, np.int64)
+        owner = np.full(len(self.before), -1, np.int32)
         owner[self.to[rows[some]]] = parent[some]
         at = np.flatnonzero(owner >= 0)
         if not len(at):
@@ -121,7 +131,9 @@ def _places(low: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _stable_order(values: np.ndarray) -> np.ndarray:
     """Stable sort by radix: 16 bits a pass."""
-    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    order = np.argsort(values.astype(np.uint16), kind="stable").astype(np.int32)
+    if values.dtype.itemsize == 2:
+        return order
     high = (values >> 16).astype(np.uint16)
     return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
@@ -129,7 +141,7 @@ def _stable_order(values: np.ndarray) -> np.ndarray:
 def symbols_before(codes: np.ndarray, depth: int = LONGEST) -> np.ndarray:
     """The Burrows-Wheeler transform, with suffixes ordered by their first ``depth`` symbols, as far as they are looked at."""
     padded = np.concatenate([codes, np.zeros(depth, codes.dtype)])
-    order = np.arange(len(codes))
+    order = np.arange(len(codes), dtype=np.int32)
     for k in range(depth - 1, -1, -1):
         order = order[_stable_order(padded[k : k + len(codes)][order])]
     return codes[order - 1]  # before the first symbol stands the last one, a separator
@@ -142,23 +154,23 @@ def indexes(shards: DataFrame, numbers: DataFrame) -> DataFrame:
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shape = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("forward", pa.binary()), ("backward", pa.binary()), ("ids", pa.list_(pa.int64()))])
+        shape = pa.schema([("shard", pa.int64()), ("forward", pa.binary()), ("backward", pa.binary()), ("ids", pa.list_(pa.int64()))])
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
-        codes = np.frombuffer(left.column("codes")[0].as_py(), "<i4")
+        codes = unpacked(left.column("codes")[0].as_py())
         code = right.column("code").to_numpy().astype(np.int64)
-        new = np.zeros(max(int(codes.max()), int(code.max())) + 1, np.int32)
+        kind = np.uint16 if len(code) < 1 << 16 else np.uint32
+        new = np.zeros(max(int(codes.max()), int(code.max())) + 1, kind)
         new[code] = np.arange(1, len(code) + 1)
         codes = new[codes]
         codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]  # one separator between pieces
         if codes[-1]:
-            codes = np.append(codes, np.int32(0))
-        kind = "<u2" if len(code) < 1 << 16 else "<u4"
-        both = [symbols_before(c).astype(kind).tobytes() for c in (codes, np.roll(codes[::-1], -1))]
-        return pa.table([[left.column("shard")[0].as_py()], [len(codes)], [both[0]], [both[1]], [right.column("id").to_numpy()]], schema=shape)
+            codes = np.append(codes, kind(0))
+        both = [packed(symbols_before(c)) for c in (codes, np.roll(codes[::-1], -1))]
+        return pa.table([[left.column("shard")[0].as_py()], [both[0]], [both[1]], [right.column("id").to_numpy()]], schema=shape)
 
     pair = shards.select("shard", "codes").groupBy("shard").cogroup(numbers.groupBy("in_shard"))
-    return pair.applyInArrow(run, "shard long, n long, forward binary, backward binary, ids array<long>")
+    return pair.applyInArrow(run, "shard long, forward binary, backward binary, ids array<long>")
 
 
 #: Intervals in one shard: the phrase's two parts (all but its last word, all but its first), its places, and its count there.
@@ -166,8 +178,7 @@ GRAMS = "shard long, prefix long, suffix long, low int, back_low int, size int"
 
 
 def _sides(row: dict) -> list[Side]:
-    kind = "<u2" if len(row["forward"]) == 2 * row["n"] else "<u4"
-    return [Side(np.frombuffer(row[c], kind).astype(np.int64)) for c in ("forward", "backward")]
+    return [Side(unpacked(row[c])) for c in ("forward", "backward")]
 
 
 def longer(sides: list[Side], intervals: list[np.ndarray], ids: np.ndarray, turn: int) -> dict[str, np.ndarray]:
@@ -190,9 +201,10 @@ def _pairs(index: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sides, ids = _sides(row), np.array(row["ids"], np.int64)
-                words = np.arange(1, len(ids) + 1)
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("shard", "forward", "backward")}
+                sides, ids = _sides(row), batch.column("ids")[i].values.to_numpy()
+                words = np.arange(1, len(ids) + 1, dtype=sides[0].first.dtype)
                 low = np.searchsorted(sides[0].first, words)
                 size = np.searchsorted(sides[0].first, words, "right") - low
                 found = longer(sides, [low, low, size], ids, 1)
@@ -213,7 +225,7 @@ def _longer(index: DataFrame, live: DataFrame, turn: int) -> DataFrame:
         found = longer(_sides(row), intervals, right.column("id").to_numpy(), turn)
         return pa.table({"shard": np.full(len(found["size"]), row["shard"])} | found, schema=shape)
 
-    return index.select("shard", "n", "forward", "backward").groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(run, GRAMS)
+    return index.select("shard", "forward", "backward").groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(run, GRAMS)
 
 
 def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -240,18 +252,19 @@ def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: s
     level = stored(words.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails")), "phrase-level")
     index = stored(indexes(shards.where("codes is not null"), numbered.join(level.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("in_shard", "code", "id")), "phrase-index")
 
-    out = None
-    grams = stored(_pairs(index), "phrase-grams")
+    # two-word phrases are many and mostly rare, so they are made twice instead of being stored
+    grams, levels = _pairs(index), {}
     for size in range(2, longest + 1):
-        level = _next_level(grams, level, least)
-        found = level.select("lang", "phrase", F.lit(size).alias("words"), F.col("f").alias("a"), "id", "heads", "tails")
+        level = levels[size] = _next_level(grams, level, least)
         if size < longest:
             live = grams.join(level.select("prefix", "suffix", "id"), ["prefix", "suffix"]).select("shard", "low", "back_low", "size", "id")
             grams = stored(_longer(index, live, size % 2), "phrase-grams")
-            after = grams.groupBy("prefix", "suffix").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
-            right = after.groupBy(F.col("prefix").alias("id")).agg(F.max("f").alias("best_right"))
-            left = after.groupBy(F.col("suffix").alias("id")).agg(F.max("f").alias("best_left"))
-            found = found.join(left, "id", "left").join(right, "id", "left").na.fill(0, ["best_left", "best_right"])
+    out = None
+    for size, level in levels.items():
+        found = level.select("lang", "phrase", F.lit(size).alias("words"), F.col("f").alias("a"), "id", "heads", "tails")
+        if size < longest:
+            best = [levels[size + 1].groupBy(F.col(c).alias("id")).agg(F.max("f").alias(n)) for c, n in (("suffix", "best_left"), ("prefix", "best_right"))]
+            found = found.join(best[0], "id", "left").join(best[1], "id", "left").na.fill(0, ["best_left", "best_right"])
         else:
             found = found.withColumn("best_left", F.lit(0).cast("long")).withColumn("best_right", F.lit(0).cast("long"))
         out = found if out is None else out.unionByName(found)

@@ -64,11 +64,11 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_both_sides_of_an_index_agree():
     """Every interval, reached by any order of extensions, has the size of its phrase's count and lies in the intervals of its parts."""
     r = np.random.default_rng(5)
-    codes = np.concatenate([[0], r.integers(0, 4, 400), [0]]).astype(np.int32)
-    sides = [collocations.Side(collocations.symbols_before(c).astype(np.int64)) for c in (codes, np.roll(codes[::-1], -1))]
+    codes = np.concatenate([[0], r.integers(0, 4, 400), [0]]).astype(np.uint16)
+    sides = [collocations.Side(collocations.symbols_before(c)) for c in (codes, np.roll(codes[::-1], -1))]
     counts = Counter(tuple(codes[i : i + m].tolist()) for m in range(1, 6) for i in range(len(codes) - m + 1))
     counts = {p: c for p, c in counts.items() if 0 not in p}
-    words = np.arange(1, 4)
+    words = np.arange(1, 4, dtype=np.uint16)
     low = np.searchsorted(sides[0].first, words)
     intervals = [low, low, np.searchsorted(sides[0].first, words, "right") - low]
     known = [(int(w),) for w in words]
