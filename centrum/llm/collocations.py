@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from centrum.llm.common import slices, stored, texts_of
 
 #: Words that one index holds; a longer piece between two separators isn't cut.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 LONGEST = 5
 #: White space inside a piece, and what ends a piece.
 _BLANKS, _ENDS = b"\x09\x20", b".,;:!?\x0a\x0b\x0c\x0d"
@@ -208,7 +208,9 @@ def _pairs(index: DataFrame) -> DataFrame:
                 low = np.searchsorted(sides[0].first, words)
                 size = np.searchsorted(sides[0].first, words, "right") - low
                 found = longer(sides, [low, low, size], ids, 1)
-                yield pa.RecordBatch.from_pydict({"shard": np.full(len(found["size"]), row["shard"])} | found)
+                for k in range(0, len(found["size"]), 100_000):
+                    part = {c: v[k : k + 100_000] for c, v in found.items()}
+                    yield pa.RecordBatch.from_pydict({"shard": np.full(len(part["size"]), row["shard"])} | part)
 
     return index.mapInArrow(run, GRAMS)
 
