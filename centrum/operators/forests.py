@@ -249,37 +249,7 @@ def _large_nodes(rows, weights, block, width, depth, per_node, seed, bins, small
             break
         shared = spark.sparkContext.broadcast((_Walk({k: (v["feature"], v["bin"]) for k, v in splits.items() if v["feature"] >= 0}, frontier), weights))
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            walk, _ = shared.value
-            for batch in batches:
-                center, h, label, rate, b = _columns(batch, width)
-                for tree, ends in walk.ends.items():
-                    at = walk.place(tree, center, b)[1]
-                    bag = bag_counts(h, tree, rate) * (at >= 0)
-                    on = np.flatnonzero(bag)
-                    if not len(on):
-                        continue
-                    nodes = (ends >> 32, ends & 0xFFFFFFFF)
-                    cells = _histogram(b[on], label[on], bag[on], at[on], node_features(nodes[0], tree, nodes[1], width, per_node, seed), bins)
-                    flat = cells.reshape(len(ends), -1)
-                    node, cell = np.nonzero(flat)
-                    out = [nodes[0][node].astype(np.int32), np.full(len(node), tree, np.int32), nodes[1][node].astype(np.int32), cell.astype(np.int32), flat[node, cell]]
-                    yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["center_id", "tree_id", "node_id", "cell", "n"])
-
-        def choose(table: pa.Table, shared=shared) -> pa.Table:
-            center, tree, node = (table.column(c)[0].as_py() for c in ("center_id", "tree_id", "node_id"))
-            cells = np.zeros(per_node * bins * 2, np.int64)
-            cells[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-            cells = cells.reshape(1, per_node, bins, 2)
-            slot, at, gain, left = best_splits(cells, np.array([shared.value[1][center]]))
-            n0, n1 = cells[0, 0].sum(axis=0).tolist()
-            feature = int(node_features(center, tree, node, width, per_node, seed)[slot[0]]) if gain[0] > 0 else -1
-            row = [center, tree, node, feature, int(at[0]), float(gain[0]), n0, n1, *left[0].tolist()]
-            return pa.Table.from_pylist([dict(zip(_SPLIT.names, row))], schema=_SPLIT)
-
-        cells = rows.mapInArrow(count, "center_id int, tree_id int, node_id int, cell int, n long")
-        summed = cells.groupBy("center_id", "tree_id", "node_id", "cell").agg(F.sum("n").alias("n"))
-        found = summed.groupBy("center_id", "tree_id", "node_id").applyInArrow(choose, "center_id int, tree_id int, node_id int, feature int, bin int, gain double, n0 long, n1 long, left0 long, left1 long").toArrow()
+        found = _level_splits(rows, shared, width, per_node, seed, bins).toArrow()
         frontier = []
         for row in found.to_pylist():
             place = row["center_id"], row["tree_id"], row["node_id"]
@@ -294,6 +264,43 @@ def _large_nodes(rows, weights, block, width, depth, per_node, seed, bins, small
     return splits, rest
 
 
+def _level_splits(rows: DataFrame, shared, width: int, per_node: int, seed: int, bins: int) -> DataFrame:
+    """The best split of every node that a broadcast walk ends in: class counts per cell in tasks, summed, one row a node."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, _ = shared.value
+        for batch in batches:
+            center, h, label, rate, b = _columns(batch, width)
+            for tree, ends in walk.ends.items():
+                at = walk.place(tree, center, b)[1]
+                bag = bag_counts(h, tree, rate) * (at >= 0)
+                on = np.flatnonzero(bag)
+                if not len(on):
+                    continue
+                nodes = (ends >> 32, ends & 0xFFFFFFFF)
+                cells = _histogram(b[on], label[on], bag[on], at[on], node_features(nodes[0], tree, nodes[1], width, per_node, seed), bins)
+                flat = cells.reshape(len(ends), -1)
+                node, cell = np.nonzero(flat)
+                out = [nodes[0][node].astype(np.int32), np.full(len(node), tree, np.int32), nodes[1][node].astype(np.int32), cell.astype(np.int32), flat[node, cell]]
+                yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["center_id", "tree_id", "node_id", "cell", "n"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        center, tree, node = (table.column(c)[0].as_py() for c in ("center_id", "tree_id", "node_id"))
+        cells = np.zeros(per_node * bins * 2, np.int64)
+        cells[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+        cells = cells.reshape(1, per_node, bins, 2)
+        slot, at, gain, left = best_splits(cells, np.array([shared.value[1][center]]))
+        n0, n1 = cells[0, 0].sum(axis=0).tolist()
+        feature = int(node_features(center, tree, node, width, per_node, seed)[slot[0]]) if gain[0] > 0 else -1
+        row = [center, tree, node, feature, int(at[0]), float(gain[0]), n0, n1, *left[0].tolist()]
+        return pa.Table.from_pylist([dict(zip(_SPLIT.names, row))], schema=_SPLIT)
+
+    cells = rows.mapInArrow(count, "center_id int, tree_id int, node_id int, cell int, n long")
+    summed = cells.groupBy("center_id", "tree_id", "node_id", "cell").agg(F.sum("n").alias("n"))
+    kinds = "center_id int, tree_id int, node_id int, feature int, bin int, gain double, n0 long, n1 long, left0 long, left1 long"
+    return summed.groupBy("center_id", "tree_id", "node_id").applyInArrow(choose, kinds)
+
+
 def _small_nodes(rows, stats, weights, splits, rest, block, width, depth, per_node, seed, bins) -> DataFrame:
     """Everything at and below the nodes with few rows, and the whole trees of small centers. Each node's rows go to one task, as bytes."""
     spark = rows.sparkSession

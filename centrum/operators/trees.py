@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from centrum.functions.columns import row_hash, sigmoid
+from centrum.operators.binning import with_cut_bins
 from centrum.operators.ordering import join_params, settle
 
 TREES = (
@@ -34,7 +35,10 @@ def bin_edges(df: DataFrame, width: int) -> DataFrame:
 
 
 def with_bins(df: DataFrame, edges: DataFrame, width: int, bins: int) -> DataFrame:
-    """Equal-width bin numbers of all features in one array; they do not depend on how rows are partitioned."""
+    """Bin numbers of all features in one array, by cut points if the edges have them, else of equal width; they do not
+    depend on how rows are partitioned."""
+    if "cuts" in edges.columns:
+        return with_cut_bins(df, edges, width)
     joined = join_params(df, edges, "center_id")
     x, lo, hi = F.col("features"), F.col("lo"), F.col("hi")
     places = [
@@ -123,6 +127,9 @@ def level_split(hist: DataFrame, width: int, bins: int, reg_lambda: float = 1.0)
 
 def with_thresholds(splits: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
     """The upper edge of the split's bin, the place where the row values are cut."""
+    if "cuts" in edges.columns:
+        placed = splits.join(edges, "center_id")
+        return placed.withColumn("threshold", F.get(F.col("cuts")[F.col("feature")], F.col("bin"))).drop("cuts")
     lo, hi = F.col("lo")[F.col("feature")], F.col("hi")[F.col("feature")]
     placed = splits.join(edges, "center_id")
     return placed.withColumn("threshold", lo + (F.col("bin") + 1) * ((hi - lo) / bins)).drop("lo", "hi")
@@ -217,7 +224,7 @@ def grow(
         nodes = nodes.groupBy("center_id", "node_id").agg(F.max_by(F.struct(*names), "left").alias("_n")).select("center_id", "node_id", "_n.*")
     return nodes.select(
         F.lit(round_no).alias("round"),
-        F.col("center_id").cast("int"),
+        "center_id",
         F.lit(round_no).alias("tree_id"),
         F.col("node_id").cast("int"),
         F.col("feature").cast("int"),
@@ -230,6 +237,25 @@ def grow(
     )
 
 
+def grow_parallel(rows: DataFrame, edges: DataFrame, width: int, depth: int, parallel: int, key: str, share: float = 1.0, seed: int = 42, rate: float = 0.3, round_no: int = 1, **settings) -> DataFrame:
+    """``parallel`` trees per center of one round, from the same gradients, in one histogram job a level for all of them.
+
+    Every tree sees its own ``share`` of the rows by hash; a leaf counts 1 / ``parallel``, so that the trees together step
+    as far as one. Tree ids go on from round to round. ``rows`` needs ``key``.
+    """
+    number = F.explode(F.sequence(F.lit(0), F.lit(parallel - 1)))
+    copies = rows.select("center_id", "bins", "g", "h", key, number.alias("_tree"))
+    if share < 1.0:
+        copies = copies.where(row_hash(key, seed, round_no, F.col("_tree")) < int(share * 4294967296))
+    together = (F.col("center_id").cast("bigint") * parallel + F.col("_tree")).alias("center_id")
+    many = edges.select("*", number.alias("_tree")).select(together, *[c for c in edges.columns if c != "center_id"])
+    grown = grow(copies.select(together, "bins", "g", "h"), many, width, depth, rate=rate / parallel, round_no=round_no, **settings)
+    tree = F.pmod(F.col("center_id"), F.lit(parallel))
+    ids = ((round_no - 1) * parallel + tree + 1).cast("int")
+    center = ((F.col("center_id") - tree) / parallel).cast("int")
+    return grown.withColumn("tree_id", ids).withColumn("center_id", center)
+
+
 def _flatten(pdf) -> tuple:
     """Tree rows as flat arrays: child links point into the same arrays, leaves point to themselves."""
     order = ["round", "center_id", "tree_id", "node_id"]

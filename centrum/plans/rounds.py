@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from centrum.operators import dropout, forests, linear, merge, metrics as met, splits, trees as tr
+from centrum.operators.binning import sketch_edges
 from centrum.operators.ordering import join_params, settle
 from centrum.session import cut_lineage
 
@@ -127,11 +128,16 @@ def boosted_rounds(
     percent: float = 0.0,
     seed: int = 42,
     cut_every: int = 10,
+    parallel: int = 1,
+    equal_width: bool = False,
 ) -> Iterator[tuple[int, DataFrame]]:
     """Yields (round, all trees so far). The margin of every row is kept and only moved by the newest trees; its
-    lineage is cut every ``cut_every`` rounds. ``merged=False`` trains every center alone."""
+    lineage is cut every ``cut_every`` rounds. ``merged=False`` trains every center alone. Bins hold equal numbers of
+    a center's rows, by sketches, unless they should be of ``equal_width``. ``parallel`` trees are grown in each round."""
     check_settings(num_rounds, None, 0.5, dropout_method, percent)
-    edges = settle(tr.bin_edges(rows, width))
+    if parallel > 1 and not key:
+        raise ValueError("several trees a round need a key that tells rows apart")
+    edges = settle(tr.bin_edges(rows, width)) if equal_width else sketch_edges(rows, width, bins)
     stats = center_stats(rows)
     mode = rate_mode if merged and not symmetric else "uniform"
     rates = settle(merge.step_sizes(stats, 1.0, mode))
@@ -142,10 +148,14 @@ def boosted_rounds(
     total = tr.no_trees(rows.sparkSession)
     for round_no in range(1, num_rounds + 1):
         part = taking_part(current, stats, dropout_method, percent, round_no, seed)
-        if subsample < 1.0 and key:
+        if subsample < 1.0 and key and parallel == 1:
             part = tr.row_subsample(part, key, subsample, seed, round_no)
         graded = tr.logistic_gradients(part, scale_positive=scale_positive) if objective == "logistic" else tr.squared_gradients(part)
-        grown = tr.grow(graded, edges, width, depth, bins, rate, 1.0, min_gain, symmetric, round_no)
+        settings = {"bins": bins, "rate": rate, "min_gain": min_gain, "symmetric": symmetric, "round_no": round_no}
+        if parallel > 1:
+            grown = tr.grow_parallel(graded, edges, width, depth, parallel, key, subsample, seed, **settings)
+        else:
+            grown = tr.grow(graded, edges, width, depth, **settings)
         # this round's rows are computed now, so those they came from can go
         for old in held[:-1]:
             old.unpersist()
@@ -156,7 +166,7 @@ def boosted_rounds(
             grown = merge.largest_model(grown, stats)
         elif merged:
             grown = merge.scale_leaves(grown, rates)
-        grown = settle(grown.select(*total.columns))
+        grown = settle(grown.to(total.schema))
         total = grown if round_no == 1 else settle(total.unionByName(grown))
         yield round_no, total
         if round_no < num_rounds:

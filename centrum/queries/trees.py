@@ -20,13 +20,13 @@ def stumps(spark, folder, label: str = "label", symmetric: bool = False, round_n
     return tr.grow(graded, edges, V.WIDTH, 1, BINS, RATE, symmetric=symmetric, round_no=round_no)
 
 
-def sql_stumps(prefix: str = "", label: str = "label") -> str:
-    """The same stumps in SQL: histogram, running sums, best gain, three node rows."""
+def sql_stumps(prefix: str = "", label: str = "label", source: str = "planted", rate: float = RATE) -> str:
+    """The same stumps in SQL: histogram, running sums, best gain, three node rows. Edges come from all planted rows."""
     p = prefix
-    long = " UNION ALL ".join(
-        f"SELECT center_id, {i} AS feature, f{i} AS v, 0.5e0 - {label} AS g, 0.25e0 AS h FROM planted" for i in range(4)
+    long = lambda table: " UNION ALL ".join(
+        f"SELECT center_id, {i} AS feature, f{i} AS v, 0.5e0 - {label} AS g, 0.25e0 AS h FROM {table}" for i in range(4)
     )
-    return f"""{p}lg AS ({long}), {p}ed AS (SELECT center_id, feature, min(v) AS lo, max(v) AS hi FROM {p}lg GROUP BY ALL),
+    return f"""{p}lg AS ({long(source)}), {p}ed AS (SELECT center_id, feature, min(v) AS lo, max(v) AS hi FROM ({long("planted")}) GROUP BY ALL),
     {p}hs AS (SELECT l.center_id, l.feature, CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / {BINS})), {BINS - 1}) ELSE 0 END AS bin,
            sum(g) AS g, sum(h) AS h FROM {p}lg l JOIN {p}ed e ON e.center_id = l.center_id AND e.feature = l.feature GROUP BY ALL),
     {p}cu AS (SELECT center_id, feature, bin, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER f AS gt, sum(h) OVER f AS ht FROM {p}hs
@@ -34,7 +34,7 @@ def sql_stumps(prefix: str = "", label: str = "label") -> str:
     {p}ga AS (SELECT *, gl*gl/(hl+1) + (gt-gl)*(gt-gl)/(ht-hl+1) - gt*gt/(ht+1) AS gain FROM {p}cu WHERE hl >= 1 AND ht - hl >= 1),
     {p}be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY round(gain, 9) DESC, feature, bin) AS rn
            FROM {p}ga WHERE round(gain, 9) > 0) WHERE rn = 1),
-    {p}sp AS (SELECT b.*, lo + (bin + 1) * ((hi - lo) / {BINS}) AS thr, -{RATE}e0 * gl / (hl + 1) AS vl, -{RATE}e0 * (gt - gl) / (ht - hl + 1) AS vr
+    {p}sp AS (SELECT b.*, lo + (bin + 1) * ((hi - lo) / {BINS}) AS thr, -{rate}e0 * gl / (hl + 1) AS vl, -{rate}e0 * (gt - gl) / (ht - hl + 1) AS vr
            FROM {p}be b JOIN {p}ed e ON e.center_id = b.center_id AND e.feature = b.feature),
     {p}nodes AS (SELECT center_id, 0 AS node_id, feature, thr AS threshold, 1 AS "left", 2 AS "right", 0e0 AS value, ht AS sum_hessian FROM {p}sp
       UNION ALL SELECT center_id, 1, -1, NULL, -1, -1, vl, hl FROM {p}sp UNION ALL SELECT center_id, 2, -1, NULL, -1, -1, vr, ht - hl FROM {p}sp)"""
@@ -59,6 +59,24 @@ def symmetric_stump(spark, folder):
     return node_rows(stumps(spark, folder, "label2", symmetric=True))
 
 
+HALF = 2**31
+SUBSAMPLE = lambda t: f"half{t} AS (SELECT * FROM planted WHERE {V.sql_hash('row_key', 42, 3, t)} < {HALF})"
+
+
+@query(
+    "trn_9_parallel_stumps",
+    f"""WITH {V.PLANTED}, {SUBSAMPLE(0)}, {SUBSAMPLE(1)}, {sql_stumps('a', 'label2', 'half0', RATE / 2)}, {sql_stumps('b', 'label2', 'half1', RATE / 2)}
+        SELECT 5 AS tree_id, {SQL_NODES} FROM anodes UNION ALL SELECT 6, {SQL_NODES} FROM bnodes""",
+)
+def parallel_stumps(spark, folder):
+    """Two trees of the third round, each on its own half of the rows and with half the step."""
+    rows = V.planted_features(spark, folder, "label2").withColumn("margin", F.lit(0.0))
+    edges = settle(tr.bin_edges(rows, V.WIDTH))
+    graded = tr.logistic_gradients(tr.with_bins(rows, edges, V.WIDTH, BINS))
+    grown = tr.grow_parallel(graded, edges, V.WIDTH, 1, 2, "row_key", 0.5, 42, RATE, 3, bins=BINS)
+    return node_rows(grown, "tree_id")
+
+
 @query("trn_10_warm_up", f"WITH {V.PLANTED} SELECT center_id, count(*) AS n_rows, 0 AS num_trees FROM planted GROUP BY 1")
 def warm_up(spark, folder):
     """The first boosting round shares no trees: it only reports the centers' sizes."""
