@@ -14,6 +14,8 @@ from centrum.llm.common import slices, stored, texts_of
 #: Words that one index holds; a longer piece between two separators isn't cut.
 SHARD_WORDS = 1_000_000
 LONGEST = 5
+#: Up to so many phrases of one length (24 bytes each) are broadcast to find their places in the shards; more are joined.
+BROADCAST_PHRASES = 1_000_000
 #: White space inside a piece, and what ends a piece.
 _BLANKS, _ENDS = b"\x09\x20", b".,;:!?\x0a\x0b\x0c\x0d"
 _CHARS = bytes(10 if c in _ENDS else 32 if c in _BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -196,8 +198,64 @@ def longer(sides: list[Side], intervals: list[np.ndarray], ids: np.ndarray, turn
     return {"prefix": prefix, "suffix": suffix, "low": lows[0].astype(np.int32), "back_low": lows[1].astype(np.int32), "size": size[keep].astype(np.int32)}
 
 
-def _pairs(index: DataFrame) -> DataFrame:
-    """Two-word phrases of all shards."""
+class Numbers:
+    """The ids of phrases by their two parts."""
+
+    def __init__(self, prefix: np.ndarray, suffix: np.ndarray, ids: np.ndarray):
+        self.prefixes, first = np.unique(prefix, return_inverse=True)
+        self.suffixes, second = np.unique(suffix, return_inverse=True)
+        keys = first.astype(np.int64) * max(len(self.suffixes), 1) + second
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+
+    def find(self, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """The id of each pair, or -1."""
+        out = np.full(len(prefix), -1, np.int64)
+        rows = np.arange(len(prefix) if len(self.ids) else 0)
+        places = []
+        for known, wanted in ((self.prefixes, prefix), (self.suffixes, suffix)):
+            at = np.minimum(np.searchsorted(known, wanted[rows]), max(len(known) - 1, 0))
+            stay = known[at] == wanted[rows]
+            rows, places = rows[stay], [p[stay] for p in places] + [at[stay]]
+        keys = places[0] * len(self.suffixes) + places[1]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        same = self.keys[at] == keys
+        out[rows[same]] = self.ids[at[same]]
+        return out
+
+    def keep(self, found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The places of known phrases, with their ids in place of their parts."""
+        ids = self.find(found["prefix"], found["suffix"])
+        return {c: found[c][ids >= 0] for c in found if c not in ("prefix", "suffix")} | {"id": ids[ids >= 0]}
+
+
+LIVE = "shard long, low int, back_low int, size int, id long"
+
+
+def _numbers(level: DataFrame):
+    """A broadcast of the phrases' ids, if they are few enough."""
+    ids = level.select("prefix", "suffix", "id")
+    if ids.limit(BROADCAST_PHRASES + 1).count() > BROADCAST_PHRASES:
+        return None
+    table = ids.toArrow()
+    return level.sparkSession.sparkContext.broadcast(Numbers(*(table.column(c).to_numpy() for c in ("prefix", "suffix", "id"))))
+
+
+def _live(grams: DataFrame, level: DataFrame) -> DataFrame:
+    """The places in all shards of the phrases that are frequent."""
+    shared = _numbers(level)
+    if shared is None:
+        return grams.join(level.select("prefix", "suffix", "id"), ["prefix", "suffix"]).select("shard", "low", "back_low", "size", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(shared.value.keep({c: batch.column(c).to_numpy() for c in batch.schema.names}))
+
+    return grams.mapInArrow(run, LIVE)
+
+
+def _pairs(index: DataFrame, known=None) -> DataFrame:
+    """Two-word phrases of all shards; with a broadcast of ids only the known ones, with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,11 +266,13 @@ def _pairs(index: DataFrame) -> DataFrame:
                 low = np.searchsorted(sides[0].first, words)
                 size = np.searchsorted(sides[0].first, words, "right") - low
                 found = longer(sides, [low, low, size], ids, 1)
+                found = {"shard": np.full(len(found["size"]), row["shard"])} | found
+                if known is not None:
+                    found = known.value.keep(found)
                 for k in range(0, len(found["size"]), 100_000):
-                    part = {c: v[k : k + 100_000] for c, v in found.items()}
-                    yield pa.RecordBatch.from_pydict({"shard": np.full(len(part["size"]), row["shard"])} | part)
+                    yield pa.RecordBatch.from_pydict({c: v[k : k + 100_000] for c, v in found.items()})
 
-    return index.mapInArrow(run, GRAMS)
+    return index.mapInArrow(run, GRAMS if known is None else LIVE)
 
 
 def _longer(index: DataFrame, live: DataFrame, turn: int) -> DataFrame:
@@ -241,7 +301,7 @@ def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: s
     Tasks turn their rows into shards of word numbers. Words are counted over all shards, and each shard gets an FM-index of its
     frequent words in both directions. Intervals of phrases grow by a word, to the right and to the left in turn, if both parts
     are frequent in the whole corpus; counts are summed over shards before the next step, so nothing is missed: a
-    phrase is at most as frequent as its parts. Sizes of all tables follow the corpus; nothing is broadcast but what Spark finds to be small.
+    phrase is at most as frequent as its parts. Sizes of all tables follow the corpus; only tables counted to be small are broadcast.
 
     Null texts are empty, a null language is ``und``; repeated rows count each; other columns aren't read; an empty table
     gives no rows. A text without separators is one piece, however long it is.
@@ -259,7 +319,8 @@ def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: s
     for size in range(2, longest + 1):
         level = levels[size] = _next_level(grams, level, least)
         if size < longest:
-            live = grams.join(level.select("prefix", "suffix", "id"), ["prefix", "suffix"]).select("shard", "low", "back_low", "size", "id")
+            known = _numbers(level) if size == 2 else None
+            live = _pairs(index, known) if known is not None else _live(grams, level)
             grams = stored(_longer(index, live, size % 2), "phrase-grams")
     out = None
     for size, level in levels.items():
