@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,12 @@ UNLIKELY = set(
     "newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer footnav comment comments disqus "
     "respond reply replies share sharing social related recommended recommendations widget toolbar pagination pager login search skip legal copyright".split()
 )
+#: Words that say nothing of their own beside one of those, as in "share-buttons".
+COMPANIONS = set(
+    "a area articles bar block bottom box buttons by card center class col column container content count feed form group holder icons id in inner item items js left "
+    "letter level link links list main media module more nested news of on outer page pages panel popular post posts primary reader readers region right row secondary "
+    "section site slot stories story sub tags text the thread title to top unit user users view wrap wrapper your zone".split()
+)
 LIKELY = set("article articlebody body content entry main post story text".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 TAG_POINTS = {"article": 25, "main": 15, "section": 5, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "li": -3, "th": -5}
@@ -55,8 +62,10 @@ class Page:
                 self._close(open_now, found[1].lower())
             elif found[2] and found[4]:
                 tag = found[2].lower()
+                if tag in ("svg", "math") and found[3].endswith("/"):
+                    continue  # only foreign elements can close themselves; elsewhere the slash means nothing
                 self._open(open_now, tag, found[3])
-                if tag in RAW and not found[3].endswith("/"):
+                if tag in RAW:
                     closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                     at = closing.end() if closing else end
                     open_now.pop()
@@ -104,21 +113,24 @@ class Page:
 
 
 def _hint(tag: str, attributes: str) -> int:
-    """-1: not part of an article by its name or role, 1: likely its container, 0: neither."""
-    hint = -1 if tag in NEVER or tag in RAW else 0
+    """-2: not part of an article by its tag, role or name, -1: by one word of its name only, 1: likely its container, 0: none of these."""
+    hint = -2 if tag in NEVER or tag in RAW else 0
     if not attributes or attributes.isspace():
         return hint
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return -1
+            return -2
         if name == "role":
-            hint = -1 if value.lower() in ROLES else 1 if value.lower() in ("main", "article") else hint
+            hint = -2 if value.lower() in ROLES else 1 if value.lower() in ("main", "article") else hint
         elif name in ("class", "id"):
             parts = {p.lower() for p in _NAME_PARTS.findall(value)}
             if parts & UNLIKELY and tag not in ("html", "body", "article", "main") or parts & {"comment", "comments"} and tag == "article":
-                return -1
-            if parts & LIKELY and hint == 0:
+                words = [{p.lower() for p in _NAME_PARTS.findall(word)} for word in value.split()]
+                if any(w & UNLIKELY and w <= UNLIKELY | COMPANIONS for w in words):
+                    return -2
+                hint = min(hint, -1)
+            elif parts & LIKELY and hint == 0:
                 hint = 1
     return hint
 
@@ -133,7 +145,7 @@ def main_text(source: str) -> str:
         up, tag = page.parents[i], page.tags[i]
         owner[i] = i if tag in BLOCK else owner[up]
         in_link[i] = in_link[up] or tag == "a"
-        in_article[i] = in_article[up] or tag in ("article", "main")
+        in_article[i] = in_article[up] or tag in ("article", "main") or page.hints[i] > 0
     whole, linked, length, commas = [0] * n, [0] * n, [0] * n, [0] * n
     for i, _, text in page.pieces:
         size = len(text)
@@ -145,8 +157,12 @@ def main_text(source: str) -> str:
         whole[page.parents[i]] += whole[i]
         linked[page.parents[i]] += linked[i]
     plain = [w - l for w, l in zip(whole, linked)]
+    alike = Counter((page.parents[i], page.tags[i], page.hints[i]) for i in range(1, n) if page.hints[i] == -1)
     for i in range(1, n):
-        bad = page.hints[i] < 0 or (page.tags[i] == "header" and not in_article[page.parents[i]])
+        up, tag = page.parents[i], page.tags[i]
+        # inside an article one word of a name isn't enough: its structure must be that of a list of links or of answers
+        agrees = tag not in TEXT_BLOCKS and (linked[i] > 0.3 * max(whole[i], 1) or alike[up, tag, -1] > 1)
+        bad = page.hints[i] < -1 or (page.hints[i] == -1 and (not in_article[up] or agrees)) or (tag == "header" and not in_article[up])
         wraps = page.tags[i] in ("form", "div", "fieldset", "object", "header", "section") and plain[i] > 0.8 * plain[0]
         dropped[i] = dropped[page.parents[i]] or (bad and not wraps)
     score = [0.0] * n
@@ -206,7 +222,8 @@ def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None
     the next four ancestors; tags and names add or take points; a container's share of link text discounts its sum. The
     best container, widened to the article it is part of, and its good siblings are kept. Menus, page headers, footers, asides,
     forms, hidden and embedded elements, and elements with the names of adverts, notices or comments go, unless they wrap
-    nearly all plain text. Null and empty pages give the empty text, broken markup never fails; rows repeat as in the
+    nearly all plain text. A name that holds such a word beside words of its own ("market-share") counts inside an
+    article only if links or like neighbours agree, and never for a paragraph or heading there. Null and empty pages give the empty text, broken markup never fails; rows repeat as in the
     input; an empty table gives no rows; columns that aren't named are not read.
     """
     keep = keep or []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from centrum.llm.common import slices, stored, sums_by_row, texts_of, words_at_spaces
 
 ORDER = 5
+#: Length bands of the calibration, and the nats a character that a text may lie over its band's limit.
+BANDS, MARGIN = 8, 1.4
 _SPACE = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -27,8 +31,21 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     unseen: float = 1e-4
-    mean: float = 0.0
-    deviation: float = 1.0
+    #: The highest accepted cross-entropy by length band, as far as it was calibrated.
+    limits: dict[int, float] = field(default_factory=dict)
+
+    def settle_limits(self) -> None:
+        """A limit for every band: a longer text never has a higher one, and a band without texts has that of its shorter
+        neighbour. Bands below all calibrated ones get a nat more each. ``MARGIN`` is added to all, as room for numbers, keys and
+        names inside prose; without any text nothing is rejected."""
+        first = min(self.limits, default=0)
+        known, out = math.inf, {}
+        for band in range(BANDS):
+            known = min(known, self.limits.get(band, math.inf) + MARGIN)
+            out[band] = known
+        if self.limits:
+            out |= {band: out[first] + first - band for band in range(first)}
+        self.limits = out
 
     def log_shares(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of the last character of each row of ``ORDER`` codes, given those before it."""
@@ -153,12 +170,13 @@ def training_rows(df: DataFrame, per_language: int, id_col: str, lang_col: str)
     return df.where(F.col(lang_col).isNotNull() & (place < share))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 5000, max_grams: int = 200_000) -> list[Model]:
-    """A model for each language of the labelled rows, from a sample of ``per_language`` rows and ``max_grams`` n-grams each.
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 5000) -> list[Model]:
+    """A model for each language of the labelled rows, from a sample of about ``per_language`` rows each.
 
-    These two bounds, the only ones, hold the model to a few MB a language (a broadcast of known size). Counting runs in
-    tasks; the driver sees the ``max_grams`` most frequent full-length n-grams of a language. A fifth of the sample is
-    left out of the counts and calibrates what is rejected: mean and deviation of the cross-entropy of its texts.
+    That bound, the only one, is on labelled rows: all n-grams of the sampled texts count, so discounts and continuation
+    counts are those of the whole sample. Counting runs in tasks, and so does the fit, by language; the
+    driver sees the finished sorted arrays (some MB a language). A fifth of the sample is left out of the counts and calibrates
+    what is rejected: by length bands, the quantile of its texts' cross-entropy that only one in a thousand passes.
     """
     sample = training_rows(df.select(id_col, text_col, lang_col), per_language, id_col, lang_col)
     rows = stored(sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col), F.lit(5)) == 0).alias("tune")), "language-sample")
@@ -178,24 +196,33 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                     yield pa.RecordBatch.from_pydict({"lang": [name] * len(kinds), "gram": grams, "n": sums})
 
     counted = rows.where("not tune").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").toLocalIterator()]
-    models = []
-    counted = stored(counted, "language-grams")
-    for name in names:
-        top = counted.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", "n").toArrow()
-        if top.num_rows:
-            codes = np.frombuffer("".join(top.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-            models.append(fit_model(name, codes, top.column("n").to_numpy().astype(float), len(np.unique(codes))))
+    fitted = stored(counted, "language-grams").groupBy("lang").applyInArrow(_fit_language, "lang string, model binary")
+    models = [pickle.loads(r["model"]) for r in stored(fitted, "language-models").orderBy("lang").toLocalIterator()]
     if models:
         scored = score(rows.where("tune").withColumn("row", F.monotonically_increasing_id()), models, "row", "text", ["lang"])
-        own = scored.where("n >= 20 and lang = lang_pred").groupBy("lang_pred")
-        for r in own.agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("d")).toLocalIterator():
-            for m in models:
-                if m.name == r["lang_pred"]:
-                    m.mean, m.deviation = r["m"], r["d"]
+        own = scored.where("n > 0 and lang = lang_pred").select("lang_pred", "cross_entropy", length_band(F.col("n")).alias("band"))
+        limits = own.groupBy("lang_pred", "band").agg(F.percentile_approx("cross_entropy", 0.999, 10_000).alias("limit"), F.max("cross_entropy").alias("most"), F.count("*").alias("n"))
+        by_name = {m.name: m for m in models}
+        for r in limits.toLocalIterator():
+            # with few texts the quantile is their maximum, which the next text passes with chance 1 / (n + 1)
+            by_name[r["lang_pred"]].limits[r["band"]] = r["limit"] if r["n"] >= 1000 else r["most"] + 3.0 / math.sqrt(r["n"])
+        for m in models:
+            m.settle_limits()
     return models
 
 
+def _fit_language(table: pa.Table) -> pa.Table:
+    codes = np.frombuffer("".join(table.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+    name = table.column("lang")[0].as_py()
+    model = fit_model(name, codes, table.column("n").to_numpy().astype(float), len(np.unique(codes)))
+    return pa.table({"lang": [name], "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
+def length_band(n: Column) -> Column:
+    """Texts of up to 16, 32, ... characters, by number; the last band has no end."""
+    return F.least(F.greatest(F.ceil(F.log2(n / 16.0)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
+
+
 #: Broadcasts by their models, so that one worker builds its scorer once.
 _scorers: dict[int, Scorer] = {}
 
@@ -213,8 +240,7 @@ def score(df: DataFrame, models: list[Model], id_col: str = "doc_id", text_col:
 
     The language with the lowest length-normalised cross-entropy wins; ties go to the first name. ``score`` is that
     language's share when the models' log probabilities are tempered by the square root of the length. A text is not
-    accepted when its cross-entropy lies over the calibrated mean of its language by more than six deviations and 1.5
-    nats, which leaves room for numbers, keys and names inside prose; texts under 20 characters get sqrt(20 / n) times that room. Texts without a letter, null and empty ones get
+    accepted when its cross-entropy lies over the limit that calibration found for its language and length. Texts without a letter, null and empty ones get
     ``und``, score 0, no cross-entropy, and are not accepted. Rows repeat as in the input; only the named columns are read.
     """
     keep = keep or []
@@ -223,7 +249,7 @@ def score(df: DataFrame, models: list[Model], id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         names = np.array([m.name for m in scorer.models] + ["und"], object)
-        mean, deviation = (np.array([getattr(m, k) for m in scorer.models]) for k in ("mean", "deviation"))
+        limits = np.array([[m.limits.get(b, math.inf) for b in range(BANDS)] for m in scorer.models] + [[math.inf] * BANDS])
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in slices(texts):
@@ -235,8 +261,8 @@ def score(df: DataFrame, models: list[Model], id_col: str = "doc_id", text_col:
                 entropy = -logs.max(axis=1) / np.maximum(n, 1)
                 tempered = (logs - logs.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
                 share = np.where(some, 1 / np.exp(tempered).sum(axis=1), 0.0)
-                room = (6 * np.append(deviation, 0)[best] + 1.5) * np.sqrt(np.maximum(20 / np.maximum(n, 1), 1))
-                accepted = some & (entropy <= np.append(mean, 0)[best] + room)
+                band = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 16)), 0, BANDS - 1).astype(int)
+                accepted = some & (entropy <= limits[best, band])
                 out = {"id": batch.column("id").slice(a, b - a), "lang_pred": pa.array(names[best], pa.string()), "score": share}
                 out |= {"cross_entropy": pa.array(entropy, mask=~some), "n": n.astype(np.int64), "accepted": accepted}
                 yield pa.RecordBatch.from_pydict(out | {f"kept_{k}": batch.column(f"kept_{k}").slice(a, b - a) for k in keep})

@@ -19,6 +19,8 @@ DOMAIN = 1 << 20
 COORDINATES = 192
 #: Up to so many ids with candidates (some 30 MB) are broadcast, so that other texts aren't shuffled; more are joined.
 BROADCAST_IDS = 1_000_000
+#: Central nodes of a bucket that its members are compared with, round by round.
+CENTRES = (1, 4, 16)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -125,12 +127,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included), ``kept``.
 
     Texts are linked when 100 * intersection >= ``per_cent`` * union of their sets of ``size``-word shingles. Texts of equal
-    words are one node from the start. Nodes that share a band of the circulant signature are candidates. In three rounds,
-    every bucket compares its 1, 4 and 16 most central nodes that were not compared yet with its members under other
-    labels, whole sets against whole sets, and labels are joined by what is linked. Buckets with one label are done, and
-    so are nodes whose shingles are too rarely shared with any undecided node. The last round compares what is left
-    under two labels as far as their rarest shingles meet, which those of a linked pair must. So every candidate pair is
-    compared, already joined, or shown to be no link, and fringes of large groups don't meet all of their members.
+    words are one node from the start. Nodes that share a band of the circulant signature are candidates; those too few of whose
+    shingles occur in any other candidate are done. Every bucket compares its most central node with all of its members, and what is
+    linked gets one label. From then on only members under another label than their bucket's most frequent one are
+    carried: they are compared with the next 4 and 16 central nodes, and a member leaves as soon as it has its
+    bucket's label. The last round compares what is left with every candidate under another label, as far as
+    their rarest shingles meet, which those of a linked pair must. So every candidate pair is compared, already joined,
+    or shown to be no link, and the many members of a large group aren't carried along for its few outer ones.
 
     Texts without words (null, empty, white space) are linked with nothing and stay. Rows with equal ids count as one
     document; a null id takes the component of equal texts, else null, and is kept only where that is null.
@@ -147,28 +150,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     banded = stored(first.select(F.col("id").alias("node"), "n", F.explode("bands").alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     central = F.sum("many").over(Window.partitionBy("node")).alias("central")
-    members = stored(banded.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("label"), central), "members")
-    involved = members.select(F.col("node").alias("id")).distinct()
-    involved = stored(involved, "involved")
+    members = stored(banded.join(shared, "bucket").select("bucket", "node", "n", central), "members")
+    involved = stored(members.select(F.col("node").alias("id")).distinct(), "involved")
     few = involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = source.join(F.broadcast(involved) if few else involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sets = stored(_sets(texts, kind, size), "shingle-sets")
-
-    labels, links, tested = None, None, None
-    members = members.withColumn("shared", F.col("n"))
-    for centres in (1, 4, 16, None):
-        if members.isEmpty():
+    nodes = stored(_shared(members.groupBy("node").agg(F.max("n").alias("n")), sets, per_cent), "nodes")
+    rest = stored(members.join(nodes.select("node", "shared"), "node").withColumn("label", F.col("node")), "members")
+    pool = stored(_central(rest, sum(CENTRES)), "centres")
+
+    labels = links = tested = None
+    used = 0
+    for centres in (*CENTRES, None):
+        if rest.isEmpty():
             break
-        hubs = stored(_hubs(members, centres), "centres")
-        pairs = _prefix_pairs(members, hubs, sets, per_cent) if centres is None else _pairs(members, hubs, per_cent)
+        if centres is None:
+            pairs = _prefix_pairs(nodes, rest.select("node").distinct(), labels, sets, per_cent)
+        else:
+            pairs = _pairs(rest, _labelled(pool.where(F.col("place").between(used + 1, used + centres)), labels), per_cent)
+            used += centres
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stored(_linked(pairs, sets, per_cent), "links")
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
         if centres is not None:
-            left = members.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
-            members = stored(_undecided(_shared(_undecided(left, labels), sets, per_cent), None), "members")
+            rest = stored(_outside(_labelled(rest, labels), labels), "members")
 
     linked = copies if labels is None else copies.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("node"))
     out = signed.select("id", "n", "digest").join(linked.withColumnRenamed("node", "component"), "digest", "left")
@@ -176,14 +183,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _hubs(members: DataFrame, centres: int | None) -> DataFrame:
-    """The most central members of each bucket; without a number all but those under the bucket's most frequent label."""
-    if centres is not None:
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))
-        return members.withColumn("place", place).where(F.col("place") <= centres).drop("place")
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of nodes with their nodes' present labels."""
+    if labels is None:
+        return rows
+    return rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _central(members: DataFrame, many: int) -> DataFrame:
+    """The most central members of each bucket, by ``place`` from 1."""
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))
+    return members.withColumn("place", place).where(F.col("place") <= many)
+
+
+def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members under another label than ``main``, their bucket's: the most frequent one when first asked, and what it has become since."""
+    if "main" in members.columns:
+        moved = labels.select(F.col("node").alias("main"), F.col("label").alias("to"))
+        return members.join(moved, "main", "left").withColumn("main", F.coalesce("to", "main")).drop("to").where("label <> main")
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    return members.join(main, "bucket").where("label <> main").drop("main")
+    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select(F.col("bucket").alias("of"), "main")
+    return members.join(main, (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("main"))).drop("of")
 
 
 def _pairs(members: DataFrame, hubs: DataFrame, per_cent: int) -> DataFrame:
@@ -192,43 +212,40 @@ def _pairs(members: DataFrame, hubs: DataFrame, per_cent: int) -> DataFrame:
     A link needs ``per_cent`` / (100 + ``per_cent``) of both sizes in common, and two sets have no more in common than
     the smaller set, and than what either has in common with any other set.
     """
-    other = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("shared").alias("hub_shared"))
+    other = hubs.select(F.col("bucket").alias("of"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("shared").alias("hub_shared"))
     fits = F.least("shared", "hub_shared") * (100 + per_cent) >= (F.col("n") + F.col("hub_n")) * per_cent
-    met = members.join(other, "bucket").where((F.col("label") != F.col("hub_label")) & fits)
+    met = members.join(other, (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("hub_label")) & fits)
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _prefix_pairs(members: DataFrame, hubs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct pairs of a hub and a member under another label that can be linked, by their rarest shingles.
+def _prefix_pairs(nodes: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Distinct pairs of a hub and a node under another label that can be linked, by their rarest shingles.
 
     With all shingles in one order, rarest first, two sets that have ``least`` shingles in common share one among the
     first n - least + 1 of each; ``least`` follows from both sizes. Shingles of one node alone take places but meet nothing.
     """
-    nodes = members.groupBy("node").agg(F.max("n").alias("n"), F.min("label").alias("label"))
     each = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("many", "shingle"))
-    size = each.groupBy("node").agg(F.count("*").alias("size"))
-    met = each.join(often, "shingle").withColumn("rank", rank)
-    lone = size.join(met.groupBy("node").agg(F.max("rank").alias("met")), "node").select("node", (F.col("size") - F.col("met")).alias("lone"))
-    first = met.join(lone, "node").join(nodes, "node").withColumn("place", F.col("rank") + F.col("lone"))
+    ranked = each.join(often, "shingle").withColumn("rank", rank)
+    # the shingles that nothing else holds come first and meet nothing; ``shared`` counts the others
+    first = ranked.join(_labelled(nodes, labels), "node").withColumn("place", F.col("rank") + F.col("n") - F.col("shared"))
     first = stored(first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).select("node", "n", "label", "shingle", "place"), "prefixes")
-    other = first.join(hubs.select("node").distinct(), "node", "left_semi").select(
-        "shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("place").alias("hub_place")
+    other = first.join(hubs, "node", "left_semi").select(
+        F.col("shingle").alias("met"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("place").alias("hub_place")
     )
     least = F.ceil((F.col("n") + F.col("hub_n")) * per_cent / (100 + per_cent))
     near = (F.col("place") <= F.col("n") - least + 1) & (F.col("hub_place") <= F.col("hub_n") - least + 1)
-    pairs = first.join(other, "shingle").where((F.col("label") != F.col("hub_label")) & near)
+    pairs = first.join(other, (F.col("shingle") == F.col("met")) & (F.col("label") != F.col("hub_label")) & near)
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _shared(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Members with the number of their shingles that any other member has too; those with too few for any link are gone."""
-    nodes = members.select("node").distinct()
-    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+def _shared(nodes: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Nodes (node, n) with the number of their shingles that any other node has too; those with too few for any link are gone."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
     lone = each.groupBy("shingle").agg(F.count("*").alias("many"), F.min("node").alias("node")).where("many = 1")
-    found = members.drop("shared").join(lone.groupBy("node").agg(F.count("*").alias("lone")), "node", "left")
-    found = found.withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    found = nodes.join(lone.groupBy("node").agg(F.count("*").alias("lone")), "node", "left")
+    found = found.select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
     return found.where(F.col("shared") * 100 >= F.col("n") * per_cent)
 
 
@@ -239,12 +256,3 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     common = F.size(F.array_intersect("set_a", "set_b"))
     met = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
     return met.where(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * per_cent).select("a", "b")
-
-
-def _undecided(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members, with their new labels if given, in buckets that still hold two labels."""
-    moved = members
-    if labels is not None:
-        moved = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = moved.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return moved.join(mixed, "bucket", "left_semi")

@@ -58,3 +58,25 @@ def test_rows_and_columns(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, url string, text string, extracted int")
     assert sorted((r.page_id or 0, r.text) for r in extract(df, keep=["page_id", "url"]).collect()) == [(0, SAY), (1, ""), (1, "")]
     assert extract(df.where("false"), keep=["page_id"]).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["svg", "math"])
+def test_self_closed_foreign_elements_hide_nothing(tag):
+    assert main_text(f"<body><{tag}/><article><p>{LONG}</p></article></body>") == SAY
+    assert main_text(f"<div><{tag} width='1' />\n<p>{LONG}</p><p>Next</p></div>") == f"{SAY}\nNext"
+    assert main_text(f"<article><p>Alpha <{tag}/> beta, {LONG}</p></article>") == f"Alpha beta, {SAY}"
+    assert main_text(f"<article><p>{LONG}<{tag}><text>x</text></{tag}></p></article>") == SAY
+
+
+def test_a_slash_closes_no_raw_html_element():
+    for tag in ("script", "iframe", "textarea", "title"):
+        assert main_text(f"<body><{tag} a='b'/>not shown</{tag}><article><p>{LONG}</p></article></body>") == SAY
+
+
+def test_words_in_names_inside_an_article():
+    kept = f"""<article><p class="comment-lead">Lead, in short.</p><section class="market-share"><h2 id="related-work">Work</h2><p>{LONG}</p></section>
+    <div class="comment-box">Say something</div><div class="share-buttons">Share it</div><div class="ad">Buy this</div>
+    <div class="related-reading"><a href=1>One more story</a> <a href=2>Two more stories</a></div>
+    <div class="reply-jane">Me too, and again.</div><div class="reply-john">Me neither, at all.</div></article>"""
+    assert main_text(kept).split("\n") == ["Lead, in short.", "Work", SAY]
+    assert main_text(f"<body><article><p>{LONG}</p></article><div class='market-share'>Outside of it</div></body>") == SAY

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -132,6 +134,57 @@ def test_language_shares_add_up_to_one():
         assert abs(np.exp(model.log_shares(rows)).sum() - 1) < 1e-9
 
 
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney with dictionaries: a function from a tuple of four codes and a next one to its share."""
+    counts = [Counter() for _ in range(6)]
+    grams, _ = language_id.events(texts)
+    counts[5].update(tuple(g) for g in grams.tolist())
+    for order in range(4, 0, -1):
+        for gram in counts[order + 1]:
+            counts[order][gram[1:]] += 1
+    alphabet = len({c for g in counts[5] for c in g})
+    discount, totals, kinds = {}, {}, {}
+    for order in range(1, 6):
+        once, twice = (sum(n == k for n in counts[order].values()) for k in (1, 2))
+        discount[order] = once / (once + 2 * twice) if once and twice else 0.5
+        for gram, n in counts[order].items():
+            totals[gram[:-1]] = totals.get(gram[:-1], 0) + n
+            kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + 1
+
+    def share(context, c):
+        p = 1 / (alphabet + 1)
+        for order in range(1, 6):
+            before = context[5 - order :]
+            if before in totals and len(before) == order - 1:
+                n = counts[order].get((*before, c), 0)
+                p = max(n - discount[order], 0) / totals[before] + discount[order] * kinds[before] / totals[before] * p
+        return p
+
+    return share
+
+
+def test_cross_entropy_is_that_of_plain_kneser_ney(spark):
+    texts = {"aa": ["lala mola lo", "mola mala", "alo lom ola"], "bb": ["tkrz brk", "krz tbr kk", "zzrk"]}
+    rows = [(5 * i + 1, t, lang, 0, 0) for lang, own in texts.items() for i, t in enumerate(own * 7)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    models = language_id.fit(df)
+    tune = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()}
+    asked = ["mola krz", "ola", "unseen жx", "la " * 3000]
+    got = {r.text: r.cross_entropy for r in language_id.score(spark.createDataFrame([(t,) for t in asked], "text string"), models, "text", "text").collect()}
+    plain = [plain_kneser_ney([w for i, t, x, *_ in rows if x == lang and i not in tune for w in t.split()]) for lang in ("aa", "bb")]
+    for text in asked:
+        grams, _ = language_id.events(text.split(" "))
+        entropy = [-sum(math.log(share(tuple(g[:4]), g[4])) for g in grams.tolist()) / len(grams) for share in plain]
+        assert got[text] == pytest.approx(min(entropy), rel=1e-5)
+
+
+def test_few_clean_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = language_id.fit(docs.where(~language_id.held_out()))
+    own = language_id.score(docs.where(language_id.held_out()), models).where("n > 0")
+    assert own.where("not accepted").count() <= 0.01 * own.count()
+
+
 def test_languages_of_odd_rows(spark):
     train = spark.createDataFrame([(i, w * 30, lang, 0, 0) for i in range(40) for lang, w in (("aa", "lala mola "), ("bb", "tkrz brk "))], SCHEMA)
     models = language_id.fit(train)
