@@ -9,37 +9,53 @@ from centrum.llm import language_id, minhash, packing, secret_scan
 from centrum.session import scratch_path
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Rows as ``key``, ``content`` and ``row``, all columns in one, so that no column's name can clash with a stage's own."""
+    return docs.select(F.col("doc_id").alias("key"), F.col("text").alias("content"), F.struct(*docs.columns).alias("row"))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models accept; the others go: no letter (null and empty texts too), or far from all languages."""
+    """Documents whose language the models accept; the others go: no letter (null and empty texts too), or far from all languages.
+
+    Repeated rows and null ids stay as they are; an empty table stays empty."""
     models = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.score(docs, models, keep=[c for c in docs.columns if c != "doc_id"])
-    return found.where("accepted").select(docs.columns)
+    found = language_id.score(_whole(docs), models, "key", "content", keep=["row"])
+    return found.where("accepted").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Repeated rows of one id and text become one; documents without an id are told apart by their place in the input.
+    Repeated rows of one id and text become one; documents without an id are told apart by their place in the input;
+    texts without words stay; an empty table stays empty.
     """
-    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1) - F.monotonically_increasing_id()))
-    groups = minhash.near_duplicates(keyed, id_col="key", size=5, per_cent=80)
+    keyed = _whole(docs).withColumn("key", F.coalesce("key", F.lit((1 << 63) - 1) - F.monotonically_increasing_id()))
+    groups = minhash.near_duplicates(keyed, id_col="key", text_col="content", size=5, per_cent=80)
     stay = groups.where("kept").select("key").distinct()
-    return keyed.join(stay, "key", "left_semi").withColumn("content", F.xxhash64("text")).dropDuplicates(["key", "content"]).select(docs.columns)
+    once = keyed.join(stay, "key", "left_semi").withColumn("same", F.xxhash64("content")).dropDuplicates(["key", "same"])
+    return once.select("row.*")
 
 
 def hide_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets that look live are replaced by a mark, widely copied examples stay as they are."""
-    keyed = docs.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    """All documents; secrets that look live are replaced by a mark, widely copied examples stay as they are.
+
+    Null texts stay null; rows of one id and text get the same text; an empty table stays empty."""
+    keyed = _whole(docs).withColumn("key", F.concat_ws(":", F.col("row.doc_id").cast("string"), F.xxhash64("content").cast("string")))
+    keyed = keyed.withColumn("owner", F.col("row.source")).withColumn("repo", F.col("row.lang"))
     live = F.filter("spans", lambda s: s["live"])
-    found = secret_scan.scan(keyed, id_col="key", repo_col="lang").select("key", live.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key"])
-    clean = secret_scan.redacted(F.col("text"), F.col("spans"))
+    found = secret_scan.scan(keyed, "key", "content", "owner", "repo").select("key", live.alias("spans"))
+    hidden = keyed.join(found.where(F.size("spans") > 0).dropDuplicates(["key"]), "key", "left")
     some = F.col("spans").isNotNull()
-    hidden = keyed.join(found, "key", "left").withColumn("text", F.when(some, clean).otherwise(F.col("text")))
-    return hidden.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    clean = secret_scan.redacted(F.col("content"), F.col("spans"))
+    text = F.when(some, clean).otherwise(F.col("content"))
+    new = {"text": text, "n_chars": F.when(some, F.char_length(clean).cast("long")).otherwise(F.col("row.n_chars"))}
+    return hidden.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as token ids in sequences of at most 2,048."""
+    """All documents as token ids in sequences of at most 2,048: one row a piece, as ``packing.pack`` returns them.
+
+    A null text is empty and gives its end id alone; each repeated row is packed; an empty table gives no rows."""
     encoded = packing.word_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     packed = packing.pack(encoded, window=2048)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
