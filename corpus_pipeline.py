@@ -26,10 +26,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Repeated rows of one id and text become one; documents without an id are told apart by their place in the input;
-    texts without words stay; an empty table stays empty.
+    Repeated rows of one id and text become one, and so do documents without an id that have the same text; these stand
+    behind all ids. Texts without words stay; an empty table stays empty.
     """
-    keyed = _whole(docs).withColumn("key", F.coalesce("key", F.lit((1 << 63) - 1) - F.monotonically_increasing_id()))
+    keyed = _whole(docs).withColumn("key", F.coalesce("key", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("content"), 2)))
     groups = minhash.near_duplicates(keyed, id_col="key", text_col="content", size=5, per_cent=80)
     stay = groups.where("kept").select("key").distinct()
     once = keyed.join(stay, "key", "left_semi").withColumn("same", F.xxhash64("content")).dropDuplicates(["key", "same"])
