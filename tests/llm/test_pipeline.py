@@ -19,7 +19,7 @@ def doc(i, text, lang="en", source="a"):
 
 @pytest.fixture(scope="module")
 def prose(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).collect()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(700).collect()
     return [doc(r.doc_id, r.text, r.lang, r.source) for r in rows]
 
 
@@ -66,8 +66,8 @@ def test_near_duplicates(spark):
 
 def test_secrets(spark):
     live, copied = "password = 'Zx9Qw8Er7Ty6Ui5O'", "token: abcdefgh12345678"
-    rows = [doc(1, f"Here is {live}, é {copied}.", source="a"), doc(2, f"{copied} again", source="b"), doc(3, f"and {copied}", source="c"), doc(4, None), doc(5, ""), doc(6, "nothing"),
-            doc(1, f"Here is {live}, é {copied}.", source="a"), doc(None, f"x {live}", source="a"), doc(7, "AKIA" + "Q7" * 8 + " and " + "0f" * 20, source="a")]
+    rows = [doc(1, f"Here is {live}, é {copied} end", source="a"), doc(2, f"{copied} again", source="b"), doc(3, f"and {copied}", source="c"), doc(4, None), doc(5, ""), doc(6, "nothing"),
+            doc(1, f"Here is {live}, é {copied} end", source="a"), doc(None, f"x {live}", source="a"), doc(7, "AKIA" + "Q7" * 8 + " and " + "0f" * 20, source="a")]
     hide = lambda t: t if t is None else re.sub(r"AKIA[A-Z0-9]+|(?:0f){20}", "<secret>", t.replace(live[:-1], "<secret>"))
     want = [(*r[:1], hide(r[1]), *r[2:4], len(hide(r[1]) or ""), *r[5:]) for r in rows]
     assert plain(cp.hide_live_secrets(spark, frame(spark, rows), "")) == sorted(want, key=str)
