@@ -230,6 +230,16 @@ def multiclass_accuracy(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(hit.alias("accuracy")).withColumn("loss", 1 - F.col("accuracy"))
 
 
+def regression_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with mse, mae and r2 of ``score`` against ``label``, and the row count; r2 is 0 for a constant label."""
+    error = F.col("label") - F.col("score")
+    spread = F.var_pop("label")
+    mse = F.avg(error * error)
+    return df.groupBy(*keys).agg(
+        mse.alias("mse"), F.avg(F.abs(error)).alias("mae"), F.when(spread > 0, 1 - mse / spread).otherwise(0.0).alias("r2"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 def merge_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Plain mean of each metric over the centers, with the centers' values and row counts in center order."""
     ordered = F.array_sort(F.collect_list(F.struct("center_id", "value", "n_rows")))

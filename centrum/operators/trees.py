@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from centrum.functions.columns import row_hash, sigmoid
 from centrum.operators.binning import with_cut_bins
@@ -68,7 +68,12 @@ def histogram(rows: DataFrame) -> DataFrame:
     )
 
 
-def split_gains(hist: DataFrame, reg_lambda: float = 1.0, min_child: float = 1.0) -> DataFrame:
+def shrunk(g: Column, reg_alpha: float) -> Column:
+    """A gradient sum brought ``reg_alpha`` nearer to 0, and not past it: the effect of an L1 penalty on leaves."""
+    return F.signum(g) * F.greatest(F.abs(g) - reg_alpha, F.lit(0.0)) if reg_alpha else g
+
+
+def split_gains(hist: DataFrame, reg_lambda: float = 1.0, min_child: float = 1.0, reg_alpha: float = 0.0) -> DataFrame:
     """Every possible split of every node with its gain and the sums on both sides."""
     node = Window.partitionBy("center_id", "node", "feature")
     upto = node.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -83,7 +88,7 @@ def split_gains(hist: DataFrame, reg_lambda: float = 1.0, min_child: float = 1.0
         F.sum("h").over(node).alias("ht"),
     )
     sides = sides.withColumn("gr", F.col("gt") - F.col("gl")).withColumn("hr", F.col("ht") - F.col("hl"))
-    score = lambda g, h: F.col(g) * F.col(g) / (F.col(h) + reg_lambda)
+    score = lambda g, h: shrunk(F.col(g), reg_alpha) * shrunk(F.col(g), reg_alpha) / (F.col(h) + reg_lambda)
     gain = score("gl", "hl") + score("gr", "hr") - score("gt", "ht")
     return sides.where((F.col("hl") >= min_child) & (F.col("hr") >= min_child)).withColumn("gain", gain)
 
@@ -100,7 +105,7 @@ def best_splits(gains: DataFrame, min_gain: float = 0.0) -> DataFrame:
     )
 
 
-def level_split(hist: DataFrame, width: int, bins: int, reg_lambda: float = 1.0) -> DataFrame:
+def level_split(hist: DataFrame, width: int, bins: int, reg_lambda: float = 1.0, reg_alpha: float = 0.0) -> DataFrame:
     """One split for all nodes of a level: gains are summed over the center's nodes before the best is taken.
     A node for which the split leaves one side empty is still split."""
     nodes = hist.groupBy("center_id", "node").agg(F.lit(0).alias("_z"))
@@ -111,7 +116,7 @@ def level_split(hist: DataFrame, width: int, bins: int, reg_lambda: float = 1.0)
     ).select("center_id", "node", "feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     keys = ["center_id", "node", "feature", "bin"]
     full = grid.join(hist, keys, "left").na.fill({"g": 0.0, "h": 0.0})
-    gains = split_gains(full, reg_lambda, min_child=-1.0).where(F.col("bin") < bins - 1)
+    gains = split_gains(full, reg_lambda, -1.0, reg_alpha).where(F.col("bin") < bins - 1)
     whole = gains.groupBy("center_id", "feature", "bin").agg(F.sum("gain").alias("gain"))
     order = F.struct(-F.round("gain", 9), F.col("feature"), F.col("bin"))
     best = (
@@ -135,8 +140,8 @@ def with_thresholds(splits: DataFrame, edges: DataFrame, bins: int) -> DataFrame
     return placed.withColumn("threshold", lo + (F.col("bin") + 1) * ((hi - lo) / bins)).drop("lo", "hi")
 
 
-def split_nodes(splits: DataFrame, rate: float, reg_lambda: float = 1.0) -> DataFrame:
-    """Node rows of the split nodes and of both children as leaves with value -rate * G / (H + lambda)."""
+def split_nodes(splits: DataFrame, rate: float, reg_lambda: float = 1.0, reg_alpha: float = 0.0) -> DataFrame:
+    """Node rows of the split nodes and of both children as leaves with value -rate * G / (H + lambda), G shrunk by alpha."""
 
     def leaf(g: str, h: str, child) -> F.Column:
         return F.struct(
@@ -145,7 +150,7 @@ def split_nodes(splits: DataFrame, rate: float, reg_lambda: float = 1.0) -> Data
             F.lit(None).cast("double").alias("threshold"),
             F.lit(-1).alias("left"),
             F.lit(-1).alias("right"),
-            (-rate * F.col(g) / (F.col(h) + reg_lambda)).alias("value"),
+            (-rate * shrunk(F.col(g), reg_alpha) / (F.col(h) + reg_lambda)).alias("value"),
             F.col(h).alias("sum_hessian"),
         )
 
@@ -163,7 +168,7 @@ def split_nodes(splits: DataFrame, rate: float, reg_lambda: float = 1.0) -> Data
     return splits.select("center_id", F.explode(nodes).alias("_n")).select("center_id", "_n.*")
 
 
-def root_leaves(rows: DataFrame, rate: float, reg_lambda: float = 1.0) -> DataFrame:
+def root_leaves(rows: DataFrame, rate: float, reg_lambda: float = 1.0, reg_alpha: float = 0.0) -> DataFrame:
     """Trees of one leaf with value -rate * G / (H + lambda), for centers without a useful split."""
     sums = rows.groupBy("center_id").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     none = F.lit(-1)
@@ -174,7 +179,7 @@ def root_leaves(rows: DataFrame, rate: float, reg_lambda: float = 1.0) -> DataFr
         F.lit(None).cast("double").alias("threshold"),
         none.alias("left"),
         none.alias("right"),
-        (-rate * F.col("g") / (F.col("h") + reg_lambda)).alias("value"),
+        (-rate * shrunk(F.col("g"), reg_alpha) / (F.col("h") + reg_lambda)).alias("value"),
         F.col("h").alias("sum_hessian"),
     )
 
@@ -198,6 +203,7 @@ def grow(
     min_gain: float = 0.0,
     symmetric: bool = False,
     round_no: int = 1,
+    reg_alpha: float = 0.0,
 ) -> DataFrame:
     """One tree per center from rows (center_id, bins, g, h): one histogram job per level, all centers together.
     Only the splits of a level come back; what is returned is built from them."""
@@ -207,17 +213,17 @@ def grow(
     for level in range(depth):
         active = rows.where(F.col("node") >= 2**level - 1) if level else rows
         hist = histogram(active)
-        found = level_split(hist, width, bins, reg_lambda) if symmetric else best_splits(split_gains(hist, reg_lambda), min_gain)
+        found = level_split(hist, width, bins, reg_lambda, reg_alpha) if symmetric else best_splits(split_gains(hist, reg_lambda, 1.0, reg_alpha), min_gain)
         splits = settle(with_thresholds(found, edges, bins))
         all_splits = splits if all_splits is None else all_splits.unionByName(splits)
         if splits.isEmpty():
             break
         if level + 1 < depth:
             rows = move_rows(rows, splits)
-    nodes = split_nodes(all_splits, rate, reg_lambda)
+    nodes = split_nodes(all_splits, rate, reg_lambda, reg_alpha)
     unsplit = settle(edges.select("center_id").distinct().join(all_splits, "center_id", "left_anti"))
     if not unsplit.isEmpty():
-        nodes = nodes.unionByName(root_leaves(join_params(start, unsplit, "center_id"), rate, reg_lambda))
+        nodes = nodes.unionByName(root_leaves(join_params(start, unsplit, "center_id"), rate, reg_lambda, reg_alpha))
     if depth > 1:
         # a child that was split itself is an inner node, not the leaf its parent left behind
         names = [c for c in nodes.columns if c not in ("center_id", "node_id")]
@@ -247,15 +253,97 @@ def grow_parallel(rows: DataFrame, edges: DataFrame, width: int, depth: int, par
     copies = rows.select("center_id", "bins", "g", "h", key, number.alias("_tree"))
     if share < 1.0:
         copies = copies.where(row_hash(key, seed, round_no, F.col("_tree")) < int(share * 4294967296))
-    together = (F.col("center_id").cast("bigint") * parallel + F.col("_tree")).alias("center_id")
-    many = edges.select("*", number.alias("_tree")).select(together, *[c for c in edges.columns if c != "center_id"])
-    grown = grow(copies.select(together, "bins", "g", "h"), many, width, depth, rate=rate / parallel, round_no=round_no, **settings)
-    tree = F.pmod(F.col("center_id"), F.lit(parallel))
-    ids = ((round_no - 1) * parallel + tree + 1).cast("int")
-    center = ((F.col("center_id") - tree) / parallel).cast("int")
+    return _grow_side_by_side(copies, edges, width, depth, parallel, rate=rate / parallel, round_no=round_no, **settings)
+
+
+def grow_classes(rows: DataFrame, edges: DataFrame, width: int, depth: int, classes: int, round_no: int = 1, **settings) -> DataFrame:
+    """A tree per center and class from rows with arrays ``gs`` and ``hs``, all classes in one histogram job a level;
+    ``class_no`` tells the trees apart."""
+    each = rows.select("center_id", "bins", F.posexplode(F.arrays_zip("gs", "hs")).alias("_tree", "_d"))
+    grown = _grow_side_by_side(each.select("center_id", "bins", "_tree", F.col("_d.gs").alias("g"), F.col("_d.hs").alias("h")), edges, width, depth, classes, round_no=round_no, **settings)
+    return grown.withColumn("class_no", (F.col("tree_id") - (round_no - 1) * classes - 1).cast("int"))
+
+
+def _grow_side_by_side(copies: DataFrame, edges: DataFrame, width: int, depth: int, many: int, round_no: int, **settings) -> DataFrame:
+    """``many`` trees per center, from rows that name their tree in ``_tree``: (center, tree) takes the place of the center."""
+    together = (F.col("center_id").cast("bigint") * many + F.col("_tree")).alias("center_id")
+    numbers = edges.select("*", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("_tree"))
+    own_edges = settle(numbers.select(together, *[c for c in edges.columns if c != "center_id"]))
+    grown = grow(copies.select(together, "bins", "g", "h"), own_edges, width, depth, round_no=round_no, **settings)
+    tree = F.pmod(F.col("center_id"), F.lit(many))
+    ids = ((round_no - 1) * many + tree + 1).cast("int")
+    center = ((F.col("center_id") - tree) / many).cast("int")
     return grown.withColumn("tree_id", ids).withColumn("center_id", center)
 
 
+def softmax_gradients(df: DataFrame, classes: int, margins: str = "margins") -> DataFrame:
+    """Derivatives of the softmax loss for every class, in arrays ``gs`` and ``hs``; the label is the class's number."""
+    top = F.array_max(margins)
+    powers = F.transform(margins, lambda m: F.exp(m - top))
+    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    shares = F.transform(powers, lambda x: x / total)
+    out = df.withColumn("_p", shares)
+    hit = lambda p, k: p - F.when(F.col("label") == k, 1.0).otherwise(0.0)
+    return out.withColumn("gs", F.transform("_p", hit)).withColumn("hs", F.transform("_p", lambda p: p * (1 - p))).drop("_p")
+
+
+def add_margins(rows: DataFrame, trees: DataFrame, classes: int, out: str = "margins") -> DataFrame:
+    """``out``, an array with a margin for each class, plus the weighted leaf values of each class's trees (``class_no``)."""
+    if out not in rows.columns:
+        rows = rows.withColumn(out, F.array_repeat(F.lit(0.0), classes))
+    for pdf in _tree_chunks(trees):
+        heads = pdf.sort_values(["round", "center_id", "tree_id", "node_id"]).drop_duplicates(["round", "center_id", "tree_id"])
+        shared = rows.sparkSession.sparkContext.broadcast((_flatten(pdf), np.eye(classes)[heads["class_no"].to_numpy(int)]))
+        schema = T.StructType(list(rows.schema.fields) + [T.StructField("_add", T.ArrayType(T.DoubleType()))])
+
+        def walk(batches, shared=shared):
+            flat, owner = shared.value
+            for batch in batches:
+                if len(batch):
+                    total = (_walk(_feature_matrix(batch), flat) * flat[7]) @ owner
+                    column = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * classes, pa.int32()), pa.array(total.ravel()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "_add"])
+
+        rows = rows.mapInArrow(walk, schema).withColumn(out, F.zip_with(out, "_add", lambda a, b: a + b)).drop("_add")
+    return rows
+
+
+def symmetric_tables(trees: DataFrame) -> DataFrame:
+    """Oblivious trees as they are scored: (round, center_id, tree_id, tree_weight, rules, leaves): a feature and a threshold
+    for each level, and leaf values by the number that the levels' answers spell in binary.
+
+    A leaf above the last level, left by a node without rows, stands for all numbers below it."""
+    keys = ["round", "center_id", "tree_id"]
+    level = F.floor(F.log2(F.col("node_id") + 1.0 + 1e-9)).cast("int")
+    leveled = trees.withColumn("_l", level)
+    rules = leveled.where("feature >= 0").groupBy(*keys, "_l").agg(F.first("feature").alias("feature"), F.first("threshold").alias("threshold"))
+    rules = rules.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_l", "feature", "threshold"))).alias("rules"))
+    depths = leveled.groupBy(*keys).agg(F.max("_l").alias("_d"), F.max(F.coalesce("tree_weight", F.lit(1.0))).alias("tree_weight"))
+    leaves = leveled.where("feature < 0").join(depths.drop("tree_weight"), keys)
+    first = (F.col("node_id") + 1 - F.expr("shiftleft(1, _l)")) * F.expr("shiftleft(1, _d - _l)")
+    each = leaves.select(*keys, F.explode(F.sequence(first, first + F.expr("shiftleft(1, _d - _l)") - 1)).alias("place"), "value")
+    values = each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda v: v["value"]).alias("leaves"))
+    none = F.array().cast("array<struct<_l:int,feature:int,threshold:double>>")
+    return depths.drop("_d").join(values, keys).join(rules, keys, "left").select(*keys, "tree_weight", F.coalesce("rules", none).alias("rules"), "leaves")
+
+
+def score_symmetric(rows: DataFrame, trees: DataFrame, out: str = "margin", own_center: bool = False) -> DataFrame:
+    """``out`` plus the weighted leaf values of oblivious trees, found by index: a bit per level, no walk, all in generated code.
+
+    With ``own_center`` a row is joined to the trees of its center alone, so the work doesn't grow with the number of centers."""
+    tables = settle(symmetric_tables(trees))
+    if out not in rows.columns:
+        rows = rows.withColumn(out, F.lit(0.0))
+    entry = F.struct("round", "center_id", "tree_id", "tree_weight", "rules", "leaves")
+    keyed = tables if own_center else tables.withColumn("_of", F.lit(0))
+    on = "center_id" if own_center else "_of"
+    packed = keyed.groupBy(on).agg(F.sort_array(F.collect_list(entry.alias("_e"))).alias("_trees"))
+    joined = join_params(rows if own_center else rows.withColumn("_of", F.lit(0)), packed, on, "left")
+    place = lambda t: F.aggregate(t["rules"], F.lit(0), lambda i, r: 2 * i + F.when(F.get(F.col("features"), r["feature"]) < r["threshold"], 0).otherwise(1))
+    total = F.aggregate(F.coalesce("_trees", F.array().cast(packed.schema["_trees"].dataType)), F.lit(0.0), lambda s, t: s + t["tree_weight"] * F.get(t["leaves"], place(t)))
+    return joined.withColumn(out, F.col(out) + total).drop("_trees", "_of")
+
+
 def _flatten(pdf) -> tuple:
     """Tree rows as flat arrays: child links point into the same arrays, leaves point to themselves."""
     order = ["round", "center_id", "tree_id", "node_id"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from centrum.operators import centers as ce, linear, metrics as met, prep, selection as fs, splits, targets, trees as tr
+from centrum.operators import centers as ce, fairness, linear, metrics as met, prep, selection as fs, splits, targets, trees as tr
 from centrum.operators.ordering import settle
 from centrum.plans import rounds
 from centrum.sources import readers
@@ -94,19 +94,39 @@ LINEAR = ("logistic_regression", "lsvc", "elastic_net")
 MODELS = (*LINEAR, "random_forest", "balanced_random_forest", "xgb", "catboost", "xgblr")
 
 
-def run(rows: DataFrame, width: int, model: str, num_rounds: int = 10, run_no: int = 1, seed: int = 42, **settings) -> DataFrame:
-    """The history of one model on prepared rows. ``settings`` go to the model's rounds."""
+#: Models that can learn more than two classes, and numbers.
+CLASS_MODELS, NUMBER_MODELS = ("xgb",), ("xgb", "catboost")
+
+
+def task_of(rows: DataFrame) -> str:
+    """BINARY, MULTICLASS or REG, by the number of distinct labels."""
+    return targets.task_types(rows, ["label"]).first()["task_type"]
+
+
+def run(
+    rows: DataFrame, width: int, model: str, num_rounds: int = 10, run_no: int = 1, seed: int = 42, task: str = "BINARY", attributes: list[str] = (), **settings
+) -> DataFrame:
+    """The history of one model on prepared rows. ``settings`` go to the model's rounds.
+
+    ``task`` is BINARY, MULTICLASS or REG, or ``auto`` to choose by the labels. For each of ``attributes`` (kept columns) the
+    history of a binary task holds the gaps between its groups as the metrics ``EOP <attribute>`` and ``EOD <attribute>``, in
+    phase ``test`` of every round, for all rows of a center."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; known are {MODELS}")
-    rows = rows.select("row_key", "center_id", "label", "split", "features")
+    task = task_of(rows) if task == "auto" else task
+    if task != "BINARY":
+        return _other_task(rows, width, model, num_rounds, run_no, seed, task, settings)
+    rows = rows.select("row_key", "center_id", "label", "split", "features", *attributes)
     test = rows.where("split = 'test'")
     fit_rows = splits.stratified_split(rows.where("split = 'train'").drop("split"), "row_key", 0.2, seed + 1, held="val")
     data = fit_rows.unionByName(test).persist(StorageLevel.MEMORY_AND_DISK)
     train, judged = data.where("split = 'train'"), data.where("split <> 'train'")
     parts: list[DataFrame] = []
 
-    def note(history: DataFrame) -> None:
+    def note(history: DataFrame, scored: DataFrame | None = None, round_no: int = 0) -> None:
         parts.append(settle(history))
+        if attributes and scored is not None:
+            parts.append(settle(gap_history(scored.where("split = 'test'"), list(attributes), round_no, run_no)))
 
     def clock(round_no: int, seconds: float) -> None:
         row = [(run_no, round_no, "fit", -1, "training_time", float(seconds), 0)]
@@ -129,7 +149,8 @@ def run(rows: DataFrame, width: int, model: str, num_rounds: int = 10, run_no: i
         total = 0.0
         for seconds, (round_no, grown) in rounds.timed(rounds.boosted_rounds(train, width, num_rounds, symmetric=symmetric, **settings)):
             total += seconds
-            note(rounds.round_history(tr.score_boosted(judged, grown), round_no, run_no))
+            scored = tr.score_boosted(judged, grown)
+            note(rounds.round_history(scored, round_no, run_no), scored, round_no)
             clock(round_no, total)
     else:
         total = 0.0
@@ -138,7 +159,7 @@ def run(rows: DataFrame, width: int, model: str, num_rounds: int = 10, run_no: i
         for seconds, (round_no, forest, drawn) in rounds.timed(loop):
             total += seconds
             scored = tr.score_forest(drawn.where("split = 'val'").unionByName(test), forest)
-            note(rounds.round_history(scored, round_no, run_no))
+            note(rounds.round_history(scored, round_no, run_no), scored, round_no)
             clock(round_no, total)
     data.unpersist()
     history = parts[0]
@@ -147,6 +168,62 @@ def run(rows: DataFrame, width: int, model: str, num_rounds: int = 10, run_no: i
     return history
 
 
+def gap_history(scored: DataFrame, attributes: list[str], round_no: int, run_no: int = 1) -> DataFrame:
+    """Gaps of the true and false positive rates between an attribute's two groups, as history rows of the test phase."""
+    gaps = fairness.opportunity_gaps(fairness.group_rates(scored, attributes, ["center_id"]), ["center_id"])
+    sizes = scored.groupBy("center_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    each = F.explode(F.array(*[F.struct(F.lit(m.upper()).alias("name"), F.col(m).alias("value")) for m in ("eop", "eod")])).alias("_g")
+    long = gaps.select("center_id", "attribute", each).join(sizes, "center_id")
+    name = F.concat_ws(" ", F.col("_g.name"), "attribute")
+    return long.select(F.lit(run_no).alias("run"), F.lit(round_no).alias("round"), F.lit("test").alias("phase"), "center_id", name.alias("metric"), F.col("_g.value").alias("value"), "n_rows")
+
+
+def _other_task(rows: DataFrame, width: int, model: str, num_rounds: int, run_no: int, seed: int, task: str, settings: dict) -> DataFrame:
+    """Several classes (labels are numbered in order) or a number, by boosted rounds: local, validation and test metrics."""
+    known = {"MULTICLASS": CLASS_MODELS, "REG": NUMBER_MODELS}
+    if task not in known:
+        raise ValueError(f"unknown task {task!r}; known are BINARY, MULTICLASS, REG and auto")
+    if model not in known[task]:
+        raise ValueError(f"{model!r} has no {task} form; {known[task]} have")
+    data = splits.stratified_split(rows.where("split = 'train'").drop("split"), "row_key", 0.2, seed + 1, held="val") if task == "MULTICLASS" else splits.local_holdout(
+        rows.where("split = 'train'").drop("split"), "row_key", 0.2, seed + 1
+    )
+    data = data.unionByName(rows.where("split = 'test'")).select("row_key", "center_id", "label", "split", "features")
+    symmetric = model == "catboost"
+    parts: list[DataFrame] = []
+    if task == "MULTICLASS":
+        labels = [r["label"] for r in data.select("label").distinct().orderBy("label").limit(100).collect()]
+        number = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
+        data = data.withColumn("label", number.cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+        train, judged = data.where("split = 'train'"), data.where("split <> 'train'")
+        measure = lambda trees, k: met.multiclass_accuracy(rounds.predict_classes(judged, trees, len(labels)), ["center_id", "split"])
+        loop = lambda merged: rounds.class_rounds(train, width, len(labels), num_rounds, merged=merged, **settings)
+    else:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        train, judged = data.where("split = 'train'"), data.where("split <> 'train'")
+        base = train.agg(F.avg("label")).first()[0] or 0.0
+        scored = lambda trees, own: tr.add_margin(judged.withColumn("score", F.lit(float(base))), trees, "score", own_center=own)
+        measure = lambda trees, k: met.regression_metrics(scored(trees, k == 0), ["center_id", "split"])
+        loop = lambda merged: rounds.boosted_rounds(train, width, num_rounds, symmetric=symmetric, merged=merged, base=base, objective="squared", **settings)
+
+    def note(wide: DataFrame, phase, round_no: int) -> None:
+        if "n_rows" not in wide.columns:
+            wide = wide.join(judged.groupBy("center_id", "split").agg(F.count(F.lit(1)).alias("n_rows")), ["center_id", "split"])
+        long = met.long_metrics(wide, ["center_id", "split"], [c for c in wide.columns if c not in ("center_id", "split", "n_rows")])
+        parts.append(settle(long.select(F.lit(run_no).alias("run"), F.lit(round_no).alias("round"), phase.alias("phase"), "center_id", "metric", "value", "n_rows")))
+
+    if task == "REG":  # trees of single centers are told apart by their center; those of several classes aren't scored alone
+        *_, (_, alone) = loop(False)
+        note(measure(alone, 0).where("split = 'test'"), F.lit("local"), 0)
+    for round_no, trees in loop(True):
+        note(measure(trees, round_no), F.col("split"), round_no)
+    data.unpersist()
+    history = parts[0]
+    for part in parts[1:]:
+        history = history.unionByName(part)
+    return history
+
+
 #: Passes of the local baseline at most; it ends earlier when it has converged, and does not depend on the rounds.
 LOCAL_STEPS = 1000
 
@@ -162,6 +239,6 @@ def linear_history(train, judged, width, algorithm, num_rounds, run_no, note, cl
     total = 0.0
     for seconds, (round_no, shared, models) in rounds.timed(rounds.linear_rounds(train, width, algorithm, num_rounds, **settings)):
         total += seconds
-        note(rounds.round_history(score(shared), round_no, run_no))
+        note(rounds.round_history(score(shared), round_no, run_no), score(shared), round_no)
         note(rounds.phase_metrics(score(models), "personalized", round_no, run_no))
         clock(round_no, total)

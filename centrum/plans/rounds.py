@@ -130,6 +130,7 @@ def boosted_rounds(
     cut_every: int = 10,
     parallel: int = 1,
     equal_width: bool = False,
+    reg_alpha: float = 0.0,
 ) -> Iterator[tuple[int, DataFrame]]:
     """Yields (round, all trees so far). The margin of every row is kept and only moved by the newest trees; its
     lineage is cut every ``cut_every`` rounds. ``merged=False`` trains every center alone. Bins hold equal numbers of
@@ -151,7 +152,7 @@ def boosted_rounds(
         if subsample < 1.0 and key and parallel == 1:
             part = tr.row_subsample(part, key, subsample, seed, round_no)
         graded = tr.logistic_gradients(part, scale_positive=scale_positive) if objective == "logistic" else tr.squared_gradients(part)
-        settings = {"bins": bins, "rate": rate, "min_gain": min_gain, "symmetric": symmetric, "round_no": round_no}
+        settings = {"bins": bins, "rate": rate, "min_gain": min_gain, "symmetric": symmetric, "round_no": round_no, "reg_alpha": reg_alpha}
         if parallel > 1:
             grown = tr.grow_parallel(graded, edges, width, depth, parallel, key, subsample, seed, **settings)
         else:
@@ -227,6 +228,47 @@ def forest_rounds(
         yield round_no, merged, drawn
 
 
+def class_rounds(
+    rows: DataFrame, width: int, classes: int, num_rounds: int = 10, depth: int = 2, bins: int = 16, rate: float = 0.3, rate_mode: str = "weighted",
+    merged: bool = True, equal_width: bool = False, min_gain: float = 0.0, reg_alpha: float = 0.0, cut_every: int = 10,
+) -> Iterator[tuple[int, DataFrame]]:
+    """Softmax boosting: yields (round, all trees so far, with ``class_no``). Each round grows a tree for every center and class
+    at once; labels are class numbers from 0. Margins of all classes move together, by the newest trees alone."""
+    check_settings(num_rounds)
+    edges = settle(tr.bin_edges(rows, width)) if equal_width else sketch_edges(rows, width, bins)
+    rates = settle(merge.step_sizes(center_stats(rows), 1.0, rate_mode if merged else "uniform"))
+    current = tr.with_bins(rows.select("center_id", "features", "label"), edges, width, bins)
+    current = current.withColumn("margins", F.array_repeat(F.lit(0.0), classes)).persist(StorageLevel.MEMORY_AND_DISK)
+    held, total = [current], None
+    for round_no in range(1, num_rounds + 1):
+        graded = tr.softmax_gradients(current, classes)
+        grown = tr.grow_classes(graded, edges, width, depth, classes, round_no, bins=bins, rate=rate, min_gain=min_gain, reg_alpha=reg_alpha)
+        for old in held[:-1]:
+            old.unpersist()
+        held = held[-1:]
+        if merged:
+            grown = merge.scale_leaves(grown, rates)
+        grown = settle(grown.select(*tr.no_trees(rows.sparkSession).columns, "class_no"))
+        total = grown if total is None else settle(total.unionByName(grown))
+        yield round_no, total
+        if round_no < num_rounds:
+            current = tr.add_margins(current, grown, classes)
+            current = cut_lineage(current) if round_no % cut_every == 0 else current.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(current)
+    for old in held:
+        old.unpersist()
+
+
+def predict_classes(rows: DataFrame, trees: DataFrame, classes: int) -> DataFrame:
+    """``prediction``: the number of the class with the largest margin (the first on ties), and ``scores``, their softmax shares."""
+    scored = tr.add_margins(rows, trees, classes)
+    top = F.array_max("margins")
+    powers = F.transform("margins", lambda m: F.exp(m - top))
+    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    place = (F.array_position("margins", top) - 1).cast("double")
+    return scored.withColumn("prediction", place).withColumn("scores", F.transform(powers, lambda x: x / total)).drop("margins")
+
+
 def one_vs_rest(rows: DataFrame, width: int, classes: list[float], **settings) -> DataFrame:
     """Multiclass ensembles: one binary ensemble per class, told apart by the column ``class_label``."""
     out = None

@@ -20,21 +20,20 @@ def stumps(spark, folder, label: str = "label", symmetric: bool = False, round_n
     return tr.grow(graded, edges, V.WIDTH, 1, BINS, RATE, symmetric=symmetric, round_no=round_no)
 
 
-def sql_stumps(prefix: str = "", label: str = "label", source: str = "planted", rate: float = RATE) -> str:
+def sql_stumps(prefix: str = "", label: str = "label", source: str = "planted", rate: float = RATE, g: str = "", h: str = "0.25e0", alpha: float = 0, floor: float = 0) -> str:
     """The same stumps in SQL: histogram, running sums, best gain, three node rows. Edges come from all planted rows."""
-    p = prefix
-    long = lambda table: " UNION ALL ".join(
-        f"SELECT center_id, {i} AS feature, f{i} AS v, 0.5e0 - {label} AS g, 0.25e0 AS h FROM {table}" for i in range(4)
-    )
+    p, g = prefix, g or f"0.5e0 - {label}"
+    t = lambda x: f"(sign({x}) * greatest(abs({x}) - {alpha}e0, 0))" if alpha else f"({x})"
+    long = lambda table: " UNION ALL ".join(f"SELECT center_id, {i} AS feature, f{i} AS v, {g} AS g, {h} AS h FROM {table}" for i in range(4))
     return f"""{p}lg AS ({long(source)}), {p}ed AS (SELECT center_id, feature, min(v) AS lo, max(v) AS hi FROM ({long("planted")}) GROUP BY ALL),
     {p}hs AS (SELECT l.center_id, l.feature, CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / {BINS})), {BINS - 1}) ELSE 0 END AS bin,
            sum(g) AS g, sum(h) AS h FROM {p}lg l JOIN {p}ed e ON e.center_id = l.center_id AND e.feature = l.feature GROUP BY ALL),
     {p}cu AS (SELECT center_id, feature, bin, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER f AS gt, sum(h) OVER f AS ht FROM {p}hs
            WINDOW u AS (PARTITION BY center_id, feature ORDER BY bin ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY center_id, feature)),
-    {p}ga AS (SELECT *, gl*gl/(hl+1) + (gt-gl)*(gt-gl)/(ht-hl+1) - gt*gt/(ht+1) AS gain FROM {p}cu WHERE hl >= 1 AND ht - hl >= 1),
+    {p}ga AS (SELECT *, {t('gl')}*{t('gl')}/(hl+1) + {t('gt-gl')}*{t('gt-gl')}/(ht-hl+1) - {t('gt')}*{t('gt')}/(ht+1) AS gain FROM {p}cu WHERE hl >= 1 AND ht - hl >= 1),
     {p}be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY round(gain, 9) DESC, feature, bin) AS rn
-           FROM {p}ga WHERE round(gain, 9) > 0) WHERE rn = 1),
-    {p}sp AS (SELECT b.*, lo + (bin + 1) * ((hi - lo) / {BINS}) AS thr, -{rate}e0 * gl / (hl + 1) AS vl, -{rate}e0 * (gt - gl) / (ht - hl + 1) AS vr
+           FROM {p}ga WHERE round(gain, 9) > {floor}) WHERE rn = 1),
+    {p}sp AS (SELECT b.*, lo + (bin + 1) * ((hi - lo) / {BINS}) AS thr, -{rate}e0 * {t('gl')} / (hl + 1) AS vl, -{rate}e0 * {t('gt - gl')} / (ht - hl + 1) AS vr
            FROM {p}be b JOIN {p}ed e ON e.center_id = b.center_id AND e.feature = b.feature),
     {p}nodes AS (SELECT center_id, 0 AS node_id, feature, thr AS threshold, 1 AS "left", 2 AS "right", 0e0 AS value, ht AS sum_hessian FROM {p}sp
       UNION ALL SELECT center_id, 1, -1, NULL, -1, -1, vl, hl FROM {p}sp UNION ALL SELECT center_id, 2, -1, NULL, -1, -1, vr, ht - hl FROM {p}sp)"""
@@ -172,11 +171,90 @@ def root_splits(spark, folder):
 def local_ensembles(spark, folder):
     rows = V.planted_features(spark, folder, "label2")
     grown = rounds.train_boosted(
-        rows, V.WIDTH, num_rounds=2, depth=3, rate=0.1, merged=False, subsample=0.8, key="row_key", scale_positive=50.0, min_gain=5.0
+        rows, V.WIDTH, num_rounds=3, depth=8, rate=0.1, merged=False, subsample=0.8, key="row_key", scale_positive=50.0, min_gain=5.0, reg_alpha=5.0
     )
     return forest_report(grown)
 
 
+FLAG_NUMBER = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+
+
+def flag_features(spark, folder):
+    """The planted rows with three classes."""
+    rows = V.planted_rows(spark, folder)
+    x = F.array(F.col("l_quantity") / 50.0, F.col("l_extendedprice") / 100000.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0)
+    number = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
+    return rows.select("row_key", "center_id", x.alias("features"), number.alias("label"))
+
+
+THIRD = repr(1 / 3)
+CLASS_STUMPS = ", ".join(sql_stumps(f"c{k}", g=f"{THIRD}e0 - cast({FLAG_NUMBER} = {k} AS integer)", h=f"{THIRD}e0 * (1 - {THIRD}e0)") for k in range(3))
+
+
+@query(
+    "trn_14_multiclass_round",
+    f"WITH {V.PLANTED}, {CLASS_STUMPS} " + " UNION ALL ".join(f"SELECT cast({k} AS integer) AS class_no, {k + 1} AS tree_id, {SQL_NODES} FROM c{k}nodes" for k in range(3)),
+)
+def multiclass_round(spark, folder):
+    """One round of softmax boosting: a stump for each center and class."""
+    rows = flag_features(spark, folder)
+    _, grown = next(rounds.class_rounds(rows, V.WIDTH, 3, 1, 1, BINS, RATE, merged=False, equal_width=True))
+    return node_rows(grown, "class_no", "tree_id")
+
+
+@query("trn_14_regression_round", f"WITH {V.PLANTED}, {sql_stumps(g='0 - y / 100000e0', h='1e0')} SELECT {SQL_NODES} FROM nodes")
+def regression_round(spark, folder):
+    """One round of squared-loss boosting on the price."""
+    rows = V.planted_features(spark, folder).drop("label").join(
+        V.planted_rows(spark, folder).select("row_key", (F.col("y") / 100000.0).alias("label")).dropDuplicates(["row_key"]), "row_key"
+    )
+    _, grown = next(rounds.boosted_rounds(rows, V.WIDTH, 1, 1, BINS, RATE, merged=False, objective="squared", equal_width=True))
+    return node_rows(grown)
+
+
+@query("trn_14_penalised_round", f"WITH {V.PLANTED}, {sql_stumps(label='label2', alpha=5, floor=5)} SELECT {SQL_NODES} FROM nodes")
+def penalised_round(spark, folder):
+    """One round with an L1 penalty of 5 on leaves and a gain floor of 5."""
+    rows = V.planted_features(spark, folder, "label2")
+    _, grown = next(rounds.boosted_rounds(rows, V.WIDTH, 1, 1, BINS, RATE, merged=False, equal_width=True, reg_alpha=5.0, min_gain=5.0))
+    return node_rows(grown).where("left > 0 or node_id > 0")
+
+
+def sql_oblivious(label: str, depth: int) -> str:
+    """Oblivious trees in SQL, level by level: gains are summed over a level's nodes before the best cut is taken."""
+    bin_of = lambda i: f"cast(CASE WHEN hi{i} > lo{i} THEN least(floor((f{i} - lo{i}) / ((hi{i} - lo{i}) / {BINS})), {BINS - 1}) ELSE 0 END AS integer)"
+    ends = ", ".join(f"min(f{i}) AS lo{i}, max(f{i}) AS hi{i}" for i in range(4))
+    parts = [f"ends AS (SELECT center_id, {ends} FROM planted GROUP BY 1)",
+             f"lv0 AS (SELECT center_id, 0 AS node, 0.5e0 - {label} AS g, 0.25e0 AS h, {', '.join(f'{bin_of(i)} AS b{i}' for i in range(4))} FROM planted JOIN ends USING (center_id))"]
+    for l in range(depth):
+        each = " UNION ALL ".join(f"SELECT center_id, node, {i} AS feature, b{i} AS bin, g, h FROM lv{l}" for i in range(4))
+        parts += [
+            f"hs{l} AS (SELECT center_id, node, feature, bin, sum(g) AS g, sum(h) AS h FROM ({each}) GROUP BY ALL)",
+            f"""cu{l} AS (SELECT center_id, node, feature, cast(b AS integer) AS bin, coalesce(sum(g) FILTER (bin <= b), 0) AS gl, coalesce(sum(h) FILTER (bin <= b), 0) AS hl, sum(g) AS gt, sum(h) AS ht
+              FROM hs{l}, range({BINS - 1}) r(b) GROUP BY ALL)""",
+            f"ga{l} AS (SELECT *, gl*gl/(hl+1) + (gt-gl)*(gt-gl)/(ht-hl+1) - gt*gt/(ht+1) AS gain FROM cu{l})",
+            f"""be{l} AS (SELECT center_id, feature, bin FROM (SELECT center_id, feature, bin, sum(gain) AS gain FROM ga{l} GROUP BY ALL) WHERE round(gain, 9) > 0
+              QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY round(gain, 9) DESC, feature, bin) = 1)""",
+            f"sp{l} AS (SELECT ga{l}.* FROM ga{l} JOIN be{l} USING (center_id, feature, bin))",
+            f"""lv{l + 1} AS (SELECT v.* REPLACE (2 * node + 1 + cast(CASE feature WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END > bin AS integer) AS node)
+              FROM lv{l} v JOIN be{l} USING (center_id))""",
+        ]
+    lo, hi = ("CASE feature " + " ".join(f"WHEN {i} THEN {e}{i}" for i in range(4)) + " END" for e in ("lo", "hi"))
+    inner = " UNION ALL ".join(f"SELECT * FROM sp{l}" for l in range(depth))
+    parts.append(f"sp AS ({inner})")
+    leaf = lambda k, g, h: f"SELECT center_id, 2 * node + {k}, -1, NULL, -1, -1, -{RATE}e0 * ({g}) / ({h} + 1) FROM sp WHERE (center_id, 2 * node + {k}) NOT IN (SELECT center_id, node FROM sp)"
+    parts.append(f"""nodes AS (SELECT center_id, node AS node_id, feature, {lo} + (bin + 1) * (({hi} - {lo}) / {BINS}) AS threshold, 2 * node + 1 AS "left", 2 * node + 2 AS "right", 0e0 AS value FROM sp JOIN ends USING (center_id)
+      UNION ALL {leaf(1, 'gl', 'hl')} UNION ALL {leaf(2, 'gt - gl', 'ht - hl')})""")
+    return ", ".join(parts)
+
+
+@query("trn_11_oblivious_trees", f"WITH {V.PLANTED}, {sql_oblivious('label2', 3)} SELECT {SQL_NODES} FROM nodes")
+def oblivious_trees(spark, folder):
+    """Oblivious trees of depth 3: one cut for all nodes of a level."""
+    _, grown = next(rounds.boosted_rounds(V.planted_features(spark, folder, "label2"), V.WIDTH, 1, 3, BINS, RATE, symmetric=True, merged=False, equal_width=True))
+    return node_rows(grown)
+
+
 ENCODED = f"""{STUMPS}, encoded AS (SELECT p.row_key, p.center_id, p.label, s.center_id AS pos,
   CASE WHEN (CASE feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END) < thr THEN vl ELSE vr END AS v FROM planted p, sp s)"""
 

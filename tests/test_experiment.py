@@ -77,3 +77,29 @@ def test_history_can_be_appended(spark, folder, tmp_path):
     for r in (0, 1):
         sinks.append_history(metrics.where(F.col("run") == r), path)
     assert spark.read.parquet(path).count() == metrics.where("run < 2").count()
+
+
+@pytest.mark.parametrize("task,model", [("MULTICLASS", "xgb"), ("REG", "xgb"), ("REG", "catboost")])
+def test_other_tasks(prepared, task, model):
+    rows, names = prepared
+    x = F.col("features")
+    label = F.when(x[1] < -0.5, 3.0).when(x[1] < 0.5, 5.0).otherwise(9.0) if task == "MULTICLASS" else x[1] * 2 + x[0]
+    history = ex.run(rows.withColumn("label", label), len(names), model, num_rounds=3, task="auto", depth=2, rate=0.9)
+    assert {"val", "test"} <= {r["phase"] for r in history.select("phase").distinct().collect()}
+    last = by_phase(history.where("round = 3"), "accuracy" if task == "MULTICLASS" else "r2")
+    assert last["test"] > (0.9 if task == "MULTICLASS" else 0.6)
+    if task == "REG":
+        assert by_phase(history, "mse")["local"] > 0
+
+
+def test_tasks_are_checked(prepared):
+    for task, model in (("MULTICLASS", "lsvc"), ("REG", "random_forest"), ("RANKING", "xgb")):
+        with pytest.raises(ValueError):
+            ex.run(prepared[0], 6, model, task=task)
+
+
+def test_gaps_between_groups_are_in_the_history(prepared):
+    rows, names = prepared
+    history = ex.run(rows, len(names), "xgb", num_rounds=1, depth=2, rate=0.5, attributes=["l_linestatus"])
+    gaps = {(r["center_id"], r["metric"]): r["value"] for r in history.where("metric LIKE 'EO%'").collect()}
+    assert set(gaps) == {(c, f"{m} l_linestatus") for c in range(3) for m in ("EOP", "EOD")} and all(0 <= v <= 1 for v in gaps.values())
