@@ -229,7 +229,18 @@ class Numbers:
         return {c: found[c][ids >= 0] for c in found if c not in ("prefix", "suffix")} | {"id": ids[ids >= 0]}
 
 
-LIVE = "shard long, low int, back_low int, size int, id long"
+#: Places of frequent phrases in one shard, as packed arrays; a shard may have several such rows.
+LIVE = "shard long, low binary, back_low binary, size binary, id binary"
+
+
+def _by_shard(found: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Places as one packed row for each shard among them."""
+    order = np.argsort(found["shard"], kind="stable")
+    shards, first = np.unique(found["shard"][order], return_index=True)
+    rows = {"shard": pa.array(shards, pa.int64())}
+    for c in ("low", "back_low", "size", "id"):
+        rows[c] = pa.array([packed(part) for part in np.split(found[c][order], first[1:])] if len(shards) else [], pa.binary())
+    return pa.RecordBatch.from_pydict(rows)
 
 
 def _numbers(level: DataFrame):
@@ -245,11 +256,12 @@ def _live(grams: DataFrame, level: DataFrame) -> DataFrame:
     """The places in all shards of the phrases that are frequent."""
     shared = _numbers(level)
     if shared is None:
-        return grams.join(level.select("prefix", "suffix", "id"), ["prefix", "suffix"]).select("shard", "low", "back_low", "size", "id")
+        grams = grams.join(level.select("prefix", "suffix", "id"), ["prefix", "suffix"]).select("shard", "low", "back_low", "size", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict(shared.value.keep({c: batch.column(c).to_numpy() for c in batch.schema.names}))
+            found = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            yield _by_shard(found if shared is None else shared.value.keep(found))
 
     return grams.mapInArrow(run, LIVE)
 
@@ -268,7 +280,8 @@ def _pairs(index: DataFrame, known=None) -> DataFrame:
                 found = longer(sides, [low, low, size], ids, 1)
                 found = {"shard": np.full(len(found["size"]), row["shard"])} | found
                 if known is not None:
-                    found = known.value.keep(found)
+                    yield _by_shard(known.value.keep(found))
+                    continue
                 for k in range(0, len(found["size"]), 100_000):
                     yield pa.RecordBatch.from_pydict({c: v[k : k + 100_000] for c, v in found.items()})
 
@@ -276,15 +289,15 @@ def _pairs(index: DataFrame, known=None) -> DataFrame:
 
 
 def _longer(index: DataFrame, live: DataFrame, turn: int) -> DataFrame:
-    """Phrases one word longer than those of ``live`` (shard, low, back_low, size, id), of all shards."""
+    """Phrases one word longer than those of ``live``, of all shards."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shape = pa.schema([("shard", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), *((c, pa.int32()) for c in ("low", "back_low", "size"))])
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
         row = left.to_pylist()[0]
-        intervals = [right.column(c).to_numpy().astype(np.int64) for c in ("low", "back_low", "size")]
-        found = longer(_sides(row), intervals, right.column("id").to_numpy(), turn)
+        *intervals, ids = (np.concatenate([unpacked(v.as_py()).astype(np.int64) for v in right.column(c)]) for c in ("low", "back_low", "size", "id"))
+        found = longer(_sides(row), intervals, ids, turn)
         return pa.table({"shard": np.full(len(found["size"]), row["shard"])} | found, schema=shape)
 
     return index.select("shard", "forward", "backward").groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(run, GRAMS)
