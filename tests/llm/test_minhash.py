@@ -107,3 +107,36 @@ def test_fringe_of_a_large_group_meets_by_its_rarest_shingles(spark, monkeypatch
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, size=3, per_cent=85).collect()}
     assert got == brute(rows, 3, 85)
     assert len(sizes) == 1
+
+
+def test_members_of_a_large_group_are_not_carried_along(spark, monkeypatch):
+    """Rows that go from round to round grow no faster than the group, and are few beside its members."""
+    held = {}
+    store = minhash.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        held.setdefault(name, []).append(out.count() if name == "members" else 0)
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    carried = {}
+    for copies in (100, 400):
+        r = random.Random(5)
+        words = [f"w{k}" for k in range(400)]
+        base = r.choices(words, k=60)
+        texts = []
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(r.choice([0, 1, 2, 3])):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append(" ".join(t))
+        held.clear()
+        rows = list(enumerate(texts))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df, size=3, per_cent=85).collect()}
+        assert got == brute(rows, 3, 85)
+        everything, fitting, *rest = held["members"]
+        carried[copies] = sum(rest)
+        assert fitting <= everything and all(n < 0.7 * everything for n in rest) and rest == sorted(rest, reverse=True)
+    assert carried[400] <= 8 * carried[100] + 100
