@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from centrum.functions.columns import HASH_RANGE, row_hash, whole_div
-from centrum.operators.ordering import deal, join_params, same_keys, settle
+from centrum.operators.ordering import deal, join_params, running_sums, same_keys, settle
 
 
 def _chunk_starts(parts: int):
@@ -153,8 +153,8 @@ def attribute_centers(df: DataFrame, key: str, features: list[str], attribute: s
 
 def natural_code_centers(df: DataFrame, code_col: str) -> DataFrame:
     """Centers from a code column: the sorted distinct codes are numbered from 0; rows without a code are the last center."""
-    codes = df.select(code_col).distinct()
-    numbered = codes.withColumn("center_id", F.row_number().over(Window.orderBy(F.asc_nulls_last(code_col))) - 1)
+    placed = running_sums(df.select(code_col).distinct(), [F.asc_nulls_last(code_col)], center=F.lit(1))
+    numbered = placed.select(code_col, F.col("center_before").cast("int").alias("center_id"))
     return join_params(df, numbered, code_col, null_safe=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from centrum.functions.columns import HASH_RANGE, row_hash
-from centrum.operators.ordering import interval_join
+from centrum.operators.ordering import interval_join, running_sums
 
 
 def smoothed_weights(sizes: DataFrame, method: str | None = None, strength: float = 0.5) -> DataFrame:
@@ -70,11 +70,10 @@ def merge_linear(models: DataFrame, smoothing: str | None = None, strength: floa
 
 
 def renumber(trees: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """New consecutive tree ids in the given order, found on the small tree index."""
+    """New consecutive tree ids in the given order, found on the tree index in ranges of that order."""
     keys = list(dict.fromkeys(order))
-    index = trees.select(*keys).distinct()
-    numbered = index.withColumn("new_id", F.row_number().over(Window.orderBy(*keys)) - 1 + start)
-    return trees.join(numbered, keys)
+    placed = running_sums(trees.select(*keys).distinct(), keys, new_id=F.lit(1))
+    return trees.join(placed.select(*keys, (F.col("new_id_before") + start).cast("int").alias("new_id")), keys)
 
 
 def forest_random_draw(index: DataFrame, seed: int = 42) -> DataFrame:
@@ -92,13 +91,14 @@ def forest_weighted_draw(index: DataFrame, weights: DataFrame, n_draws: int, see
 
     Every tree owns a slice of the hash range; a draw is the tree whose slice holds its hash."""
     weighted = index.join(weights, "center_id")
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy())
-    upto = Window.orderBy("center_id", "tree_id").rowsBetween(Window.unboundedPreceding, 0)
-    slices = weighted.withColumn("weight", share).withColumn("_hi", F.sum("weight").over(upto))
-    last = F.row_number().over(Window.orderBy(F.desc("center_id"), F.desc("tree_id"))) == 1
-    slices = slices.withColumn("hi", F.when(last, F.lit(HASH_RANGE)).otherwise(F.floor(F.col("_hi") * HASH_RANGE)).cast("bigint"))
-    slices = slices.withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("center_id", "tree_id")))
-    slices = slices.select(F.lit(0).alias("_all"), "center_id", "tree_id", "weight", "lo", "hi", F.lit(HASH_RANGE).alias("_range_s"))
+    whole = weighted.agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
+    shares = weighted.withColumn("weight", F.col("weight") / F.lit(whole["weight"]).cast("double"))
+    slices = running_sums(shares, ["center_id", "tree_id"], hi=F.col("weight"), place=F.lit(1))
+    upper = F.when(F.col("place") == whole["n"], F.lit(HASH_RANGE)).otherwise(F.floor(F.col("hi") * HASH_RANGE)).cast("bigint")
+    lower = F.floor(F.col("hi_before") * HASH_RANGE)
+    slices = slices.select(
+        F.lit(0).alias("_all"), "center_id", "tree_id", "weight", lower.alias("lo"), upper.alias("hi"), F.lit(HASH_RANGE).alias("_range_s")
+    )
     draws = index.sparkSession.range(n_draws).select(F.col("id").cast("int").alias("draw"), F.lit(0).alias("_all"))
     draws = draws.withColumn("_u", row_hash(F.col("draw"), seed)).withColumn("_range_r", F.lit(HASH_RANGE))
     return interval_join(draws, slices, ["_all"], "_u", "_range_r", "_range_s").select("draw", "center_id", "tree_id", "weight")

@@ -49,22 +49,23 @@ def strict_rates(counts: DataFrame) -> DataFrame:
 
 
 def score_bucket(score: Column) -> Column:
-    """A bucket number that never falls when the score rises. Scores in [0, 1] are cut finely in the middle and,
-    through the logit, near both ends; others are squashed first."""
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    outside = F.floor(F.lit(64.0) * F.signum(score) * F.log1p(F.abs(score)))
-    logit = F.ln((s + 1e-12) / (1.0 - s + 1e-12))
-    return F.when((score < 0) | (score > 1), outside + F.when(score > 1, 10000).otherwise(-10000)).otherwise(
-        F.floor(2048.0 * s + 64.0 * logit)
-    ).cast("bigint")
+    """A bucket number that never falls when the score rises: 2 ** 32 equal parts between each power of two and the next.
+
+    A double has 2 ** 52 values there, so no bucket holds more than about a million different scores, however close
+    together they lie."""
+    size = F.least(F.abs(score), F.lit(1e300))
+    power = F.floor(F.log2(size))
+    place = F.floor((power + size / F.pow(F.lit(2.0), power) + F.lit(1100.0)) * F.lit(float(1 << 32)))
+    signed = F.when(score == 0, F.lit(0)).otherwise(F.signum(score).cast("bigint") * place)
+    return F.when(F.isnan(score), F.lit(1 << 62)).otherwise(signed).cast("bigint")
 
 
 def collapsed_scores(df: DataFrame, keys: list[str], cut: Column) -> DataFrame:
-    """Per (key, score bucket): class totals p and n, those above the cut (tp, fp), and the pair count u inside the
-    bucket.
+    """Per (key, block of 2 ** 20 score buckets): class totals p and n, those above the cut (tp, fp), and the pair count u
+    inside the block.
 
-    Rows collapse to distinct scores on the map side and each (key, score bucket) is walked on its own, so a large
-    center is not one task."""
+    Rows collapse to distinct scores on the map side; each (key, score bucket) is walked on its own, then the buckets of a
+    block, so neither a large center nor a crowd of close scores is one task."""
     y = F.col("label")
     scores = (
         df.select(*keys, "score", "label", cut.alias("_cut"))
@@ -75,7 +76,7 @@ def collapsed_scores(df: DataFrame, keys: list[str], cut: Column) -> DataFrame:
     inside = Window.partitionBy(*keys, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     below = F.sum("n").over(inside) - F.col("n")
     above = F.col("score") > F.col("_cut")
-    return (
+    buckets = (
         scores.withColumn("_u", F.col("p") * (below + F.col("n") * F.lit(0.5)))
         .groupBy(*keys, "_b")
         .agg(
@@ -86,6 +87,7 @@ def collapsed_scores(df: DataFrame, keys: list[str], cut: Column) -> DataFrame:
             F.sum(F.when(above, F.col("n")).otherwise(0)).alias("fp"),
         )
     )
+    return _per_key(buckets.withColumn("_block", F.shiftright("_b", 20)), [*keys, "_block"]).withColumnRenamed("_block", "_b")
 
 
 def _per_key(buckets: DataFrame, keys: list[str]) -> DataFrame:

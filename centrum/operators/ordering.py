@@ -155,6 +155,31 @@ def _first_rows(hashed: DataFrame, on: list[str], key: str, bounds: Callable[[Da
     return settle(same_keys(sizes, found, on, "left").select(*on, F.coalesce("_cuts", none).alias("_cuts")))
 
 
+def running_sums(rows: DataFrame, order: list, **values: Column) -> DataFrame:
+    """Each row with the sums of ``values`` over all rows up to it, under their names, and over those before it
+    (``<name>_before``).
+
+    Rows are cut into ranges of the order, kept in the shared folder, and each range is summed on its own; the
+    driver sees one sum a range, from which every range gets what lies before it. Values must not be negative, and the order must
+    tell rows apart."""
+    held = rows.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(*order)
+    held = cut_lineage(held.withColumn("_piece", F.spark_partition_id()))
+    piece = Window.partitionBy("_piece").orderBy(*order)
+    upto, before = (piece.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    sums = {n: F.sum(f"_v_{n}").over(upto) for n in values} | {f"{n}_before": F.sum(f"_v_{n}").over(before) for n in values}
+    inside = held.withColumns(sums).drop(*[f"_v_{n}" for n in values])
+    kinds = {n: inside.schema[n].dataType for n in values}
+    offsets, so_far = [], [0.0 if isinstance(k, T.DoubleType) else 0 for k in kinds.values()]
+    for end in inside.groupBy("_piece").agg(*[F.max(n).alias(n) for n in values]).orderBy("_piece").collect():
+        offsets.append((end["_piece"], *so_far))
+        so_far = [s + end[n] for s, n in zip(so_far, values)]
+    shape = T.StructType([T.StructField("_piece", T.IntegerType()), *[T.StructField(f"_o_{n}", k) for n, k in kinds.items()]])
+    joined = inside.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, shape)), "_piece")
+    shifted = {n: F.col(n) + F.col(f"_o_{n}") for n in values}
+    shifted |= {f"{n}_before": F.coalesce(f"{n}_before", F.lit(0).cast(k)) + F.col(f"_o_{n}") for n, k in kinds.items()}
+    return joined.withColumns(shifted).drop("_piece", *[f"_o_{n}" for n in values])
+
+
 MIDDLE = [0.499, 0.501]
 ACCURACY = 10000
 

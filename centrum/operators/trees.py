@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from centrum.functions.columns import row_hash, sigmoid
 from centrum.operators.binning import with_cut_bins
-from centrum.operators.ordering import join_params, settle
+from centrum.operators.ordering import join_params, running_sums, settle
 
 TREES = (
     "round int, center_id int, tree_id int, node_id int, feature int, threshold double, left int, right int, "
@@ -400,8 +400,8 @@ def _tree_chunks(trees: DataFrame):
         return
     keys = ["round", "center_id", "tree_id"]
     sizes = trees.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = settle(sizes.withColumn("part", F.floor((F.sum("n").over(upto) - 1) / NODES_PER_PASS).cast("int")))
+    placed = running_sums(sizes, keys, upto=F.col("n"))
+    numbered = settle(placed.select(*keys, "n", F.floor((F.col("upto") - 1) / NODES_PER_PASS).cast("int").alias("part")))
     for part in range(numbered.agg(F.max("part")).first()[0] + 1):
         yield trees.join(numbered.where(F.col("part") == part).drop("n", "part"), keys, "left_semi").toPandas()
 
@@ -431,25 +431,38 @@ def add_margin(rows: DataFrame, trees: DataFrame, out: str = "margin", own_cente
     if out not in rows.columns:
         rows = rows.withColumn(out, F.lit(0.0))
     for pdf in _tree_chunks(trees):
-        shared = rows.sparkSession.sparkContext.broadcast(_flatten(pdf))
+        flat = {c: _flatten(part) for c, part in pdf.groupby("center_id")} if own_center else _flatten(pdf)
+        shared = rows.sparkSession.sparkContext.broadcast(flat)
         schema = T.StructType(list(rows.schema.fields) + [T.StructField("_add", T.DoubleType())])
 
         def walk(batches, shared=shared):
             for batch in batches:
                 if not len(batch):
                     continue
-                leaves, owner, weight = _walk(_feature_matrix(batch), shared.value), shared.value[6], shared.value[7]
-                use = np.broadcast_to(weight, leaves.shape)
+                features = _feature_matrix(batch)
                 if own_center:
                     center = batch.column(batch.schema.get_field_index("center_id")).to_numpy(zero_copy_only=False)
-                    use = use * (center[:, None] == owner[None, :])
-                total = (leaves * use).sum(axis=1)
+                    total = _own_sums(features, center, shared.value)
+                else:
+                    total = (_walk(features, shared.value) * shared.value[7]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], [*batch.schema.names, "_add"])
 
         rows = rows.mapInArrow(walk, schema).withColumn(out, F.col(out) + F.col("_add")).drop("_add")
     return rows
 
 
+def _own_sums(features: np.ndarray, centers: np.ndarray, forests: dict) -> np.ndarray:
+    """Weighted leaf sums of each row over the trees of its own center alone; 0 for centers without trees."""
+    total = np.zeros(len(features))
+    order = np.argsort(centers, kind="stable")
+    found, first = np.unique(centers[order], return_index=True)
+    for center, rows in zip(found, np.split(order, first[1:])):
+        flat = forests.get(center)
+        if flat is not None:
+            total[rows] = (_walk(features[rows], flat) * flat[7]).sum(axis=1)
+    return total
+
+
 def score_boosted(rows: DataFrame, trees: DataFrame, base: float = 0.0, own_center: bool = False) -> DataFrame:
     """Probability from the base margin and the weighted leaf values."""
     scored = add_margin(rows.withColumn("margin", F.lit(float(base))), trees, own_center=own_center)
