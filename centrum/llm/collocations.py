@@ -16,6 +16,8 @@ SHARD_WORDS = 1_000_000
 LONGEST = 5
 #: Up to so many phrases of one length (24 bytes each) are broadcast to find their places in the shards; more are joined.
 BROADCAST_PHRASES = 1_000_000
+#: Up to so many frequent words, of so many bytes, are broadcast to number the words of the shards; more are joined.
+BROADCAST_WORDS, BROADCAST_BYTES = 300_000, 16 << 20
 #: White space inside a piece, and what ends a piece.
 _BLANKS, _ENDS = b"\x09\x20", b".,;:!?\x0a\x0b\x0c\x0d"
 _CHARS = bytes(10 if c in _ENDS else 32 if c in _BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -26,12 +28,12 @@ def words_and_ends(texts: list[str]) -> list[bytes]:
     return "\n".join(texts).encode().translate(_CHARS).replace(b"\n", b" . ").split()
 
 
-_SHARDS = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+_SHARDS = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("names", pa.list_(pa.struct([("lang", pa.string()), ("numbers", pa.binary()), ("words", pa.binary())])))])
 
 
 def sequences(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Rows of (lang, text) as shards: one row with ``codes`` (32-bit numbers of words, 0 where a piece ends), and one for
-    each number with its language, word and count; the other columns are null."""
+    """Rows of (lang, text) as shards, one row each: ``codes`` (32-bit numbers of words, 0 where a piece ends) and
+    ``names``, the numbers and words of every language in one order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -41,15 +43,12 @@ def sequences(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             codes = np.concatenate([*held, np.zeros(1, np.int32)])
-            counts = np.bincount(codes, minlength=words_held + 1)
-            yield pa.RecordBatch.from_pylist([{"shard": number, "codes": packed(codes.astype("<i4"))}], schema=_SHARDS)
+            tables = []
             for lang, place in names.items():
-                own = pa.array(place.values(), pa.int32()).slice(1)
-                words = pa.array(place.keys(), pa.binary()).slice(1).cast(pa.string())
-                rest = [pa.array([v] * len(own), t) for v, t in ((number, pa.int64()), (None, pa.binary()), (lang, pa.string()))]
-                columns = [rest[0], rest[1], own, rest[2], words, pa.array(counts[own.to_numpy()], pa.int64())]
-                for batch in pa.Table.from_arrays(columns, schema=_SHARDS).to_batches(max_chunksize=20_000):
-                    yield batch
+                del place[b"."]
+                numbers = np.fromiter(place.values(), np.int32, len(place))
+                tables.append({"lang": lang, "numbers": packed(numbers.astype("<i4")), "words": packed(np.frombuffer(b"\n".join(place), np.uint8))})
+            yield pa.RecordBatch.from_pylist([{"shard": number, "codes": packed(codes.astype("<i4")), "names": tables}], schema=_SHARDS)
 
         for batch in batches:
             langs = np.array([x if x is not None else "und" for x in batch.column(0).to_pylist()], object)
@@ -70,7 +69,33 @@ def sequences(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         if words_held:
             yield from out()
 
-    return rows.mapInArrow(run, "shard long, codes binary, code int, lang string, word string, n long")
+    return rows.mapInArrow(run, "shard long, codes binary, names array<struct<lang:string,numbers:binary,words:binary>>")
+
+
+def _names(row: dict) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """Language, numbers and words of each table of a shard's row."""
+    for table in row["names"]:
+        numbers = unpacked(table["numbers"])
+        if len(numbers):
+            yield table["lang"], numbers, unpacked(table["words"]).tobytes().split(b"\n")
+
+
+def word_rows(shards: DataFrame) -> DataFrame:
+    """One row for each word of each shard: (in_shard, code, lang, word, n), with its number and count there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                counts = np.bincount(unpacked(row["codes"]))
+                for lang, numbers, words in _names(row):
+                    for k in range(0, len(numbers), 20_000):
+                        own = numbers[k : k + 20_000].astype(np.int32)
+                        text = pa.array(words[k : k + 20_000], pa.binary()).cast(pa.string())
+                        columns = [pa.array([row["shard"]] * len(own), pa.int64()), pa.array(own), pa.array([lang] * len(own), pa.string()), text]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[own], pa.int64())], ["in_shard", "code", "lang", "word", "n"])
+
+    return shards.mapInArrow(run, "in_shard long, code int, lang string, word string, n long")
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -149,30 +174,63 @@ def symbols_before(codes: np.ndarray, depth: int = LONGEST) -> np.ndarray:
     return codes[order - 1]  # before the first symbol stands the last one, a separator
 
 
-def indexes(shards: DataFrame, numbers: DataFrame) -> DataFrame:
+_INDEX = pa.schema([("shard", pa.int64()), ("forward", pa.binary()), ("backward", pa.binary()), ("ids", pa.list_(pa.int64()))])
+INDEX = "shard long, forward binary, backward binary, ids array<long>"
+
+
+def _index(shard: int, codes: np.ndarray, code: np.ndarray, ids: np.ndarray) -> list[list]:
+    """The columns of a shard's index; the word numbered ``code`` has the id at the same place. Words are numbered anew, from 1."""
+    kind = np.uint16 if len(code) < 1 << 16 else np.uint32
+    new = np.zeros(max(int(codes.max()), int(code.max())) + 1, kind)
+    new[code] = np.arange(1, len(code) + 1)
+    codes = new[codes]
+    codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]  # one separator between pieces
+    if codes[-1]:
+        codes = np.append(codes, kind(0))
+    both = [packed(symbols_before(c)) for c in (codes, np.roll(codes[::-1], -1))]
+    return [[shard], [both[0]], [both[1]], [ids]]
+
+
+def indexes(shards: DataFrame, words: DataFrame) -> DataFrame:
     """Both transforms of every shard over its frequent words alone; all other words end a piece, as no phrase holds them.
 
-    ``numbers`` gives (in_shard, code, id). Words are numbered anew, from 1; ``ids`` holds their ids.
+    ``words`` gives (lang, word, id). Counted to be few they are broadcast and a shard is indexed where it lies; more are
+    joined to the words of the shards, which then meet their shard by its number. ``ids`` holds the words' ids.
     """
+    few = words.limit(BROADCAST_WORDS + 1).toArrow()
+    if few.num_rows <= BROADCAST_WORDS and few.nbytes <= BROADCAST_BYTES:
+        places: dict[str, dict[bytes, int]] = {}
+        for lang, word, i in zip(*(few.column(c).to_pylist() for c in ("lang", "word", "id"))):
+            places.setdefault(lang, {})[word.encode()] = i
+        shared = shards.sparkSession.sparkContext.broadcast(places)
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                    code, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                    for lang, numbers, names in _names(row):
+                        known = shared.value.get(lang, {})
+                        found = np.fromiter((known.get(w, -1) for w in names), np.int64, len(names))
+                        code.append(numbers[found >= 0].astype(np.int64))
+                        ids.append(found[found >= 0])
+                    code = np.concatenate(code)
+                    if len(code):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(v, t) for v, t in zip(_index(row["shard"], unpacked(row["codes"]), code, np.concatenate(ids)), _INDEX.types)], schema=_INDEX
+                        )
+
+        return shards.mapInArrow(local, INDEX)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shape = pa.schema([("shard", pa.int64()), ("forward", pa.binary()), ("backward", pa.binary()), ("ids", pa.list_(pa.int64()))])
         if not left.num_rows or not right.num_rows:
-            return shape.empty_table()
-        codes = unpacked(left.column("codes")[0].as_py())
+            return _INDEX.empty_table()
         code = right.column("code").to_numpy().astype(np.int64)
-        kind = np.uint16 if len(code) < 1 << 16 else np.uint32
-        new = np.zeros(max(int(codes.max()), int(code.max())) + 1, kind)
-        new[code] = np.arange(1, len(code) + 1)
-        codes = new[codes]
-        codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]  # one separator between pieces
-        if codes[-1]:
-            codes = np.append(codes, kind(0))
-        both = [packed(symbols_before(c)) for c in (codes, np.roll(codes[::-1], -1))]
-        return pa.table([[left.column("shard")[0].as_py()], [both[0]], [both[1]], [right.column("id").to_numpy()]], schema=shape)
+        codes = unpacked(left.column("codes")[0].as_py())
+        return pa.table(_index(left.column("shard")[0].as_py(), codes, code, right.column("id").to_numpy()), schema=_INDEX)
 
-    pair = shards.select("shard", "codes").groupBy("shard").cogroup(numbers.groupBy("in_shard"))
-    return pair.applyInArrow(run, "shard long, forward binary, backward binary, ids array<long>")
+    numbers = word_rows(shards).join(words, ["lang", "word"]).select("in_shard", "code", "id")
+    return shards.select("shard", "codes").groupBy("shard").cogroup(numbers.groupBy("in_shard")).applyInArrow(run, INDEX)
 
 
 #: Intervals in one shard: the phrase's two parts (all but its last word, all but its first), its places, and its count there.
@@ -266,8 +324,9 @@ def _live(grams: DataFrame, level: DataFrame) -> DataFrame:
     return grams.mapInArrow(run, LIVE)
 
 
-def _pairs(index: DataFrame, known=None) -> DataFrame:
-    """Two-word phrases of all shards; with a broadcast of ids only the known ones, with these."""
+def _grown(index: DataFrame, known: list) -> DataFrame:
+    """Phrases of all shards, grown where the indexes lie from one word on: ``known`` holds a broadcast of the frequent
+    phrases of 2, 3, ... words, and what comes out is one word longer than the last of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,14 +337,14 @@ def _pairs(index: DataFrame, known=None) -> DataFrame:
                 low = np.searchsorted(sides[0].first, words)
                 size = np.searchsorted(sides[0].first, words, "right") - low
                 found = longer(sides, [low, low, size], ids, 1)
+                for k, level in enumerate(known):
+                    live = level.value.keep(found)
+                    found = longer(sides, [live[c].astype(np.int64) for c in ("low", "back_low", "size")], live["id"], k % 2)
                 found = {"shard": np.full(len(found["size"]), row["shard"])} | found
-                if known is not None:
-                    yield _by_shard(known.value.keep(found))
-                    continue
                 for k in range(0, len(found["size"]), 100_000):
                     yield pa.RecordBatch.from_pydict({c: v[k : k + 100_000] for c, v in found.items()})
 
-    return index.mapInArrow(run, GRAMS if known is None else LIVE)
+    return index.mapInArrow(run, GRAMS)
 
 
 def _longer(index: DataFrame, live: DataFrame, turn: int) -> DataFrame:
@@ -320,21 +379,21 @@ def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: s
     gives no rows. A text without separators is one piece, however long it is.
     """
     shards = stored(sequences(df.select(F.col(lang_col).cast("string"), F.col(text_col)), shard_words), "phrase-shards")
-    numbered = shards.where("word is not null").select(F.col("shard").alias("in_shard"), "code", "lang", "word", "n")
-    words = stored(numbered.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
+    words = stored(word_rows(shards).groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.array().cast("array<long>")
     level = stored(words.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails")), "phrase-level")
-    index = stored(indexes(shards.where("codes is not null"), numbered.join(level.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("in_shard", "code", "id")), "phrase-index")
+    index = stored(indexes(shards, level.select("lang", F.col("phrase").alias("word"), "id")), "phrase-index")
 
-    # two-word phrases are many and mostly rare, so they are made twice instead of being stored
-    grams, levels = _pairs(index), {}
+    # as long as the frequent phrases can be broadcast, an index is read again for each length, where it lies, and shorter
+    # phrases are found anew; beyond that their places are stored and meet the indexes by shard
+    grams, levels, known = _grown(index, []), {}, []
     for size in range(2, longest + 1):
         level = levels[size] = _next_level(grams, level, least)
         if size < longest:
-            known = _numbers(level) if size == 2 else None
-            live = _pairs(index, known) if known is not None else _live(grams, level)
-            grams = stored(_longer(index, live, size % 2), "phrase-grams")
+            shared = _numbers(level) if len(known) == size - 2 else None
+            known += [shared] if shared is not None else []
+            grams = _grown(index, known) if shared is not None else stored(_longer(index, _live(grams, level), size % 2), "phrase-grams")
     out = None
     for size, level in levels.items():
         found = level.select("lang", "phrase", F.lit(size).alias("words"), F.col("f").alias("a"), "id", "heads", "tails")

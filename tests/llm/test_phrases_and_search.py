@@ -39,6 +39,7 @@ def plain_phrases(rows, least):
 @pytest.mark.parametrize("shard_words,few", [(1_000_000, 1_000_000), (9, 1_000_000), (9, 3)])
 def test_phrases_equal_those_of_slicing(spark, monkeypatch, shard_words, few):
     monkeypatch.setattr(collocations, "BROADCAST_PHRASES", few)
+    monkeypatch.setattr(collocations, "BROADCAST_WORDS", few)
     r = np.random.default_rng(3)
     texts = [" ".join(r.choice(list("abcdE"), 12)) + r.choice([".", ";\tx", "\n", "", " a a a a a"]) for _ in range(60)]
     rows = [doc(i, t, ["en", "de", None][i % 3]) for i, t in enumerate(texts)]
