@@ -89,6 +89,7 @@ def with_section(metrics: DataFrame) -> DataFrame:
         F.when(F.col("phase") == "val", "Validation set")
         .when(F.col("phase") == "local", "Non federated")
         .when(F.col("phase") == "personalized", "Federated finetuned locally")
+        .when(F.col("phase") == "held out", "Held-out set")
         .otherwise("Test set")
     )
     return metrics.withColumn("section", section)

@@ -13,6 +13,7 @@ from centrum.operators import dropout, forests, linear, merge, metrics as met, s
 from centrum.operators.binning import sketch_edges
 from centrum.operators.ordering import join_params, settle
 from centrum.session import cut_lineage
+from centrum.sources.sinks import RoundStore
 
 
 def check_settings(
@@ -56,6 +57,12 @@ def phase_metrics(scored: DataFrame, phase: str, round_no: int, run: int = 1) ->
     return round_history(scored, round_no, run).where("phase = 'test'").withColumn("phase", F.lit(phase))
 
 
+def _store(rows: DataFrame, path: str | None, settings: dict) -> RoundStore | None:
+    """The store of a loop called with these arguments; the number of rounds may change from one call to the next."""
+    free = ("rows", "store", "num_rounds", "cut_every")
+    return RoundStore(rows.sparkSession, path, {k: v for k, v in settings.items() if k not in free}) if path else None
+
+
 def linear_rounds(
     rows: DataFrame,
     width: int,
@@ -69,21 +76,34 @@ def linear_rounds(
     dropout_method: str | None = None,
     percent: float = 0.0,
     seed: int = 42,
+    store: str | None = None,
 ) -> Iterator[tuple[int, DataFrame, DataFrame]]:
-    """Yields (round, shared model, the centers' models) for training rows (center_id, features, label)."""
+    """Yields (round, shared model, the centers' models) for training rows (center_id, features, label).
+
+    With a folder as ``store`` each round's models are committed there, and a loop that was stopped goes on after the last
+    committed round; if none is left, the last one is yielded again."""
+    kept = _store(rows, store, locals())
     check_settings(num_rounds, smoothing, strength, dropout_method, percent)
     weighted = linear.balanced(rows) if algorithm != "regression" else rows.withColumn("weight", F.lit(1.0))
     weighted = weighted.select("center_id", "features", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
     stats = center_stats(weighted)
-    shared = linear.shared_start(rows, width)
+    shared, done = linear.shared_start(rows, width), min(kept.last(), num_rounds) if kept else 0
+    if done:
+        saved = kept.step(done)
+        row = saved.where("center_id IS NULL").first()
+        shared = linear.shared_start(rows, width, row["coef"], row["intercept"])
+        if done == num_rounds:
+            yield done, shared, settle(saved.where("center_id IS NOT NULL"))
     try:
-        for round_no in range(1, num_rounds + 1):
+        for round_no in range(done + 1, num_rounds + 1):
             part = taking_part(weighted, stats, dropout_method, percent, round_no, seed)
             models = settle(linear.local_round(part, shared, width, algorithm, rate, steps, mu))
             merged = merge.merge_linear(models, smoothing, strength, width)
             row = merged.first()
             if row is not None and row["intercept"] is not None:
                 shared = linear.shared_start(rows, width, row["coef"], row["intercept"])
+            if kept:
+                kept.commit(models.unionByName(shared.select("coef", "intercept"), allowMissingColumns=True), round_no)
             yield round_no, shared, models
     finally:
         weighted.unpersist()
@@ -131,10 +151,15 @@ def boosted_rounds(
     parallel: int = 1,
     equal_width: bool = False,
     reg_alpha: float = 0.0,
+    store: str | None = None,
 ) -> Iterator[tuple[int, DataFrame]]:
     """Yields (round, all trees so far). The margin of every row is kept and only moved by the newest trees; its
     lineage is cut every ``cut_every`` rounds. ``merged=False`` trains every center alone. Bins hold equal numbers of
-    a center's rows, by sketches, unless they should be of ``equal_width``. ``parallel`` trees are grown in each round."""
+    a center's rows, by sketches, unless they should be of ``equal_width``. ``parallel`` trees are grown in each round.
+
+    With a folder as ``store`` each round's new trees are committed there. A loop that was stopped takes the margins from
+    all committed trees and goes on after them; if no round is left, the last one is yielded again."""
+    kept = _store(rows, store, locals())
     check_settings(num_rounds, None, 0.5, dropout_method, percent)
     if parallel > 1 and not key:
         raise ValueError("several trees a round need a key that tells rows apart")
@@ -144,10 +169,17 @@ def boosted_rounds(
     rates = settle(merge.step_sizes(stats, 1.0, mode))
     keep = ["center_id", "features", "label", *([key] if key else [])]
     current = tr.with_bins(rows.select(*keep), edges, width, bins).withColumn("margin", F.lit(float(base)))
+    total = none = tr.no_trees(rows.sparkSession)
+    done = min(kept.last(), num_rounds) if kept else 0
+    if done:
+        total = settle(kept.upto(done).to(none.schema))
+        if done == num_rounds:
+            yield done, total
+            return
+        current = tr.add_margin(current, total, own_center=not merged)
     current = current.persist(StorageLevel.MEMORY_AND_DISK)
     held = [current]
-    total = tr.no_trees(rows.sparkSession)
-    for round_no in range(1, num_rounds + 1):
+    for round_no in range(done + 1, num_rounds + 1):
         part = taking_part(current, stats, dropout_method, percent, round_no, seed)
         if subsample < 1.0 and key and parallel == 1:
             part = tr.row_subsample(part, key, subsample, seed, round_no)
@@ -167,8 +199,10 @@ def boosted_rounds(
             grown = merge.largest_model(grown, stats)
         elif merged:
             grown = merge.scale_leaves(grown, rates)
-        grown = settle(grown.to(total.schema))
+        grown = settle(grown.to(none.schema))
         total = grown if round_no == 1 else settle(total.unionByName(grown))
+        if kept:
+            kept.commit(grown, round_no)
         yield round_no, total
         if round_no < num_rounds:
             current = tr.add_margin(current, grown, own_center=not merged)
@@ -200,13 +234,19 @@ def forest_rounds(
     dropout_method: str | None = None,
     percent: float = 0.0,
     seed: int = 42,
+    store: str | None = None,
 ) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """Yields (round, merged trees, the round's training and validation rows). Every round draws its own stratified
-    validation rows. ``combine``: ``weighted`` draws as many trees as one center has, by center weight; ``random``
+    validation rows. With a folder as ``store`` merged trees are committed there after each round, and a loop that was
+    stopped goes on after the last committed one; if none is left, that one is yielded again. ``combine``: ``weighted`` draws as many trees as one center has, by center weight; ``random``
     draws an equal number from every center; ``all`` keeps every tree."""
+    kept = _store(rows, store, locals())
     check_settings(num_rounds, smoothing, strength, dropout_method, percent)
-    stats, merged = center_stats(rows), None
-    for round_no in range(1, num_rounds + 1):
+    done = min(kept.last(), num_rounds) if kept else 0
+    stats, merged = center_stats(rows), settle(kept.step(done), max_rows=tr.NODES_PER_PASS) if done else None
+    if done == num_rounds:
+        yield done, merged, splits.stratified_split(rows, key, 0.2, (seed, done), held="val")
+    for round_no in range(done + 1, num_rounds + 1):
         drawn = splits.stratified_split(rows, key, 0.2, (seed, round_no), held="val")
         part = taking_part(drawn.where("split = 'train'"), stats, dropout_method, percent, round_no, seed)
         trees = settle(forests.forest_round(part, key, tree_num, depth, balance, seed + round_no, round_no), max_rows=tr.NODES_PER_PASS)
@@ -225,6 +265,8 @@ def forest_rounds(
             raise ValueError("combine must be 'weighted', 'random' or 'all'")
         chosen = settle(chosen.select(*tr.no_trees(rows.sparkSession).columns), max_rows=tr.NODES_PER_PASS)
         merged = chosen if merged is None or not keep_previous else settle(merge.accumulate(merged, chosen), max_rows=tr.NODES_PER_PASS)
+        if kept:
+            kept.commit(merged, round_no)
         yield round_no, merged, drawn
 
 
