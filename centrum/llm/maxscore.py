@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 
 from centrum.llm.vector_blocks import search, top_k, usable
 
-#: Rows that are traversed before the threshold is raised again, and terms probed between two looks at the bound.
-STEP, PROBE = 4_096, 4
+#: Rows that are traversed before the threshold is raised again, terms probed between two looks at the bound, and
+#: strongest terms whose best rows give the first threshold.
+STEP, PROBE, SEEDS = 4_096, 4, 8
 
 
 def quantised(vectors: np.ndarray, scale: float = 64.0) -> np.ndarray:
@@ -22,6 +23,19 @@ class Postings:
         order = np.argsort(ids, kind="stable")
         self.ids, self.lists = ids[order], np.ascontiguousarray(impacts[order].T)
         self.high, self.low = self.lists.max(axis=1), self.lists.min(axis=1)
+        self.summed = 0  # impacts read, over all queries
+
+    def seed(self, own_id: int, weights: np.ndarray, terms: np.ndarray, k: int) -> int | None:
+        """The k-th best whole score among the rows that are best by the strongest terms: a threshold that k rows reach."""
+        rows = np.flatnonzero(self.ids != own_id)
+        if len(rows) < k or not len(terms):
+            return None
+        strongest = terms[np.argsort(-np.abs(weights[terms]), kind="stable")[:SEEDS]]
+        partial = weights[strongest] @ self.lists[strongest][:, rows]
+        some = min(len(rows), 4 * k)
+        rows = rows[np.argpartition(-partial, some - 1)[:some]]
+        self.summed += len(strongest) * len(partial) + len(terms) * some
+        return int(np.sort(weights[terms] @ self.lists[np.ix_(terms, rows)])[-k])
 
     def best(self, own_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k rows with the highest sums of weight times impact, but for the query's own.
@@ -35,26 +49,28 @@ class Postings:
         left = np.append(np.cumsum(upper[terms][::-1])[::-1], 0)
         base = np.append(0, np.cumsum(lower[terms]))
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        least = self.seed(own_id, weights, terms, k)
         for first in range(0, len(self.ids), STEP):
-            rows = np.arange(first, min(first + STEP, len(self.ids)))
-            rows = rows[self.ids[rows] != own_id]
-            full = len(scores) == k
-            least = scores[-1] if full else None
-            if not full:
-                sums = np.zeros(len(rows), np.int64)
-                for t in terms:
-                    sums += weights[t] * self.lists[t, rows]
-            else:
-                essential = int(np.argmax(base + left < least)) if (base + left < least).any() else len(terms)
-                sums = np.zeros(len(rows), np.int64)
-                for t in terms[:essential]:
-                    sums += weights[t] * self.lists[t, rows]
-                rows, sums = _competitive(rows, sums, left[essential], least)
-                for at in range(essential, len(terms), PROBE):
-                    for t in terms[at : at + PROBE]:
-                        sums = sums + weights[t] * self.lists[t, rows]
-                    rows, sums = _competitive(rows, sums, left[min(at + PROBE, len(terms))], least)
+            last = min(first + STEP, len(self.ids))
+            beaten = base + left < least if least is not None else np.zeros(len(left), bool)
+            essential = int(beaten.argmax()) if beaten.any() else len(terms)
+            head = min(essential, 2 * PROBE)
+            rows, sums = np.arange(first, last), np.zeros(last - first, np.int64)
+            for t in terms[:head]:
+                sums += weights[t] * self.lists[t, first:last]
+            self.summed += head * len(rows)
+            other = self.ids[first:last] != own_id
+            rows, sums = rows[other], sums[other]
+            for at in [*range(head, essential, PROBE), *range(essential, len(terms), PROBE)]:
+                if least is not None:
+                    rows, sums = _competitive(rows, sums, left[at], least)
+                probed = terms[at : min(at + PROBE, essential if at < essential else len(terms))]
+                self.summed += len(probed) * len(rows)
+                for t in probed:
+                    sums += weights[t] * self.lists[t].take(rows)
             ids, scores = top_k(np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, sums]), k)
+            if len(scores) == k:
+                least = max(int(scores[-1]), least) if least is not None else int(scores[-1])
         return ids, scores
 
 
