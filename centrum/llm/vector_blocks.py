@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from centrum.llm.common import stored
 
 #: Rows, on average, of a block that is searched, and of a block of queries.
-ROWS, QUERIES = 16_384, 2_048
+ROWS, QUERIES = 16_384, 8_192
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
