@@ -44,6 +44,11 @@ def kfold_centers(df: DataFrame, key: str, folds: int, seed: int = 42) -> DataFr
     return kfold(df, key, folds, seed).withColumn("center_id", F.explode(others))
 
 
+def draw_shares(value, centers: int, alpha: float, seed: int = 42) -> np.ndarray:
+    """The Dirichlet draw of one class; it follows from the class value alone."""
+    return np.random.default_rng([seed, zlib.crc32(str(value).encode())]).dirichlet([alpha] * centers)
+
+
 def dirichlet_shares(classes: DataFrame, class_col: str, centers: int, alpha: float, seed: int = 42) -> DataFrame:
     """One Dirichlet draw per class: rows (class, center_id, share). Seeded by the class value, so the draw does
     not depend on how the classes are partitioned."""
@@ -52,10 +57,7 @@ def dirichlet_shares(classes: DataFrame, class_col: str, centers: int, alpha: fl
         for pdf in batches:
             parts = []
             for value in pdf[class_col]:
-                rng = np.random.default_rng([seed, zlib.crc32(str(value).encode())])
-                parts.append(
-                    pd.DataFrame({class_col: value, "center_id": np.arange(centers), "share": rng.dirichlet([alpha] * centers)})
-                )
+                parts.append(pd.DataFrame({class_col: value, "center_id": np.arange(centers), "share": draw_shares(value, centers, alpha, seed)}))
             if parts:
                 yield pd.concat(parts)
 

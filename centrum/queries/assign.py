@@ -35,12 +35,12 @@ def shares_table(spark):
     return spark.createDataFrame(SHARES, "label double, center_id int, share double")
 
 
-def sql_slices(cls: str, shares: list, k: int, seed: int = 42) -> str:
+def sql_slices(cls: str, shares: list, k: int, seed: int = 42, floor: int = FLOOR) -> str:
     """Whole counts from shares: cut, lifted to the floor, left-overs by hash draw, excess taken from the largest."""
-    values = ", ".join(f"({c}, {i}, {s!r}e0)" for c, i, s in shares)
+    values = ", ".join(f"({c}, {i}, cast('{s!r}' AS double))" for c, i, s in shares)
     return f"""sz AS (SELECT {cls} AS cls, count(*) AS n FROM base GROUP BY 1),
     sh AS (SELECT * FROM (VALUES {values}) t(cls, center_id, share)),
-    c0 AS (SELECT sz.cls, center_id, n, least({FLOOR}, n // {k}) AS fl, greatest(cast(floor(share * n) AS bigint), least({FLOOR}, n // {k})) AS c
+    c0 AS (SELECT sz.cls, center_id, n, least({floor}, n // {k}) AS fl, greatest(cast(floor(share * n) AS bigint), least({floor}, n // {k})) AS c
            FROM sh JOIN sz ON sz.cls = sh.cls),
     c1 AS (SELECT *, n - sum(c) OVER (PARTITION BY cls) AS diff,
                   coalesce(sum(c - fl) OVER (PARTITION BY cls ORDER BY c DESC, center_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM c0),

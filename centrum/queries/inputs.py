@@ -136,9 +136,10 @@ def history_sink(spark, folder):
 @query("snk_3_model_checkpoint")
 def model_checkpoint(spark, folder):
     from centrum.plans.rounds import linear_rounds
+    from centrum.queries.models import CHECKPOINTS
 
     path = scratch_path(spark, "linear-rounds")
-    for round_no, shared, _ in linear_rounds(V.planted_features(spark, folder), V.WIDTH, num_rounds=2):
+    for round_no, shared, _ in linear_rounds(V.planted_features(spark, folder), V.WIDTH, num_rounds=CHECKPOINTS):
         sinks.write_model_round(shared, path, round_no)
     back = sinks.read_model_rounds(spark, path)
     return back.select("round", F.size("coef").alias("width"), rounded("intercept"))

@@ -10,6 +10,8 @@ from centrum.operators.prep import center_weights
 from centrum.plans import rounds, views as V
 from centrum.queries.registry import finished, query, rounded
 
+# Rounds that are checkpointed, rounds before the centers' own models are judged, passes of the local baseline.
+CHECKPOINTS, OWN_ROUNDS, LOCAL_PASSES = 10, 10, 10
 # A fixed model that the single steps start from.
 START, BIAS, RATE = [0.1, -0.2, 0.3, 0.05], 0.1, 0.5
 MARGIN = " + ".join([f"{BIAS}e0", *[f"{w}e0 * f{i}" for i, w in enumerate(START)]])
@@ -97,7 +99,7 @@ def local_baseline(spark, folder):
     from centrum.operators.splits import one_pass_train_val_test
 
     rows = one_pass_train_val_test(V.planted_features(spark, folder), "row_key").persist()
-    models = rounds.local_linear(rows.where("split = 'train'"), V.WIDTH, steps=5, rate=3.0)
+    models = rounds.local_linear(rows.where("split = 'train'"), V.WIDTH, steps=LOCAL_PASSES, rate=3.0, tolerance=0.0)
     scored = linear.score_linear(rows.where("split <> 'train'"), models, V.WIDTH)
     return finished(rounds.phase_metrics(scored, "local", 0).withColumn("value", F.round("value", 4)), rows)
 

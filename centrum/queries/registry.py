@@ -41,4 +41,4 @@ def finished(result: DataFrame, *cached: DataFrame) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from centrum.queries import assign, fitting, history, inputs, models, scoring, trees  # noqa: F401
+    from centrum.queries import assign, fitting, history, inputs, models, scoring, trees, unrolled  # noqa: F401

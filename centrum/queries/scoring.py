@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from centrum.operators import fairness, linear, metrics as met
 from centrum.plans import rounds, views as V
-from centrum.queries.models import BALANCED, start
+from centrum.queries.models import BALANCED, OWN_ROUNDS, start
 from centrum.queries.registry import finished, query, rounded
 
 T = 0.1
@@ -160,9 +160,9 @@ def personalized(spark, folder):
     from centrum.operators.splits import one_pass_train_val_test
 
     rows = one_pass_train_val_test(V.planted_features(spark, folder), "row_key").persist()
-    _, models = rounds.train_linear(rows.where("split = 'train'"), V.WIDTH, num_rounds=2, rate=3.0)
+    _, models = rounds.train_linear(rows.where("split = 'train'"), V.WIDTH, num_rounds=OWN_ROUNDS, rate=3.0)
     scored_by_own = linear.score_linear(rows.where("split <> 'train'"), models, V.WIDTH)
-    return finished(rounds.phase_metrics(scored_by_own, "personalized", 2).withColumn("value", F.round("value", 4)), rows)
+    return finished(rounds.phase_metrics(scored_by_own, "personalized", OWN_ROUNDS).withColumn("value", F.round("value", 4)), rows)
 
 
 @query(
