@@ -94,6 +94,9 @@ LINEAR = ("logistic_regression", "lsvc", "elastic_net")
 MODELS = (*LINEAR, "random_forest", "balanced_random_forest", "xgb", "catboost", "xgblr")
 
 
+#: Classes that a model may have; more are refused.
+MOST_CLASSES = 100
+
 #: Models that can learn more than two classes, and numbers.
 CLASS_MODELS, NUMBER_MODELS = ("xgb",), ("xgb", "catboost")
 
@@ -192,7 +195,9 @@ def _other_task(rows: DataFrame, width: int, model: str, num_rounds: int, run_no
     symmetric = model == "catboost"
     parts: list[DataFrame] = []
     if task == "MULTICLASS":
-        labels = [r["label"] for r in data.select("label").distinct().orderBy("label").limit(100).collect()]
+        labels = [r["label"] for r in data.select("label").distinct().orderBy("label").limit(MOST_CLASSES + 1).collect()]
+        if len(labels) > MOST_CLASSES:
+            raise ValueError(f"more than {MOST_CLASSES} classes: every class takes a tree of its own in each round")
         number = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
         data = data.withColumn("label", number.cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
         train, judged = data.where("split = 'train'"), data.where("split <> 'train'")

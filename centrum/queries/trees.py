@@ -319,9 +319,10 @@ def pooled_test(spark, folder):
     """The merged model on one pooled test table, without the center key."""
     from centrum.operators.metrics import all_metrics, long_metrics
     from centrum.operators.splits import stratified_split
+    from centrum.queries.models import OWN_ROUNDS
 
     rows = stratified_split(V.planted_features(spark, folder), "row_key").persist()
-    shared, _ = rounds.train_linear(rows.where("split = 'train'"), V.WIDTH, num_rounds=3, rate=3.0)
+    shared, _ = rounds.train_linear(rows.where("split = 'train'"), V.WIDTH, num_rounds=OWN_ROUNDS, rate=3.0)
     scored = linear.score_linear(rows.where("split = 'test'"), shared, V.WIDTH)
     return finished(long_metrics(all_metrics(scored, ["split"]), ["split"]).withColumn("value", F.round("value", 4)), rows)
 

@@ -86,6 +86,13 @@ ORACLES["fed_19_linear_rounds"] = f"WITH {SPLIT}, {sql_rounds(TRAIN, 5, 3.0, 30.
     "m5", 5, "metric IN ('auroc', 'balanced_accuracy')", own=False
 )
 
+ORACLES["scr_6_pooled_test"] = f"""WITH {V.PLANTED}, sp AS MATERIALIZED (SELECT center_id, label, f0, f1, f2, f3,
+      CASE WHEN i < least(round(n * 0.2e0), n - 1) THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT *, row_number() OVER (PARTITION BY center_id, label ORDER BY {H42}, row_key) - 1 AS i, count(*) OVER (PARTITION BY center_id, label) AS n FROM planted)),
+    {sql_rounds(TRAIN, models.OWN_ROUNDS, 3.0)},
+    sc AS MATERIALIZED (SELECT label, split, 1e0 / (1e0 + exp(-({MARGIN}))) AS score FROM sp, m{models.OWN_ROUNDS} WHERE split = 'test'),
+    {sql_all('sc', ['split'], '0.5e0')} SELECT split, metric, round(value, 4) AS value, n_rows FROM ({sql_long('w', ['split']).replace(', 6)', ', 12)')})"""
+
 
 def drawn(classes: list[float], centers: int, alpha: float) -> list[tuple[float, int, float]]:
     """The shares that the Dirichlet draw gives, as fixed values for SQL."""
