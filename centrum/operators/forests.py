@@ -1,9 +1,10 @@
 """Random forests of all centers together.
 
 Every tree of every center weighs the rows by Poisson counts that follow from the row's hash, so a bag is never stored.
-Nodes with many rows are split by one histogram job a level, for all trees and centers at once. A node with few rows is
-sent as a whole to one task, which grows what is below it. The number of jobs depends on the size of the largest center and
-on the depth, never on the number of centers."""
+Rows of one center, label and bins (a cell) go the same way in every tree: they are stored side by side, and a task adds up
+their counts in each bag before anything else. Centers and nodes with few cells are sent as a whole to one task, which grows
+what is below; larger ones are split by one histogram job a level, for all trees and centers at once. The number of jobs
+depends on the largest center and on the depth, never on the number of centers."""
 
 from __future__ import annotations
 
@@ -20,8 +21,10 @@ from centrum.operators.ordering import hash_position, join_params, settle
 from centrum.operators.trees import TREES
 from centrum.session import scratch_path
 
-#: A node with at most so many rows is grown in one task.
-SMALL = 20_000
+#: A center with at most so many cells, or a node with so many rows, is grown in one task, if they take at most so many bytes.
+SMALL, SMALL_BYTES = 2_000_000, 20 << 20
+#: Counts of cells by trees that a task holds before it sends them on, and counts of a level that it adds up.
+HELD, LEVEL_CELLS = 4_000_000, 4_000_000
 #: Nodes that are split at once and broadcast; more trees are grown in further passes.
 NODES_PER_PASS = 400_000
 BINS = 32
@@ -38,11 +41,12 @@ _SPLIT = pa.schema([("center_id", pa.int32()), ("tree_id", pa.int32()), ("node_i
 
 def mix(x, salt):
     """A 32-bit number from two: xor with a multiple of the salt, then two rounds of multiply and shift."""
-    x = np.asarray(x, np.uint64) ^ (np.asarray(salt, np.uint64) * np.uint64(MIX[0]) % np.uint64(_WORD))
-    x = x * np.uint64(MIX[1]) % np.uint64(_WORD)
-    x = x ^ (x >> np.uint64(13))
-    x = x * np.uint64(MIX[2]) % np.uint64(_WORD)
-    return x ^ (x >> np.uint64(16))
+    x = np.asarray(x).astype(np.uint32) ^ (np.asarray(salt, np.uint64) * np.uint64(MIX[0]) % np.uint64(_WORD)).astype(np.uint32)
+    with np.errstate(over="ignore"):  # products are cut to 32 bits
+        x = x * np.uint32(MIX[1])
+        x = x ^ (x >> np.uint32(13))
+        x = x * np.uint32(MIX[2])
+    return x ^ (x >> np.uint32(16))
 
 
 def poisson_steps(rate: float) -> np.ndarray:
@@ -57,13 +61,25 @@ def poisson_steps(rate: float) -> np.ndarray:
     return np.array(steps, np.uint64)
 
 
-def bag_counts(hashes: np.ndarray, tree: int, rates: np.ndarray) -> np.ndarray:
+def bag_limits(rates: np.ndarray) -> list:
+    """What a row's number must exceed to lie in a bag once more, by the counts before: a number for all rows, or one each."""
+    known, at = np.unique(rates, return_inverse=True)
+    steps = [poisson_steps(float(rate)) for rate in known]
+    limits = np.full((max(map(len, steps), default=0), len(known)), _WORD - 1, np.uint32)
+    for i, own in enumerate(steps):
+        limits[: len(own), i] = own - np.uint64(1)
+    return [row[0] if len(known) == 1 else row[at] for row in limits]
+
+
+def bag_counts(hashes: np.ndarray, tree: int, limits: list) -> np.ndarray:
     """How often each row lies in a tree's bag."""
     drawn = mix(hashes, tree + 1)
-    out = np.zeros(len(hashes), np.int64)
-    for rate in np.unique(rates):
-        own = rates == rate
-        out[own] = np.searchsorted(poisson_steps(float(rate)), drawn[own], "right")
+    out = np.zeros(len(hashes), np.uint8)
+    for limit in limits:
+        more = drawn > limit
+        if not more.any():
+            break
+        out += more
     return out
 
 
@@ -171,14 +187,37 @@ class _Walk:
         return key & 0xFFFFFFFF, np.where(ends[at] == key, at, -1)
 
 
-def _columns(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
+def _cells(batch: pa.RecordBatch, width: int, block) -> tuple[np.ndarray, ...]:
+    """Center, label and bins of each run of equal rows, and its counts in the bags of each tree: (cell, tree)."""
     col = lambda n: batch.column(batch.schema.get_field_index(n))
-    return (col("center_id").to_numpy().astype(np.int64), col("h").to_numpy().astype(np.uint64), col("label").to_numpy().astype(np.int64),
-            col("rate").to_numpy(), col("bins").flatten().to_numpy().reshape(-1, width).astype(np.uint8))
+    center, label = col("center_id").to_numpy().astype(np.int64), col("label").to_numpy().astype(np.int64)
+    h, bins = col("h").to_numpy().astype(np.uint32), col("bins").flatten().to_numpy().reshape(-1, width).astype(np.uint8)
+    new = (center[1:] != center[:-1]) | (label[1:] != label[:-1]) | (bins[1:] != bins[:-1]).any(axis=1)
+    heads = np.flatnonzero(np.concatenate([[True], new]))
+    limits = bag_limits(col("rate").to_numpy())
+    counts = np.empty((len(block), len(heads)), np.int32)
+    for i, tree in enumerate(block):
+        counts[i] = np.add.reduceat(bag_counts(h, tree, limits).astype(np.int32), heads)
+    return center[heads], label[heads], bins[heads], counts
+
+
+def _held_cells(batches: Iterator[pa.RecordBatch], width: int, block) -> Iterator[tuple[np.ndarray, ...]]:
+    """The cells of several batches at once, up to ``HELD`` counts."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(_cells(batch, width, block))
+        size += held[-1][3].size
+        if size >= HELD:
+            yield tuple(np.concatenate(v, axis=k) for v, k in zip(zip(*held), (0, 0, 0, 1)))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(v, axis=k) for v, k in zip(zip(*held), (0, 0, 0, 1)))
 
 
 def prepared(df: DataFrame, key: str, width: int, bins: int, balance: bool, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(binned rows with hash and bag rate, written once; class counts and weights per center; cut points)."""
+    """(binned rows with hash and bag rate, written once, those of a cell side by side; class counts and weights per center; cut points)."""
     edges = sketch_edges(df, width, bins)
     n = lambda c: F.count(F.when(F.col("label") == c, 1))
     stats = df.groupBy("center_id").agg(n(0).alias("n0"), n(1).alias("n1"))
@@ -190,7 +229,9 @@ def prepared(df: DataFrame, key: str, width: int, bins: int, balance: bool, seed
     rows = join_params(rows, stats.select("center_id", "rate0", "rate1"), "center_id")
     path = scratch_path(df.sparkSession, "forest-rows")
     own_rate = F.when(F.col("label") == 1, F.col("rate1")).otherwise(F.col("rate0"))
-    rows.where("label is not null").select(F.col("center_id").cast("int"), "h", F.col("label").cast("int"), own_rate.alias("rate"), "bins").write.parquet(path)
+    rows = rows.where("label is not null").select(F.col("center_id").cast("int"), "h", F.col("label").cast("int"), own_rate.alias("rate"), "bins")
+    # rebalanced and not repartitioned: a cell may hold any share of the rows, and Spark then splits its partition
+    rows.withColumn("cell", F.xxhash64("center_id", "label", "bins")).hint("rebalance", "cell").sortWithinPartitions("cell").drop("cell").write.parquet(path)
     return df.sparkSession.read.parquet(path), stats, edges
 
 
@@ -210,9 +251,15 @@ def forest_nodes(
     per_node = per_node or max(1, math.isqrt(width))
     spark = df.sparkSession
     rows, stats, edges = prepared(df, key, width, bins, balance, seed)
-    large = F.col("n0") * F.col("rate0") + F.col("n1") * F.col("rate1")
-    weights = {r["center_id"]: (r["w0"], r["w1"]) for r in stats.where(large > small).select("center_id", "w0", "w1").toLocalIterator()}
-    expected = stats.agg(F.sum(F.floor(large / small) * 4)).first()[0] or 0
+    small = min(small, SMALL_BYTES // (width + 5))
+    drawn = F.col("n0") * F.col("rate0") + F.col("n1") * F.col("rate1")
+    large = {r["center_id"]: r for r in stats.where(drawn > small).withColumn("drawn", drawn).toLocalIterator()}
+    if large:  # counted only where rows don't settle it, and nearly: a limit on a task's memory may be passed by some per cent
+        kinds = rows.groupBy("center_id").agg(F.approx_count_distinct(F.xxhash64("label", "bins")).alias("cells"))
+        many = {r["center_id"] for r in kinds.where(F.col("cells") > small).toLocalIterator()}
+        large = {c: r for c, r in large.items() if c in many}
+    weights = {c: (r["w0"], r["w1"]) for c, r in large.items()}
+    expected = sum(4 * int(r["drawn"] // small) for r in large.values())
     at_once = max(1, min(trees, nodes_per_pass // max(int(expected), 1)))
     parts = []
     for first in range(0, trees, at_once):
@@ -269,20 +316,30 @@ def _level_splits(rows: DataFrame, shared, width: int, per_node: int, seed: int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk, _ = shared.value
-        for batch in batches:
-            center, h, label, rate, b = _columns(batch, width)
-            for tree, ends in walk.ends.items():
-                at = walk.place(tree, center, b)[1]
-                bag = bag_counts(h, tree, rate) * (at >= 0)
-                on = np.flatnonzero(bag)
+        block = list(walk.ends)
+        add_up = sum(map(len, walk.ends.values())) * per_node * bins * 2 <= LEVEL_CELLS
+        sums: dict[int, np.ndarray] = {}
+
+        def out(tree: int, cells: np.ndarray) -> pa.RecordBatch:
+            ends = walk.ends[tree]
+            flat = cells.reshape(len(ends), -1)
+            node, cell = np.nonzero(flat)
+            columns = [(ends >> 32)[node].astype(np.int32), np.full(len(node), tree, np.int32), (ends & 0xFFFFFFFF)[node].astype(np.int32), cell.astype(np.int32), flat[node, cell]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["center_id", "tree_id", "node_id", "cell", "n"])
+
+        for center, label, b, counts in _held_cells(batches, width, block):
+            for tree, bag in zip(block, counts):
+                at, ends = walk.place(tree, center, b)[1], walk.ends[tree]
+                on = np.flatnonzero((bag > 0) & (at >= 0))
                 if not len(on):
                     continue
-                nodes = (ends >> 32, ends & 0xFFFFFFFF)
-                cells = _histogram(b[on], label[on], bag[on], at[on], node_features(nodes[0], tree, nodes[1], width, per_node, seed), bins)
-                flat = cells.reshape(len(ends), -1)
-                node, cell = np.nonzero(flat)
-                out = [nodes[0][node].astype(np.int32), np.full(len(node), tree, np.int32), nodes[1][node].astype(np.int32), cell.astype(np.int32), flat[node, cell]]
-                yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["center_id", "tree_id", "node_id", "cell", "n"])
+                cells = _histogram(b[on], label[on], bag[on], at[on], node_features(ends >> 32, tree, ends & 0xFFFFFFFF, width, per_node, seed), bins)
+                if add_up:
+                    sums[tree] = sums[tree] + cells if tree in sums else cells
+                else:
+                    yield out(tree, cells)
+        for tree, cells in sums.items():
+            yield out(tree, cells)
 
     def choose(table: pa.Table) -> pa.Table:
         center, tree, node = (table.column(c)[0].as_py() for c in ("center_id", "tree_id", "node_id"))
@@ -302,46 +359,51 @@ def _level_splits(rows: DataFrame, shared, width: int, per_node: int, seed: int,
 
 
 def _small_nodes(rows, stats, weights, splits, rest, block, width, depth, per_node, seed, bins) -> DataFrame:
-    """Everything at and below the nodes with few rows, and the whole trees of small centers. Each node's rows go to one task, as bytes."""
+    """Everything at and below the nodes with few rows, and the whole trees of small centers. Each node's cells go to one task, as bytes."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((_Walk({k: (v["feature"], v["bin"]) for k, v in splits.items() if v["feature"] >= 0}, rest), np.array(sorted(weights), np.int64)))
-    schema = pa.schema([("center_id", pa.int32()), ("tree_id", pa.int32()), ("node_id", pa.int32()), ("rows", pa.binary())])
+    schema = pa.schema([("center_id", pa.int32()), ("tree_id", pa.int32()), ("node_id", pa.int32()), ("cells", pa.binary()), ("bag", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk, large = shared.value
-        for batch in batches:
-            center, h, label, rate, b = _columns(batch, width)
+        for center, label, b, counts in _held_cells(batches, width, block):
             in_large = np.isin(center, large)
+            cells = np.concatenate([b, label[:, None].astype(np.uint8)], axis=1)
+            by_center = np.argsort(center, kind="stable")
             found = {n: [] for n in schema.names}
-            for tree in block:
-                node, at = walk.place(tree, center, b)
-                bag = bag_counts(h, tree, rate) * ((at >= 0) | ~in_large)
-                on = np.flatnonzero(bag)
+            for tree, bag in zip(block, counts):
+                if len(large):
+                    node, at = walk.place(tree, center, b)
+                    key = center << 32 | node
+                    order = np.argsort(key, kind="stable")
+                    on = order[((bag > 0) & ((at >= 0) | ~in_large))[order]]
+                else:
+                    key, on = center << 32, by_center[bag[by_center] > 0]
                 if not len(on):
                     continue
-                key = center[on] << 32 | node[on]
-                order = np.argsort(key, kind="stable")
-                on, key = on[order], key[order]
-                heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                data = np.concatenate([b[on], label[on, None].astype(np.uint8), np.minimum(bag[on, None], 255).astype(np.uint8)], axis=1)
+                own, data, bag = key[on], cells[on], bag[on]
+                heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(on)]):
-                    for name, value in zip(schema.names, (int(key[a] >> 32), tree, int(key[a] & 0xFFFFFFFF), data[a:z].tobytes())):
+                    n = bag[a:z].astype(np.uint8 if bag[a:z].max() < 256 else "<u4")
+                    for name, value in zip(schema.names, (int(own[a] >> 32), tree, int(own[a] & 0xFFFFFFFF), data[a:z].tobytes(), n.tobytes())):
                         found[name].append(value)
-                if len(found["rows"]) > 2000:
+                if len(found["cells"]) > 2000:
                     yield pa.RecordBatch.from_pydict(found, schema=schema)
                     found = {n: [] for n in schema.names}
-            if found["rows"]:
+            if found["cells"]:
                 yield pa.RecordBatch.from_pydict(found, schema=schema)
 
     def grow(table: pa.Table) -> pa.Table:
         center, tree, root, w0, w1 = (table.column(c)[0].as_py() for c in ("center_id", "tree_id", "node_id", "w0", "w1"))
-        data = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, width + 2)
-        made = subtree(data[:, :width], data[:, width].astype(np.int64), data[:, width + 1].astype(np.int64), np.array([w0, w1]), center, tree, root, depth, per_node, seed, bins)
+        parts = list(zip(*(table.column(c).to_pylist() for c in ("cells", "bag"))))
+        data = np.frombuffer(b"".join(c for c, _ in parts), np.uint8).reshape(-1, width + 1)
+        bag = np.concatenate([np.frombuffer(n, np.uint8 if len(n) * (width + 1) == len(c) else "<u4") for c, n in parts]).astype(np.int64)
+        made = subtree(data[:, :width], data[:, width].astype(np.int64), bag, np.array([w0, w1]), center, tree, root, depth, per_node, seed, bins)
         made |= {"center_id": [center] * len(made["node_id"]), "tree_id": [tree] * len(made["node_id"])}
         return pa.table({n: pa.array(made[n], t) for n, t in zip(wanted.names, wanted.types)})
 
     wanted = pa.schema([_SPLIT.field(i) for i in range(8)])
-    members = rows.mapInArrow(gather, "center_id int, tree_id int, node_id int, rows binary")
+    members = rows.mapInArrow(gather, "center_id int, tree_id int, node_id int, cells binary, bag binary")
     members = join_params(members, stats.select("center_id", "w0", "w1"), "center_id")
     grown = members.groupBy("center_id", "tree_id", "node_id").applyInArrow(grow, "center_id int, tree_id int, node_id int, feature int, bin int, gain double, n0 long, n1 long")
     path = scratch_path(spark, "forest-nodes")
