@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ž"
 _PLAIN = re.compile(f"[!-~{_LATIN}]*")
 #: The pre-tokeniser's pattern for such words.
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+#: What stands behind the letters of many words; runs of it are one part each.
+_TAIL = "!#$%&*()+,-./:;<=>?@"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,25 +45,51 @@ class _Words(ChunkTable):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.letters, self.merge = _byte_letters(), self.tokenizer.model.tokenize
-        probe = ["It's", "naïve,", "x=12;", "ÉTÉ..."]
+        self.marks: dict[str, list[int]] = {}
+        probe = ["It's", "naïve,", "x=12;", "ÉTÉ...", "odd$%&", "new!!***"]
+        self.lines = all(self._library([f"{a}\n{b}"])[0] == sum(self._library([a, b]), []) for a in probe for b in probe)
         self.direct = [self._merged(w) for w in probe] == self._library(probe)  # only for tokenisers that work like this
         super().__init__(self._encode)
 
     def _library(self, keys: list[str]) -> list[list[int]]:
         return [e.ids for a, b in slices(keys, 500_000) for e in self.tokenizer.encode_batch_fast(keys[a:b], add_special_tokens=False)]
 
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words of all texts. A line's end is white space as a space is: apart, its neighbours are words seen before."""
+        return words_at_spaces([t.replace("\n", " ") for t in texts] if self.lines else texts)
+
+    def _part(self, part: str) -> list[int]:
+        """Ids of a part that isn't letters alone; short ones are few and are kept."""
+        ids = self.marks.get(part)
+        if ids is None:
+            ids = [t.id for t in self.merge(part)]
+            if len(part) <= 3 and len(self.marks) < 10_000:
+                self.marks[part] = ids
+        return ids
+
     def _merged(self, word: str) -> list[int]:
         word = word.lower()
-        letters = word.rstrip(".,")
-        parts = [letters, word[len(letters) :]] if letters.isalpha() else _PARTS.findall(word)
+        letters = word.rstrip(_TAIL)
+        if letters.isalpha():  # what follows them is one part of the pattern
+            tail = word[len(letters) :]
+            ids = [t.id for t in self.merge(letters if word.isascii() else letters.encode().decode("latin-1").translate(self.letters))]
+            return ids + self._part(tail) if tail else ids
+        parts = _PARTS.findall(word)
         if not word.isascii():
             parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
-        return [t.id for p in parts if p for t in self.merge(p)]
+        return [i for p in parts for i in self._part(p)]
 
     def _encode(self, keys: list[str]) -> list[list[int]]:
-        plain = [self.direct and "<|" not in k and _PLAIN.fullmatch(k) is not None for k in keys]
+        special = "<|" in "\n".join(keys)
+        plain = [self.direct and _PLAIN.fullmatch(k) is not None and not (special and "<|" in k) for k in keys]
         rest = iter(self._library([k for k, p in zip(keys, plain) if not p]))
-        return [self._merged(k) if p else next(rest) for k, p in zip(keys, plain)]
+        collecting = gc.isenabled()
+        gc.disable()  # new lists hold numbers alone, which the collector would walk through again and again
+        try:
+            return [self._merged(k) if p else next(rest) for k, p in zip(keys, plain)]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -79,7 +108,7 @@ def word_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in slices(texts):
-                words, counts = words_at_spaces(texts[a:b])
+                words, counts = table.words(texts[a:b])
                 at = table.find(words)
                 sizes = sums_by_row(table.lengths(at), counts)
                 ids = np.insert(table.gather(at), np.cumsum(sizes), end_id).astype("<u2" if _short(table, end_id) else "<u4")

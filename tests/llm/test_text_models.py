@@ -201,3 +201,17 @@ def test_languages_of_odd_rows(spark):
 def test_sums_and_slices_of_rows():
     assert common.sums_by_row(np.array([1, 2, 3]), np.array([0, 2, 0, 1])).tolist() == [0, 3, 0, 3]
     assert list(common.slices(["a" * 5, "b", "c" * 9, ""], 7)) == [(0, 1), (1, 2), (2, 4)] or list(common.slices(["a" * 5, "b", "c" * 9, ""], 7))[-1][1] == 4
+
+
+def test_plain_words_with_line_ends_and_marks_skip_the_library():
+    table = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Uno.\nDOS,  tres!!***\n\nnaïve.\nÉtude&&& it's x-y 12,5 don't.\n", "", "\n", "a\r\nb ÷2× <|endoftext|>\nc$%&'s"]
+    words, counts = table.words(texts)
+    assert len(words) == counts.sum() and counts.tolist() == [t.count(" ") + t.count("\n") + 1 for t in texts]
+    at = table.find(words)
+    ids = np.split(table.gather(at), np.cumsum(common.sums_by_row(table.lengths(at), counts))[:-1])
+    assert [i.tolist() for i in ids] == [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    table._library = lambda keys: asked.extend(keys) or []
+    table.find(table.words(["neues.\nWort..., zwei&&&\ndrei?!"])[0])
+    assert asked == []
