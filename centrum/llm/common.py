@@ -46,6 +46,21 @@ def sums_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return running[ends] - running[ends - counts]
 
 
+#: What the step that a Python worker serves keeps from task to task.
+_held: dict = {}
+
+
+def held(key=None, make: Callable | None = None):
+    """A worker's table, made once. Spark gives a worker to one step after the other: what an earlier one kept is dropped first."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        if make is None:
+            return None
+        _held[key] = make()
+    return _held[key]
+
+
 class ChunkTable:
     """Distinct chunks of text, each encoded once, with their ids in one flat array.
 

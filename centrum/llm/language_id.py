@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from centrum.llm.common import slices, stored, sums_by_row, texts_of, words_at_spaces
+from centrum.llm.common import held, slices, stored, sums_by_row, texts_of, words_at_spaces
 
 ORDER = 5
 #: Length bands of the calibration, and the nats a character that a text may lie over its band's limit.
@@ -182,6 +182,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rows = stored(sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col), F.lit(5)) == 0).alias("tune")), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             lang = np.array(batch.column(0).to_pylist(), object)
             texts = texts_of(batch.column(1))
@@ -223,16 +224,9 @@ def length_band(n: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(n / 16.0)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
 
 
-#: Broadcasts by their models, so that one worker builds its scorer once.
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(models: Broadcast) -> Scorer:
-    key = id(models.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(models.value)
-    return _scorers[key]
+    """The scorer of these models: a worker builds it once."""
+    return held(("scorer", id(models.value)), lambda: Scorer(models.value))
 
 
 def score(df: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -242,8 +236,10 @@ def score(df: DataFrame, models: list[Model], id_col: str = "doc_id", text_col:
     language's share when the models' log probabilities are tempered by the square root of the length. A text is not
     accepted when its cross-entropy lies over the limit that calibration found for its language and length. Texts without a letter, null and empty ones get
     ``und``, score 0, no cross-entropy, and are not accepted. Rows repeat as in the input; only the named columns are read.
+    A text that is kept is sent once.
     """
     keep = keep or []
+    sent = lambda k: "text" if k == text_col else f"kept_{k}"
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +261,9 @@ def score(df: DataFrame, models: list[Model], id_col: str = "doc_id", text_col:
                 accepted = some & (entropy <= limits[best, band])
                 out = {"id": batch.column("id").slice(a, b - a), "lang_pred": pa.array(names[best], pa.string()), "score": share}
                 out |= {"cross_entropy": pa.array(entropy, mask=~some), "n": n.astype(np.int64), "accepted": accepted}
-                yield pa.RecordBatch.from_pydict(out | {f"kept_{k}": batch.column(f"kept_{k}").slice(a, b - a) for k in keep})
+                yield pa.RecordBatch.from_pydict(out | {f"kept_{k}": batch.column(sent(k)).slice(a, b - a) for k in keep})
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(k).alias(f"kept_{k}") for k in keep))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(k).alias(f"kept_{k}") for k in keep if k != text_col))
     kinds = [("id", id_col), *((f"kept_{k}", k) for k in keep)]
     types = {n: df.schema[c].dataType.simpleString() for n, c in kinds}
     schema = f"id {types['id']}, lang_pred string, score double, cross_entropy double, n long, accepted boolean" + "".join(f", kept_{k} {types[f'kept_{k}']}" for k in keep)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from centrum.llm.common import slices, stored, texts_of
+from centrum.llm.common import held, slices, stored, texts_of
 from centrum.llm.components import components
 
 #: Positions that shingles are permuted over; two shingles on one position can only add candidates.
@@ -96,6 +96,7 @@ def _words_of(text: str) -> list[bytes]:
 
 def _signed(df: DataFrame, kind: str, size: int, rows: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in slices(texts):
@@ -114,6 +115,7 @@ def _signed(df: DataFrame, kind: str, size: int, rows: int, bands: int) -> DataF
 
 def _sets(df: DataFrame, kind: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in slices(texts):

@@ -6,13 +6,12 @@ import gc
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from centrum.llm.common import ChunkTable, slices, stored, sums_by_row, texts_of, words_at_spaces
+from centrum.llm.common import ChunkTable, held, slices, stored, sums_by_row, texts_of, words_at_spaces
 
 #: Tokens that one packing group holds on average; groups are drawn by hash, so a frequent text or source can't fill one.
 GROUP_TOKENS = 8_000_000
@@ -92,9 +91,8 @@ class _Words(ChunkTable):
                 gc.enable()
 
 
-@lru_cache(maxsize=2)
 def _table(path: str) -> _Words:
-    return _Words(path)
+    return held(("words", path), lambda: _Words(path))
 
 
 def word_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,8 +19,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Repeated rows and null ids stay as they are; an empty table stays empty."""
     models = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.score(_whole(docs), models, "key", "content", keep=["row"])
-    return found.where("accepted").select("row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("content"), F.struct(*rest).alias("row"))
+    found = language_id.score(rows, models, "key", "content", keep=["content", "row"])
+    return found.where("accepted").select(*[F.col("content").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,3 +215,20 @@ def test_plain_words_with_line_ends_and_marks_skip_the_library():
     table._library = lambda keys: asked.extend(keys) or []
     table.find(table.words(["neues.\nWort..., zwei&&&\ndrei?!"])[0])
     assert asked == []
+
+
+def test_a_worker_holds_one_steps_table():
+    first = common.held("first", lambda: [1])
+    assert common.held("first", lambda: [2]) is first
+    assert common.held("second", lambda: [2]) == [2] and common.held("first", lambda: [3]) == [3]
+    common.held()
+    assert common.held("first", lambda: [4]) == [4]
+
+
+def test_a_kept_text_is_sent_once(spark):
+    docs = spark.createDataFrame([(1, "ein kurzer Satz", "de"), (2, None, "de"), (3, "123", None)], "doc_id long, text string, lang string")
+    models = language_id.fit(docs.where("doc_id = 1"))
+    found = language_id.score(docs, models, keep=["text", "lang"])
+    assert sorted((r["doc_id"], r["text"] or "", r["lang"] or "", r["lang_pred"]) for r in found.collect()) == [(1, "ein kurzer Satz", "de", "de"), (2, "", "de", "und"), (3, "123", "", "und")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "kept_text" not in plan[plan.index("MapInArrow") :].split("\n", 1)[1]
