@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +87,9 @@ class ChunkTable:
         at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
-            self._add(list(dict.fromkeys([chunks[i] for i in unknown])))
-            at[unknown] = np.fromiter((self.place[chunks[i]] for i in unknown), np.int64, len(unknown))
+            wanted = [chunks[i] for i in unknown.tolist()]
+            self._add(list(dict.fromkeys(wanted)))
+            at[unknown] = np.fromiter(map(self.place.__getitem__, wanted), np.int64, len(wanted))
         asked = np.bincount(at, minlength=len(self.place))
         asked[: len(self.asked)] += self.asked
         self.asked = asked
@@ -126,7 +127,7 @@ class ChunkTable:
         self.starts[have + 1 : have + 1 + len(chunks)] = ends
         if ends[-1] > len(self.ids):
             self.ids = np.resize(self.ids, 2 * int(ends[-1]))
-        self.ids[ends[0] - lengths[0] : ends[-1]] = np.fromiter((x for ids in found for x in ids), np.int32, int(lengths.sum()))
+        self.ids[ends[0] - lengths[0] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
 
     def lengths(self, at: np.ndarray) -> np.ndarray:
         return self.starts[at + 1] - self.starts[at]

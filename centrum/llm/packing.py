@@ -24,6 +24,10 @@ _PLAIN = re.compile(f"[!-~{_LATIN}]*")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
 #: What stands behind the letters of many words; runs of it are one part each.
 _TAIL = "!#$%&*()+,-./:;<=>?@"
+#: What each byte of a text is to ``parts``: 1 a letter, 2 a mark. ``|`` is none, as it ends special strings behind a letter.
+_LETTER_OR_MARK = np.array([1 if chr(b).isalpha() and b < 128 else 2 if 32 < b < 127 and not chr(b).isalnum() and b != 124 else 0 for b in range(256)], np.uint8)
+#: Special strings, and the first bytes of marks that join the letter before them: letters stay as they are beside these.
+_KEEPS_CASE = (b"<|", b"\xcc", b"\xcd")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,6 +37,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _mark_places(data: bytes) -> np.ndarray:
+    """Where a mark follows an ASCII letter."""
+    kind = _LETTER_OR_MARK[np.frombuffer(data, np.uint8)]
+    return np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+
+
 class _Words(ChunkTable):
     """Ids of the words between spaces. Plain words go straight to the library's merges, all others through all its steps."""
 
@@ -48,6 +58,8 @@ class _Words(ChunkTable):
         probe = ["It's", "naïve,", "x=12;", "ÉTÉ...", "odd$%&", "new!!***"]
         self.lines = all(self._library([f"{a}\n{b}"])[0] == sum(self._library([a, b]), []) for a in probe for b in probe)
         self.direct = [self._merged(w) for w in probe] == self._library(probe)  # only for tokenisers that work like this
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = self.direct and self.lines and all(t.startswith(b"<|") and not len(_mark_places(t)) for t in special)
         super().__init__(self._encode)
 
     def _library(self, keys: list[str]) -> list[list[int]]:
@@ -57,6 +69,30 @@ class _Words(ChunkTable):
         """Words of all texts. A line's end is white space as a space is: apart, its neighbours are words seen before."""
         return words_at_spaces([t.replace("\n", " ") for t in texts] if self.lines else texts)
 
+    def parts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words of all texts, in lower case and with the marks behind an ASCII letter apart; the place
+        there of each word of the texts; and the number of words of each text.
+
+        The pre-tokeniser ends a part at such a mark in any case, so ids stay, and fewer different words are left to encode.
+        """
+        if not self.apart:
+            words, counts = self.words(texts)
+            return words, np.arange(len(words)), counts
+        each = [t.encode() for t in texts]
+        data = b" ".join(each).replace(b"\n", b" ")
+        if not any(x in data for x in _KEEPS_CASE):
+            data = data.lower()  # of bytes: ASCII alone
+        letters = np.frombuffer(data, np.uint8)
+        blank = letters == 32
+        ends = blank.copy()
+        ends[_mark_places(data)] = True
+        ends = np.append(np.flatnonzero(ends), len(letters))
+        at_blank = np.append(blank, False)[ends]
+        offsets = np.insert(ends - np.cumsum(at_blank) + at_blank, 0, 0).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(letters[~blank])).dictionary_encode()
+        upto = np.searchsorted(ends, np.cumsum([len(x) + 1 for x in each]) - 1, "right")
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.diff(upto, prepend=0)
+
     def _part(self, part: str) -> list[int]:
         """Ids of a part that isn't letters alone; short ones are few and are kept."""
         ids = self.marks.get(part)
@@ -67,6 +103,8 @@ class _Words(ChunkTable):
         return ids
 
     def _merged(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():  # most of what ``parts`` leaves is one part
+            return [t.id for t in self.merge(word.lower())]
         word = word.lower()
         letters = word.rstrip(_TAIL)
         if letters.isalpha():  # what follows them is one part of the pattern
@@ -80,7 +118,7 @@ class _Words(ChunkTable):
 
     def _encode(self, keys: list[str]) -> list[list[int]]:
         special = "<|" in "\n".join(keys)
-        plain = [self.direct and _PLAIN.fullmatch(k) is not None and not (special and "<|" in k) for k in keys]
+        plain = [self.direct and (k.isascii() and k.isalpha() or _PLAIN.fullmatch(k) is not None and not (special and "<|" in k)) for k in keys]
         rest = iter(self._library([k for k, p in zip(keys, plain) if not p]))
         collecting = gc.isenabled()
         gc.disable()  # new lists hold numbers alone, which the collector would walk through again and again
@@ -106,8 +144,8 @@ def word_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in slices(texts):
-                words, counts = table.words(texts[a:b])
-                at = table.find(words)
+                words, places, counts = table.parts(texts[a:b])
+                at = table.find(words)[places]
                 sizes = sums_by_row(table.lengths(at), counts)
                 ids = np.insert(table.gather(at), np.cumsum(sizes), end_id).astype("<u2" if _short(table, end_id) else "<u4")
                 width = ids.dtype.itemsize

@@ -217,6 +217,21 @@ def test_plain_words_with_line_ends_and_marks_skip_the_library():
     assert asked == []
 
 
+def test_a_word_with_marks_or_capitals_is_encoded_once(odd):
+    table = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    asked, encode = [], table.encode
+    table.encode = lambda keys: asked.extend(keys) or encode(keys)
+    table.find(table.parts(["wort Wort, WORT. wort!!*** it's", "", "\n"])[0])
+    assert sorted(asked) == ["", "!!***", "'s", ",", ".", "it", "wort"]
+    marked = ["a<|endoftext|>B, c", "H\u0331. J\u030c! \u03a3\u03a3,", "x=\u0338 y<\u0338|z", "\u0130I\u0307, K\u212a.", "<|ENDOFTEXT|> A,b", "don't.you'LL!", "\u00fc, \u00df.\u00aa! 1,2 a1,b"]
+    for texts in ([x or "" for _, x in rows_of(odd)], marked, *([m] for m in marked)):
+        words, places, counts = table.parts(texts)
+        assert len(places) == counts.sum() and len(counts) == len(texts)
+        at = table.find(words)[places]
+        ids = np.split(table.gather(at), np.cumsum(common.sums_by_row(table.lengths(at), counts))[:-1])
+        assert [i.tolist() for i in ids] == [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_worker_holds_one_steps_table():
     first = common.held("first", lambda: [1])
     assert common.held("first", lambda: [2]) is first
