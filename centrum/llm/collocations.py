@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ LONGEST = 5
 BROADCAST_PHRASES = 1_000_000
 #: Up to so many frequent words, of so many bytes, are broadcast to number the words of the shards; more are joined.
 BROADCAST_WORDS, BROADCAST_BYTES = 300_000, 16 << 20
+#: Pairs that a task holds and adds up before they are sent.
+HELD_PAIRS = 1 << 20
 #: White space inside a piece, and what ends a piece.
 _BLANKS, _ENDS = b"\x09\x20", b".,;:!?\x0a\x0b\x0c\x0d"
 _CHARS = bytes(10 if c in _ENDS else 32 if c in _BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -324,29 +327,101 @@ def _live(grams: DataFrame, level: DataFrame) -> DataFrame:
     return grams.mapInArrow(run, LIVE)
 
 
+def _found(batches: Iterator[pa.RecordBatch], known: list) -> Iterator[dict[str, np.ndarray]]:
+    """Phrases of each shard, grown in its index from one word on: ``known`` holds a broadcast of the frequent phrases of
+    2, 3, ... words, and what comes out is one word longer than the last of them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in ("shard", "forward", "backward")}
+            sides, ids = _sides(row), batch.column("ids")[i].values.to_numpy()
+            words = np.arange(1, len(ids) + 1, dtype=sides[0].first.dtype)
+            low = np.searchsorted(sides[0].first, words)
+            size = np.searchsorted(sides[0].first, words, "right") - low
+            found = longer(sides, [low, low, size], ids, 1)
+            for k, level in enumerate(known):
+                live = level.value.keep(found)
+                found = longer(sides, [live[c].astype(np.int64) for c in ("low", "back_low", "size")], live["id"], k % 2)
+            yield {"shard": np.full(len(found["size"]), row["shard"])} | found
+
+
 def _grown(index: DataFrame, known: list) -> DataFrame:
-    """Phrases of all shards, grown where the indexes lie from one word on: ``known`` holds a broadcast of the frequent
-    phrases of 2, 3, ... words, and what comes out is one word longer than the last of them."""
+    """What ``_found`` gives, as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("shard", "forward", "backward")}
-                sides, ids = _sides(row), batch.column("ids")[i].values.to_numpy()
-                words = np.arange(1, len(ids) + 1, dtype=sides[0].first.dtype)
-                low = np.searchsorted(sides[0].first, words)
-                size = np.searchsorted(sides[0].first, words, "right") - low
-                found = longer(sides, [low, low, size], ids, 1)
-                for k, level in enumerate(known):
-                    live = level.value.keep(found)
-                    found = longer(sides, [live[c].astype(np.int64) for c in ("low", "back_low", "size")], live["id"], k % 2)
-                found = {"shard": np.full(len(found["size"]), row["shard"])} | found
-                for k in range(0, len(found["size"]), 100_000):
-                    yield pa.RecordBatch.from_pydict({c: v[k : k + 100_000] for c, v in found.items()})
+        for found in _found(batches, known):
+            for k in range(0, len(found["size"]), 100_000):
+                yield pa.RecordBatch.from_pydict({c: v[k : k + 100_000] for c, v in found.items()})
 
     return index.mapInArrow(run, GRAMS)
 
 
+def _summed(prefix: np.ndarray, suffix: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, in order, with the sum of its sizes."""
+    order = np.lexsort((suffix, prefix))
+    prefix, suffix = prefix[order], suffix[order]
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])]))
+    return prefix[heads], suffix[heads], np.add.reduceat(size[order], heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
+
+
+def _pairs_packed(prefix: np.ndarray, suffix: np.ndarray, size: np.ndarray) -> bytes:
+    """Ordered pairs and their sizes, byte by byte, as neighbours differ in the low ones."""
+    values = np.stack([np.diff(prefix, prepend=0), suffix, size]).astype("<i8")
+    return packed(values.view(np.uint8).reshape(3, -1, 8).swapaxes(1, 2).ravel())
+
+
+def _pairs_unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    values = np.ascontiguousarray(unpacked(data).reshape(3, 8, -1).swapaxes(1, 2)).view("<i8")[..., 0]
+    return np.cumsum(values[0]), values[1], values[2]
+
+
+def _group_of(prefix: np.ndarray, suffix: np.ndarray, groups: int) -> np.ndarray:
+    mixed = prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.uint16 if groups <= 1 << 16 else np.int64)
+
+
+def _counts(rows: DataFrame, found, groups: int, least: int) -> DataFrame:
+    """(prefix, suffix, f): the pairs that ``found`` gives for the batches of ``rows``, with their sums of at least ``least``.
+
+    A task adds up what it finds and sends it by hash of the pair, packed as one row for each group: a few bytes a pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(v) for v in zip(*held)]
+            held.clear()
+            pairs = _summed(*columns)
+            del columns
+            group = _group_of(pairs[0], pairs[1], groups)
+            order = np.argsort(group, kind="stable")
+            numbers, first = np.unique(group[order], return_index=True)
+            data = [_pairs_packed(*(v[at] for v in pairs)) for at in np.split(order, first[1:])] if len(numbers) else []
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array(data, pa.binary())], ["group", "pairs"])
+
+        for one in found(batches):
+            held.append([one[c] for c in ("prefix", "suffix", "size")])
+            size += len(one["size"])
+            if size >= HELD_PAIRS:
+                yield from out()
+                size = 0
+        if size:
+            yield from out()
+
+    def merge(table: pa.Table) -> pa.Table:
+        pairs = _summed(*(np.concatenate(v) for v in zip(*(_pairs_unpacked(x.as_py()) for x in table.column("pairs")))))
+        keep = pairs[2] >= least
+        return pa.table([pa.array(v[keep]) for v in pairs], ["prefix", "suffix", "f"])
+
+    return rows.mapInArrow(run, "group long, pairs binary").groupBy("group").applyInArrow(merge, "prefix long, suffix long, f long")
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        yield {c: batch.column(c).to_numpy() for c in batch.schema.names}
+
+
 def _longer(index: DataFrame, live: DataFrame, turn: int) -> DataFrame:
     """Phrases one word longer than those of ``live``, of all shards."""
 
@@ -387,13 +462,20 @@ def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: s
 
     # as long as the frequent phrases can be broadcast, an index is read again for each length, where it lies, and shorter
     # phrases are found anew; beyond that their places are stored and meet the indexes by shard
-    grams, levels, known = _grown(index, []), {}, []
+    groups = max(1, shards.count())
+    grams, levels, known = None, {}, []
     for size in range(2, longest + 1):
-        level = levels[size] = _next_level(grams, level, least)
+        if grams is None:
+            counts = _counts(index, partial(_found, known=list(known)), groups, least)
+        else:
+            counts = _counts(grams.select("prefix", "suffix", "size"), _columns, groups, least)
+        level = levels[size] = _next_level(counts, level)
         if size < longest:
-            shared = _numbers(level) if len(known) == size - 2 else None
-            known += [shared] if shared is not None else []
-            grams = _grown(index, known) if shared is not None else stored(_longer(index, _live(grams, level), size % 2), "phrase-grams")
+            shared = _numbers(level) if grams is None else None
+            if shared is None:
+                grams = stored(_longer(index, _live(_grown(index, known) if grams is None else grams, level), size % 2), "phrase-grams")
+            else:
+                known.append(shared)
     out = None
     for size, level in levels.items():
         found = level.select("lang", "phrase", F.lit(size).alias("words"), F.col("f").alias("a"), "id", "heads", "tails")
@@ -407,9 +489,8 @@ def phrases(df: DataFrame, least: int = 100, text_col: str = "text", lang_col: s
     return scored.select("lang", "phrase", "words", "a", "n", "best.l", "best.r", "best.score", F.col("best.k").alias("cut"), "best_left", "best_right")
 
 
-def _next_level(grams: DataFrame, level: DataFrame, least: int) -> DataFrame:
+def _next_level(summed: DataFrame, level: DataFrame) -> DataFrame:
     """The phrases whose counts over all shards suffice, with the counts of everything they begin and end with."""
-    summed = grams.groupBy("prefix", "suffix").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
     head = level.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("begin"), F.concat("heads", F.array("f")).alias("heads"))
     tail = level.select(F.col("id").alias("suffix"), "last", F.concat("tails", F.array("f")).alias("tails"))
     joined = summed.join(head, "prefix").join(tail, "suffix")

@@ -81,6 +81,35 @@ def test_both_sides_of_an_index_agree():
         assert dict(zip(known, intervals[2].tolist())) == {p: c for p, c in counts.items() if len(p) == len(known[0])}
 
 
+@pytest.mark.parametrize("held", [1 << 21, 5])
+def test_counts_of_pairs_are_sent_packed(spark, monkeypatch, held):
+    """Sums over all rows are exact, beyond 32 bits too, and a task sends a row for each group, not for each pair."""
+    monkeypatch.setattr(collocations, "HELD_PAIRS", held)
+    r = np.random.default_rng(7)
+    pairs = [(int(p) << 33, int(s) + 5, int(n)) for p, s, n in zip(r.integers(0, 9, 2000), r.integers(0, 9, 2000), r.integers(1, 1 << 31, 2000))]
+    df = spark.createDataFrame(pairs, "prefix long, suffix long, size long").repartition(3)
+    want = Counter()
+    for p, s, n in pairs:
+        want[p, s] += n
+    least = sorted(want.values())[20]
+    got = collocations._counts(df, collocations._columns, 4, least)
+    assert sorted(map(tuple, got.collect())) == sorted((p, s, n) for (p, s), n in want.items() if n >= least)
+    assert collocations._counts(df.where("false"), collocations._columns, 4, least).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(group" in plan and "hashpartitioning(prefix" not in plan
+
+
+def test_packed_pairs_come_back_small():
+    r = np.random.default_rng(8)
+    keys = np.unique(r.integers(0, 20_000, 200_000) << 32 | r.integers(0, 20_000, 200_000))
+    pairs = (keys >> 32 << 33, keys & 0xFFFFFFFF, r.integers(1, 3, len(keys)))
+    data = collocations._pairs_packed(*pairs)
+    assert [a.tolist() for a in collocations._pairs_unpacked(data)] == [a.tolist() for a in pairs]
+    assert len(data) < 6 * len(keys)
+    group = collocations._group_of(pairs[0], pairs[1], 50)
+    assert np.bincount(group, minlength=50).max() < 1.1 * len(keys) / 50
+
+
 def plain_search(docs, items, k):
     """Every score, by its formula."""
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
