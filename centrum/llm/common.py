@@ -7,6 +7,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from centrum.session import scratch_path
@@ -27,6 +28,17 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """The strings of a column, null as empty, in runs of about ``limit`` bytes, each with its first row; only one run is
+    taken out of the column at a time, a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    before, first = np.insert(np.cumsum(sizes), 0, 0), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(before, before[first] + limit, "right")) - 1)
+        yield first, texts_of(column.slice(first, last - first))
+        first = last
+
+
 def slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of neighbouring rows with about ``limit`` characters each; a longer text stands alone."""
     first = size = 0

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from centrum.llm.common import ChunkTable, held, slices, stored, sums_by_row, texts_of, words_at_spaces
+from centrum.llm.common import SLICE_BYTES, ChunkTable, held, slices, stored, sums_by_row, text_slices, words_at_spaces
 
 #: Tokens that one packing group holds on average; groups are drawn by hash, so a frequent text or source can't fill one.
 GROUP_TOKENS = 8_000_000
@@ -63,7 +63,7 @@ class _Words(ChunkTable):
         super().__init__(self._encode)
 
     def _library(self, keys: list[str]) -> list[list[int]]:
-        return [e.ids for a, b in slices(keys, 500_000) for e in self.tokenizer.encode_batch_fast(keys[a:b], add_special_tokens=False)]
+        return [e.ids for a, b in slices(keys, 100_000) for e in self.tokenizer.encode_batch_fast(keys[a:b], add_special_tokens=False)]
 
     def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Words of all texts. A line's end is white space as a space is: apart, its neighbours are words seen before."""
@@ -142,9 +142,9 @@ def word_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(tokenizer_path)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
-                words, places, counts = table.parts(texts[a:b])
+            for a, texts in text_slices(batch.column(1)):
+                b = a + len(texts)
+                words, places, counts = table.parts(texts)
                 at = table.find(words)[places]
                 sizes = sums_by_row(table.lengths(at), counts)
                 ids = np.insert(table.gather(at), np.cumsum(sizes), end_id).astype("<u2" if _short(table, end_id) else "<u4")
@@ -249,9 +249,7 @@ def pack(encoded: DataFrame, window: int = 2048, group_tokens: int = GROUP_TOKEN
     total = histogram.sum()
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = int(key[0].as_py())
-        rows = pa.Table.from_batches(batches)
-        yield from _packed(rows, group, window, triples, solved / max(total, 1)).to_batches(max_chunksize=2000)
+        yield from _packed(pa.Table.from_batches(batches), int(key[0].as_py()), window, triples, solved / max(total, 1))
 
     kind = encoded.schema["id"].dataType.simpleString()
     dealt = encoded.withColumn("group", F.pmod(F.xxhash64("id", F.crc32("ids"), F.lit("packing")), F.lit(groups)).cast("int"))
@@ -259,7 +257,9 @@ def pack(encoded: DataFrame, window: int = 2048, group_tokens: int = GROUP_TOKEN
     return dealt.groupBy("group").applyInArrow(run, out)
 
 
-def _packed(rows: pa.Table, group: int, window: int, triples: np.ndarray, share: np.ndarray) -> pa.Table:
+def _packed(rows: pa.Table, group: int, window: int, triples: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pieces of a group, about ``SLICE_BYTES`` of ids at a time: ids are cut from the rows' own buffers when a batch is made."""
+    held()  # drops the words that the worker kept while it made the ids
     n = rows.column("n").to_numpy()
     full, rest = n // window, n % window
     items = np.flatnonzero(rest)
@@ -270,8 +270,29 @@ def _packed(rows: pa.Table, group: int, window: int, triples: np.ndarray, share:
     length = np.concatenate([np.full(len(blocks), window), placed[:, 2]])
     sequence = np.concatenate([np.arange(len(blocks)), placed[:, 3] + len(blocks)]) + (group << 32)
     offset = np.concatenate([np.zeros(len(blocks), np.int64), placed[:, 4]])
-    ids = [np.frombuffer(b, "<u2" if len(b) == 2 * k else "<u4") for b, k in zip(rows.column("ids").to_pylist(), n.tolist())]
-    cut = [ids[d][s : s + m].astype("<u4").tobytes() for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist())]
-    names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    columns = [rows.column("id").take(pa.array(doc)), start, length, pa.array(cut, pa.binary()), n[doc], sequence, offset]
-    return pa.table([c if isinstance(c, (pa.ChunkedArray, pa.Array)) else pa.array(c.astype(np.int64)) for c in columns], names)
+    kept, chunks, begin, size = rows.column("id").combine_chunks(), *_places(rows.column("ids"))
+    short = size == 2 * n
+    step = max(1, SLICE_BYTES // (4 * window))
+    for a in range(0, len(doc), step):
+        of, first, count = doc[a : a + step], start[a : a + step], length[a : a + step]
+        at, ends = begin[of] + first * np.where(short[of], 2, 4), np.cumsum(count)
+        ids = np.empty(int(count.sum()), "<u4")
+        for c, narrow, byte, m, end in zip(chunks[of].tolist(), short[of].tolist(), at.tolist(), count.tolist(), ends.tolist()):
+            ids[end - m : end] = np.frombuffer(c, "<u2" if narrow else "<u4", m, byte)
+        offsets = np.insert(4 * ends, 0, 0).astype(np.int32)
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        numbers = [pa.array(x.astype(np.int64)) for x in (first, count, n[of], sequence[a : a + step], offset[a : a + step])]
+        columns = [kept.take(pa.array(of)), *numbers[:2], data, *numbers[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+
+def _places(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a binary column: the buffer that holds it, its first byte there, and its number of bytes."""
+    buffers, begins, sizes = [], [], []
+    for chunk in column.chunks:
+        width = np.dtype(np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)
+        ends = np.frombuffer(chunk.buffers()[1], width, len(chunk) + 1, width.itemsize * chunk.offset).astype(np.int64)
+        held_in = np.empty(len(chunk), object)
+        held_in.fill(chunk.buffers()[2])
+        buffers.append(held_in), begins.append(ends[:-1]), sizes.append(np.diff(ends))
+    return np.concatenate(buffers), np.concatenate(begins), np.concatenate(sizes)

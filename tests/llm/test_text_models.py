@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -94,6 +95,33 @@ def test_packing_places_every_token_once(spark, odd, folder):
     assert packing.pack(encoded.where("false")).collect() == []
 
 
+def test_a_packing_group_is_cut_in_small_batches_by_a_worker_without_words():
+    rng = np.random.default_rng(3)
+    want = [rng.integers(0, 60_000, n).tolist() for n in [0, 1, 5_000, 2_048, 0, *rng.integers(0, 4_000, 400)]]
+    data = [np.array(x, "<u4" if i % 3 else "<u2").tobytes() for i, x in enumerate(want)]
+    rows = pa.table([range(len(want)), pa.array(data, pa.binary()), [len(x) for x in want]], ["id", "ids", "n"])
+    rows = pa.concat_tables([rows.slice(0, 7), rows.slice(7, 200), rows.slice(207)])
+    triples = packing.combinations(2048)
+    histogram = np.bincount([len(x) % 2048 for x in want], minlength=2048).astype(float)
+    common.held("words", dict)
+    batches = list(packing._packed(rows, 0, 2048, triples, packing.repeat_counts(histogram, triples) / len(want)))
+    assert common._held == {}
+    assert len(batches) > 1 and all(b.column("ids").nbytes <= 1.01 * common.SLICE_BYTES for b in batches)
+    pieces = pa.Table.from_batches(batches).to_pylist()
+    assert check_packing(pieces, {i: x for i, x in enumerate(want) if x}, 2048) == 0
+
+
+def test_texts_without_tokens_give_no_piece(spark):
+    none = spark.createDataFrame([(1, b"", 0), (2, b"", 0)], "id long, ids binary, n long")
+    assert packing.pack(none).collect() == []
+
+
+def test_texts_are_taken_from_a_column_run_by_run():
+    column = pa.array(["skipped", "a" * 5, None, "é" * 9, "", "b"]).slice(1)
+    assert list(common.text_slices(column, 8)) == [(0, ["a" * 5, ""]), (2, ["é" * 9]), (3, ["", "b"])]
+    assert list(common.text_slices(column.slice(0, 0))) == []
+
+
 def test_least_squares_fits_the_histogram():
     triples = packing.combinations(64)
     assert (triples.sum(axis=1) == 64).all() and len(np.unique(triples, axis=0)) == len(triples)
