@@ -6,14 +6,16 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from centrum.llm.common import ChunkTable, slices, sums_by_row, texts_of, words_at_spaces
-from centrum.llm.packing import _PARTS, _PLAIN, _byte_letters
+from centrum.llm.common import ChunkTable, sums_by_row, text_slices, words_at_spaces
+from centrum.llm.packing import _PARTS, _PLAIN, _byte_letters, _mark_places, parts_of
 
 #: Stands for the end of a word; byte-level letters are never spaces.
 END = " "
@@ -93,11 +95,10 @@ class Merges:
         if not parts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         text = END.join([*parts, ""])
-        found = np.array(list(self.automaton.iter_long(text)), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter_long(text)), np.int64).reshape(-1, 2)
         ends, ids = found[:, 0] + 1, found[:, 1]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        borders = np.cumsum(sizes)
-        part = np.searchsorted(borders, ends)  # the part that a token ends in
+        part = np.repeat(np.arange(len(parts)), sizes)[ends - 1]  # the part that a token ends in
         covered = np.bincount(part, self.text_size[ids], len(parts)) == sizes
         inside = np.flatnonzero(part[1:] == part[:-1])
         pairs, at = np.unique(ids[inside] * self.size + ids[inside + 1], return_inverse=True)
@@ -151,7 +152,7 @@ class Merges:
 
 
 class _Words(ChunkTable):
-    """Ids and decoded forms of what stands between spaces."""
+    """Ids of the parts of words; decoded texts are made of the names of their ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
@@ -167,20 +168,29 @@ class _Words(ChunkTable):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.merges = Merges(model["vocab"], model["merges"], suffix)
-        self.name = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        self.names = pa.array(map(self.tokenizer.id_to_token, range(max([self.merges.size - 1, *added]) + 1)), pa.large_string())
         self.bytes = _byte_letters()
         probe = ["It's", "naïve,", "x=12;", "ÉTÉ..."]
         self.direct = [self._plain_parts(w) for w in probe] == [self._library_parts(w) for w in probe]
+        lines = all(self._library_parts(f"{a}\n{b}") == self._library_parts(a) + self._library_parts(b) for a in probe for b in probe)
+        self.apart = self.direct and lines and all(t.startswith("<|") and "\n" not in t and not len(_mark_places(t.encode())) for t in self.added)
         super().__init__(self._encode)
 
-    def clear(self) -> None:
-        super().clear()
-        self.decoded: list[str] = []
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What is encoded once, the place there of each word of the texts, and the number of words of each text: parts
+        of words where the pre-tokeniser ends one at every mark behind a letter, else what stands between spaces."""
+        if self.apart:
+            return parts_of(texts)
+        words, counts = words_at_spaces(texts)
+        return words, np.arange(len(words)), counts
 
-    def retain(self, places: np.ndarray) -> None:
-        super().retain(places)
-        self.decoded = [self.decoded[i] for i in places.tolist()]
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The names of each text's ids, with a space between them, as without a decoder."""
+        offsets = pa.array(np.insert(np.cumsum(sizes), 0, 0), pa.int32())
+        names = self.names.take(pa.array(ids))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, names), pa.scalar(" ", names.type)).to_pylist()
 
     def _plain_parts(self, word: str) -> list[str]:
         word = word.lower()
@@ -194,9 +204,14 @@ class _Words(ChunkTable):
     def _encode(self, words: list[str]) -> list[list[int]]:
         out: list = [None] * len(words)
         parts, owners = [], []
+        together = "\n".join(words)
+        special = any(t in together for t in self.added)
         for i, word in enumerate(words):
-            if any(t in word for t in self.added):  # a special string stands for itself, wherever it is
+            if special and any(t in word for t in self.added):  # a special string stands for itself, wherever it is
                 out[i] = self.tokenizer.encode(word, add_special_tokens=False).ids
+            elif self.direct and word.isascii() and word.isalpha():  # most of what ``words`` leaves is one part
+                parts.append(word.lower())
+                owners.append(i)
             else:
                 own = self._plain_parts(word) if self.direct and _PLAIN.fullmatch(word) else self._library_parts(word)
                 parts += own
@@ -208,7 +223,6 @@ class _Words(ChunkTable):
         for i, (end, size) in enumerate(zip(ends, sizes.tolist())):
             if out[i] is None:
                 out[i] = flat[end - size : end]
-        self.decoded += [" ".join(map(self.name.__getitem__, own)) for own in out]
         return out
 
 
@@ -218,38 +232,33 @@ def _table(path: str) -> _Words:
 
 
 def _encoded(table: _Words, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    words, counts = words_at_spaces(texts)
-    at = table.find(words)
-    lengths = table.lengths(at)
-    sizes = sums_by_row(lengths, counts)
-    some = lengths > 0  # a word without tokens leaves nothing to join
-    counts = sums_by_row(some.astype(np.int64), counts)
-    decoded = [table.decoded[i] for i in at[some].tolist()]
-    ends = np.cumsum(counts)
-    return table.gather(at), sizes, [" ".join(decoded[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist())]
+    words, places, counts = table.words(texts)
+    at = table.find(words)[places]
+    ids, sizes = table.gather(at), sums_by_row(table.lengths(at), counts)
+    return ids, sizes, table.decode(ids, sizes)
 
 
 def encode_and_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``ids`` (array of int, exactly the library's without special tokens) and ``decoded`` (what it makes of these ids).
 
-    Each distinct word between spaces is encoded once while a task's table holds it. Its parts are cut by greedy longest
-    match over all tokens that merging gives for their own letters. That is the result of merging exactly if no
-    two neighbours would have been joined across their border, which is checked for all distinct pairs of a batch
-    at once; a part with such a pair goes through its merges in order of rank instead. For vocabularies with
-    word ends whose white space is dropped; the file must exist at ``tokenizer_path`` on every executor. Special
-    strings inside a text are their own token, as the library's default is. Null texts count as empty (no ids, empty
-    text); rows repeat as in the input, null ids stay; other columns are ignored; an empty table gives no rows.
+    Words between spaces are split again at marks behind a letter, where the pre-tokeniser ends a part in any case; each
+    distinct one is encoded once while a task's table holds it. Its parts are cut by greedy longest match over all
+    tokens that merging gives for their own letters. That is the result of merging exactly if no two neighbours would
+    have been joined across their border, which is checked for all distinct pairs of a batch at once; a part with such a
+    pair goes through its merges in order of rank instead. For vocabularies with word ends whose white space is dropped;
+    the file must exist at ``tokenizer_path`` on every executor. Special strings inside a text are their own token, as
+    the library's default is. Null texts count as empty (no ids, empty text); rows repeat as in the input, null ids
+    stay; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(tokenizer_path)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
-                ids, sizes, decoded = _encoded(table, texts[a:b])
+            for a, texts in text_slices(batch.column(1)):
+                ids, sizes, decoded = _encoded(table, texts)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), rows, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -43,6 +43,25 @@ def _mark_places(data: bytes) -> np.ndarray:
     return np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
 
 
+def parts_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different parts of all texts, ended by spaces, line ends and marks behind an ASCII letter, in lower case; the
+    place there of each part of the texts; and the number of parts of each text."""
+    each = [t.encode() for t in texts]
+    data = b" ".join(each).replace(b"\n", b" ")
+    if not any(x in data for x in _KEEPS_CASE):
+        data = data.lower()  # of bytes: ASCII alone
+    letters = np.frombuffer(data, np.uint8)
+    blank = letters == 32
+    ends = blank.copy()
+    ends[_mark_places(data)] = True
+    ends = np.append(np.flatnonzero(ends), len(letters))
+    at_blank = np.append(blank, False)[ends]
+    offsets = np.insert(ends - np.cumsum(at_blank) + at_blank, 0, 0).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(letters[~blank])).dictionary_encode()
+    upto = np.searchsorted(ends, np.cumsum([len(x) + 1 for x in each]) - 1, "right")
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.diff(upto, prepend=0)
+
+
 class _Words(ChunkTable):
     """Ids of the words between spaces. Plain words go straight to the library's merges, all others through all its steps."""
 
@@ -75,23 +94,10 @@ class _Words(ChunkTable):
 
         The pre-tokeniser ends a part at such a mark in any case, so ids stay, and fewer different words are left to encode.
         """
-        if not self.apart:
-            words, counts = self.words(texts)
-            return words, np.arange(len(words)), counts
-        each = [t.encode() for t in texts]
-        data = b" ".join(each).replace(b"\n", b" ")
-        if not any(x in data for x in _KEEPS_CASE):
-            data = data.lower()  # of bytes: ASCII alone
-        letters = np.frombuffer(data, np.uint8)
-        blank = letters == 32
-        ends = blank.copy()
-        ends[_mark_places(data)] = True
-        ends = np.append(np.flatnonzero(ends), len(letters))
-        at_blank = np.append(blank, False)[ends]
-        offsets = np.insert(ends - np.cumsum(at_blank) + at_blank, 0, 0).astype(np.int32)
-        found = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(letters[~blank])).dictionary_encode()
-        upto = np.searchsorted(ends, np.cumsum([len(x) + 1 for x in each]) - 1, "right")
-        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.diff(upto, prepend=0)
+        if self.apart:
+            return parts_of(texts)
+        words, counts = self.words(texts)
+        return words, np.arange(len(words)), counts
 
     def _part(self, part: str) -> list[int]:
         """Ids of a part that isn't letters alone; short ones are few and are kept."""

@@ -75,3 +75,29 @@ def test_neighbours_stay_apart_exactly_if_merging_keeps_them(merges):
     first = np.cumsum(counts) - counts
     kept = (counts == 2) & (ids[first] == a)
     assert (apart == kept).all() and 0 < apart.sum() < len(apart)
+
+
+def test_marks_and_capitals_leave_no_new_words(library):
+    table = bpe._Words(PATH)
+    texts = ["House, house; HOUSE.\nhouse! It's (house)", "", "house's\nIT'S,"]
+    ids, sizes, decoded = bpe._encoded(table, texts)
+    assert set(table.place) == {"", "house", ",", ";", ".", "!", "it", "'s", "(house", ")"}
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+    assert decoded == [library.decode(own, skip_special_tokens=False) for own in want]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_words_split_at_marks_are_the_librarys(library, apart):
+    """Special strings, contractions and joined marks beside letters and line ends, with and without the split."""
+    r = random.Random(14)
+    bits = ["House", "it", "K", "É", "e\u0301", "E\u0301", "\u0301", "\u0338", "=", "<", "|", "<|endoftext|>", "<|EndOfText|>", "endoftext|>", "'S", "'ll", "'", ",", "...", "\n", "\r\n", "\t", " ", "7", "Σ", "ς", "日"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 8))) for _ in range(4000)]
+    table = bpe._Words(PATH)
+    assert table.apart
+    table.apart = apart
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 10):  # few together, as one special string keeps all their capitals
+        ids, sizes, decoded = bpe._encoded(table, texts[a : a + 10])
+        assert ids.tolist() == sum(want[a : a + 10], []) and sizes.tolist() == list(map(len, want[a : a + 10]))
+        assert decoded == [library.decode(own, skip_special_tokens=False) for own in want[a : a + 10]]
